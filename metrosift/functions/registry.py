@@ -167,3 +167,19 @@ def normalized(value: Column, lower, upper) -> Column:
         F.when(lower > upper, F.raise_error(F.lit("Invalid normalization bounds")))
         .when(lower < upper, F.when(value.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))))
     )
+
+
+def normal_sql(spec: FeatureSpec, lower: float, upper: float) -> str:
+    """``normalized(transformed(column))`` as one SQL expression over the key's column.
+
+    Wide tables evaluate tens of these, and text crosses to the JVM in one call.
+    """
+    v = f"cast(`{spec.key}` AS DOUBLE)"
+    bad = f"isnan({v}) OR abs({v}) = double('infinity')"
+    t = v
+    if spec.transform == "log1p":
+        bad, t = f"{bad} OR {v} < 0", f"log1p({v})"
+    return (
+        f"CASE WHEN {bad} THEN raise_error('Value outside the domain of {spec.transform}') "
+        f"WHEN {v} IS NOT NULL THEN least(1D, greatest(0D, ({t} - {lower!r}D) / ({upper!r}D - {lower!r}D))) END"
+    )

@@ -194,8 +194,8 @@ def inspect_margins(
     table: DataFrame, code: str, columns: Sequence[str], controlled: Sequence[str] = ()
 ) -> DataFrame:
     """(code, column, status, value) of estimates and margins; negatives stop the job."""
-    long = table.select(F.col(code).alias("code"), *[F.col(c).cast("string").alias(c) for c in columns])
-    long = long.unpivot("code", list(columns), "column", "text")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns])
+    long = table.select(F.col(code).alias("code"), F.explode(cells).alias("c")).select("code", "c.*")
     may = F.col("column").isin(list(controlled)) if controlled else F.lit(False)
     return long.select("code", "column", parsing.margin_status(F.col("text"), may).alias("s")).select(
         "code", "column", "s.status", "s.value"

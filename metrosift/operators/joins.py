@@ -8,14 +8,28 @@ from pyspark.sql import functions as F
 # Rows a side may have to be broadcast. Rows here are narrow (ids and a few numbers),
 # so this stays in the tens of megabytes.
 BROADCAST_ROWS = 200_000
+# A size estimate up to this needs no count.
+SMALL_BYTES = 8 * 1024 * 1024
 # Reducers one key is spread over in a salted join.
 SALTS = 16
 # A key is hot when it alone holds more than this share of the rows.
 HOT_SHARE = 0.001
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate, from file sizes: high for filters and joins."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than it must."""
+    """True when ``df`` is small enough to broadcast.
+
+    Settled without a job when the optimizer's estimate is already small (one byte per
+    row would be the least a row can take, so ``limit`` bytes hold no more rows);
+    otherwise the rows are counted, reading no more than ``limit`` of them.
+    """
+    if estimated_bytes(df) <= max(limit, SMALL_BYTES if limit >= BROADCAST_ROWS else 0):
+        return True
     return df.limit(limit + 1).count() <= limit
 
 

@@ -37,29 +37,23 @@ def group_references(references: DataFrame, vector: Column) -> DataFrame:
     return kept.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("r", "e"))).alias("m"))
 
 
-def _best(blocks: Column, vector: Column, entity: Column, weights: Sequence[float], k: int) -> Column:
-    """Top-k matches of one row against an array of (v, m) groups, self removed."""
-
-    def measure(group):
-        other = F.filter(group["m"], lambda m: ~m["e"].eqNullSafe(entity))
-        total = F.lit(0.0)
-        for i, w in enumerate(weights):
-            gap = vector[i] - group["v"][i]
-            total = total + F.lit(float(w)) * gap * gap
-        return F.struct(
-            F.sqrt(total).alias("distance"),
-            F.get(other, F.lit(0))["r"].alias("reference_id"),
-            F.get(other, F.lit(0))["e"].alias("entity_id"),
-        )
-
-    found = F.filter(F.transform(blocks, measure), lambda m: m["reference_id"].isNotNull())
-    return F.transform(
-        F.slice(F.array_sort(found), 1, k),
-        lambda m: F.struct(
-            m["reference_id"].alias("reference_id"), m["entity_id"].alias("entity_id"),
-            m["distance"].alias("distance"),
-            ((F.lit(1.0) - F.least(F.lit(1.0), m["distance"])) * 100).alias("similarity"),
-        ),
+def _best(blocks: str, vector: str, entity: str, weights: Sequence[float], k: int) -> Column:
+    """Top-k matches of one row against a column of (v, m) groups, self removed."""
+    squares = " + ".join(
+        f"{float(w)!r}D * ({vector}[{i}] - g.v[{i}]) * ({vector}[{i}] - g.v[{i}])"
+        for i, w in enumerate(weights)
+    )
+    measured = (
+        f"transform({blocks}, g -> named_struct('distance', sqrt({squares}), "
+        f"'m', get(filter(g.m, m -> NOT (m.e <=> {entity})), 0)))"
+    )
+    flat = (
+        f"transform(filter({measured}, x -> x.m IS NOT NULL), x -> named_struct("
+        "'distance', x.distance, 'reference_id', x.m.r, 'entity_id', x.m.e))"
+    )
+    return F.expr(
+        f"transform(slice(array_sort({flat}), 1, {k}), x -> named_struct('reference_id', x.reference_id, "
+        "'entity_id', x.entity_id, 'distance', x.distance, 'similarity', (1 - least(1D, x.distance)) * 100))"
     )
 
 
@@ -76,8 +70,8 @@ def add_matches(
         text = json.dumps([
             {"v": list(g["v"]), "m": [{"r": m["r"], "e": m["e"]} for m in g["m"]]} for g in sample
         ])
-        constant = F.from_json(F.lit(text), _SHAPE)
-        return candidates.withColumn(name, _best(constant, vector, F.col("entity_id"), weights, k))
+        prepared = candidates.withColumns({"_vector": vector, "_refs": F.from_json(F.lit(text), _SHAPE)})
+        return prepared.withColumn(name, _best("_refs", "_vector", "entity_id", weights, k)).drop("_vector", "_refs")
 
     total = groups.count()
     n_blocks = -(-total // BLOCK_VECTORS)
@@ -95,7 +89,7 @@ def add_matches(
     joined = spread.join(blocks, ["_block", "_salt"])
     ranked = joined.select(
         "entity_id",
-        F.explode(_best(F.col("_refs"), F.col("_vector"), F.col("entity_id"), weights, k)).alias("_m"),
+        F.explode(_best("_refs", "_vector", "entity_id", weights, k)).alias("_m"),
     )
     order = Window.partitionBy("entity_id").orderBy("_m.distance", "_m.reference_id")
     top = (

@@ -6,13 +6,13 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrosift.functions.registry import DEFAULT_WEIGHTS, PILLARS, FeatureSpec
+from metrosift.functions.registry import DEFAULT_WEIGHTS, PILLARS, FeatureSpec, normal_sql
 from metrosift.operators import features as fx
 from metrosift.operators.checks import CheckFailed, require_none
-from metrosift.operators.joins import fits, join_lookup
+from metrosift.operators.joins import join_lookup
 from metrosift.operators.matching import MATCH, REFERENCES_IN_PLAN, add_matches, group_references
 from metrosift.operators.ordered import add_position
 from metrosift.session import stage
@@ -79,66 +79,58 @@ def score(
     """
     grouped = _by_pillar(specs, bounds)
     familiarity = grouped["familiarity"]
+    active = [(s, w) for p in PILLARS for s, w in grouped[p]]
     chosen = select_references(references, request).select(F.col("id").alias("reference_id"), "entity_id")
-    normal = {s.key: fx.normal_column(s, bounds) for fs in grouped.values() for s, _ in fs}
-
     ref_rows, few = _reference_rows(chosen, wide, specs)
+
+    def with_normals(df: DataFrame, which) -> DataFrame:
+        return df.withColumns({f"_n_{s.key}": F.expr(normal_sql(s, *bounds[s.key])) for s, _ in which})
+
     members = references.select("entity_id").distinct().withColumn("_is_reference", F.lit(True))
-    marked = join_lookup(wide, members, ["entity_id"], "left")
-    reasons = [F.when(F.col(s.key).isNull(), F.concat(F.lit("Missing feature: "), F.lit(s.key))) for s in specs]
-    reasons += [F.lit(f"No discriminating features in {p}") for p in PILLARS if not grouped[p]]
+    marked = with_normals(join_lookup(wide, members, ["entity_id"], "left"), active)
+    reasons = [f"CASE WHEN `{s.key}` IS NULL THEN 'Missing feature: {s.key}' END" for s in specs]
+    reasons += [f"'No discriminating features in {p}'" for p in PILLARS if not grouped[p]]
     if not include_references:
-        reasons.append(F.when(F.col("_is_reference"), REFERENCE_REASON))
-    scored = marked.withColumn("_reasons", F.array_compact(F.array(*reasons)))
+        reasons.append(f"CASE WHEN _is_reference THEN '{REFERENCE_REASON}' END")
+    scored = marked.withColumn("_reasons", F.expr(f"array_compact(array({', '.join(reasons)}))"))
 
-    vector = F.array(*[normal[s.key] for s, _ in familiarity]) if familiarity else None
-    if vector is None:
-        scored = scored.withColumn("matches", F.array().cast(MATCH))
+    none = F.expr(f"cast(array() AS {MATCH})")
+    if not familiarity:
+        scored = scored.withColumn("matches", none)
     else:
-        groups = group_references(ref_rows, vector)
+        vector = F.array(*[f"_n_{s.key}" for s, _ in familiarity])
+        groups = group_references(with_normals(ref_rows, familiarity), vector)
         scored = add_matches(scored, groups, vector, [w for _, w in familiarity])
-        scored = scored.withColumn(
-            "matches", F.when(F.size("_reasons") == 0, F.col("matches")).otherwise(F.array().cast(MATCH))
-        )
-    lonely = (F.size("_reasons") == 0) & (F.size("matches") == 0)
-    scored = scored.withColumn(
-        "exclusion_reasons",
-        F.when(lonely, F.array(F.lit(NO_MATCH_REASON))).otherwise(F.col("_reasons")),
-    )
-    ranked = F.size("exclusion_reasons") == 0
+        scored = scored.withColumn("matches", F.when(F.size("_reasons") == 0, F.col("matches")).otherwise(none))
+    scored = scored.withColumn("exclusion_reasons", F.expr(
+        f"CASE WHEN size(_reasons) = 0 AND size(matches) = 0 THEN array('{NO_MATCH_REASON}') ELSE _reasons END"))
 
-    pillars = {"familiarity": F.get(F.col("matches"), F.lit(0))["similarity"]}
-    for pillar in PILLARS[1:]:
-        total = F.lit(0.0)
-        for s, w in grouped[pillar]:
-            total = total + normal[s.key] * (100 * w)
-        pillars[pillar] = total
-    for pillar in PILLARS:
-        scored = scored.withColumn(pillar, F.when(ranked, pillars[pillar]))
     shares = request.shares()
-    total = sum((F.col(p) * shares[p] for p in PILLARS[1:]), F.col(PILLARS[0]) * shares[PILLARS[0]])
-
-    scored = _with_nearest(scored, ref_rows, few, [s for s, _ in familiarity])
-    factors = []
-    for pillar in PILLARS:
-        for s, w in grouped[pillar]:
-            near = F.col("_nearest")[s.key] if pillar == "familiarity" else None
-            factors.append(_factor(s, w, normal[s.key], near, bounds))
-    empty = F.array().cast(FACTOR)
-    every = F.array(*factors).cast(FACTOR) if factors else empty
-    scored = scored.withColumn("factors", F.when(ranked, every).otherwise(empty))
-    order = F.array_sort(F.transform("factors", lambda f: F.struct(
-        F.when(f["pillar"] == "familiarity", F.lit(1.0) - F.sqrt(f["distance_component"]))
-        .otherwise(f["normalized_value"]).alias("p"),
-        f["key"].alias("key"),
-    )))
-    names = F.transform(order, lambda f: f["key"])
+    pillars = {"familiarity": "get(matches, 0).similarity"}
+    for pillar in PILLARS[1:]:
+        terms = [f"`_n_{s.key}` * {100 * w!r}D" for s, w in grouped[pillar]]
+        pillars[pillar] = " + ".join(terms) or "0D"
+    ranked = "size(exclusion_reasons) = 0"
+    scored = scored.withColumns({p: F.expr(f"CASE WHEN {ranked} THEN {e} END") for p, e in pillars.items()})
+
+    scored = _with_nearest(scored, ref_rows, few, [s for s, _ in familiarity], with_normals, familiarity)
+    factors = ", ".join(_factor(s, w) for s, w in active)
+    performance = (
+        "array_sort(transform(factors, f -> named_struct('p', CASE WHEN f.pillar = 'familiarity' "
+        "THEN 1 - sqrt(f.distance_component) ELSE f.normalized_value END, 'key', f.key)))"
+    )
+    total = " + ".join(f"{p} * {shares[p]!r}D" for p in PILLARS)
     return (
-        scored.withColumn("expansion_score", F.when(ranked, total))
-        .withColumn("coverage", fx.coverage(specs))
-        .withColumn("strongest", F.slice(F.reverse(names), 1, 2))
-        .withColumn("weakest", F.slice(names, 1, 2))
-        .drop("_reasons", "_nearest", "_is_reference")
+        scored.withColumn("factors", F.expr(
+            f"cast(CASE WHEN {ranked} THEN array({factors}) ELSE array() END AS {FACTOR})"))
+        .withColumn("_order", F.expr(f"transform({performance}, f -> f.key)"))
+        .withColumns({
+            "expansion_score": F.expr(total),
+            "coverage": F.expr(f"({len(specs)} - size(filter(_reasons, r -> r LIKE 'Missing feature: %'))) / {len(specs)}"),
+            "strongest": F.expr("slice(reverse(_order), 1, 2)"),
+            "weakest": F.expr("slice(_order, 1, 2)"),
+        })
+        .drop("_reasons", "_nearest", "_is_reference", "_order", *[f"_n_{s.key}" for s, _ in active])
     )
 
 
@@ -148,19 +140,19 @@ FACTOR = (
 )
 
 
-def _factor(s: FeatureSpec, w: float, value: Column, near: Column | None, bounds) -> Column:
-    """One row of the factor table; the key's reference value only for familiarity."""
-    null = F.lit(None).cast("double")
-    if near is None:
-        reference, component, points = null, null, value * (100 * w)
+def _factor(s: FeatureSpec, w: float) -> str:
+    """One row of the factor table; a reference value and component only for familiarity."""
+    n = f"`_n_{s.key}`"
+    if s.pillar == "familiarity":
+        near = f"_nearest.`{s.key}`"
+        gap = f"({n} - _nearest.`_n_{s.key}`)"
+        reference, component, points = near, f"{gap} * {gap} * {w!r}D", "cast(NULL AS DOUBLE)"
     else:
-        gap = value - fx.normalized(fx.transformed(near, s.transform), *bounds[s.key])
-        reference, component, points = near, gap * gap * w, null
-    return F.struct(
-        F.lit(s.key).alias("key"), F.lit(s.pillar).alias("pillar"),
-        F.col(s.key).cast("double").alias("raw_value"), value.alias("normalized_value"),
-        reference.alias("reference_value"), component.alias("distance_component"),
-        points.alias("score_points"),
+        reference, component, points = "cast(NULL AS DOUBLE)", "cast(NULL AS DOUBLE)", f"{n} * {100 * w!r}D"
+    return (
+        f"named_struct('key', '{s.key}', 'pillar', '{s.pillar}', 'raw_value', cast(`{s.key}` AS DOUBLE), "
+        f"'normalized_value', {n}, 'reference_value', {reference}, 'distance_component', {component}, "
+        f"'score_points', {points})"
     )
 
 
@@ -169,8 +161,7 @@ def _reference_rows(chosen: DataFrame, wide: DataFrame, specs) -> tuple[DataFram
 
     Read once: kept as a local table when few, written to scratch otherwise.
     """
-    small = F.broadcast(chosen) if fits(chosen, REFERENCES_IN_PLAN) else chosen
-    rows = small.join(wide, "entity_id", "left")
+    rows = chosen.join(wide, "entity_id", "left")
     head = rows.limit(REFERENCES_IN_PLAN + 1).collect()
     few = len(head) <= REFERENCES_IN_PLAN
     kept = wide.sparkSession.createDataFrame(head, rows.schema) if few else stage(rows, "references")
@@ -185,12 +176,12 @@ def _reference_rows(chosen: DataFrame, wide: DataFrame, specs) -> tuple[DataFram
     return kept, few
 
 
-def _with_nearest(scored: DataFrame, ref_rows: DataFrame, few: bool, specs) -> DataFrame:
-    """Raw feature values of the nearest reference as struct ``_nearest``."""
-    near = ref_rows.select(
+def _with_nearest(scored: DataFrame, ref_rows: DataFrame, few: bool, specs, with_normals, pairs) -> DataFrame:
+    """Raw and normalized familiarity values of the nearest reference as ``_nearest``."""
+    fields = [f"'{s.key}', cast(`{s.key}` AS DOUBLE), '_n_{s.key}', `_n_{s.key}`" for s in specs]
+    near = with_normals(ref_rows, pairs).select(
         F.col("reference_id").alias("_near_id"),
-        F.struct(*[F.col(s.key).cast("double").alias(s.key) for s in specs], F.lit(1).alias("_"))
-        .alias("_nearest"),
+        F.expr(f"named_struct({', '.join([*fields, repr('_'), '1'])})").alias("_nearest"),
     )
     keyed = scored.withColumn("_near_id", F.get(F.col("matches"), F.lit(0))["reference_id"])
     # A popular reference makes this key hot: broadcast, or split the hot keys.
