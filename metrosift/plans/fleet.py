@@ -105,10 +105,10 @@ def wait_p95(spark, folder):
 
 
 def fare_cents(spark, folder):
-    miles, minutes = F.col("l_quantity"), F.col("l_extendedprice") / 1000
+    miles, minutes = F.col("l_quantity"), F.col("l_discount") * 100 + F.col("l_tax") * 100
     return table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        fleet.fare_cents(miles, F.round(minutes, 2), "2.50", "1.255", "0.305").alias("cents"))
+        fleet.fare_cents(miles, minutes, "2.50", "1.255", "0.305").alias("cents"))
 
 
 def _lookups(spark, folder):
@@ -200,8 +200,8 @@ ORACLES = {
     "segment_continuity": f"""{_SEGMENTS}, cut AS (SELECT *, CASE WHEN segment_id % 97 = 0 THEN e - 0.5 ELSE e END e2 FROM seg),
         l AS (SELECT *, lag(e2) OVER (PARTITION BY user_id ORDER BY s, segment_id) p FROM cut)
         SELECT user_id, count(*) AS segments, count(*) FILTER (p <> s) AS breaks, round(min(s), 4) + 0.0 AS first_start, round(max(e2), 4) + 0.0 AS last_end FROM l GROUP BY 1""",
-    "peak_concurrency": """WITH m AS (SELECT epoch_us(ts) at, 1 c FROM events UNION ALL SELECT epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 600000, -1 FROM events),
-        s AS (SELECT at, sum(c) c FROM m GROUP BY 1) SELECT CAST(max(o) AS BIGINT) AS peak FROM (SELECT sum(c) OVER (ORDER BY at) o FROM s)""",
+    "peak_concurrency": """WITH m AS (SELECT epoch_us(ts) t, 1 c FROM events UNION ALL SELECT epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 600000, -1 FROM events),
+        s AS (SELECT t, sum(c) c FROM m GROUP BY 1) SELECT CAST(max(o) AS BIGINT) AS peak FROM (SELECT sum(c) OVER (ORDER BY t) o FROM s)""",
     "hourly_metrics": f"""{_RIDES} SELECT hour, requests, completed AS completed_rides, rejected AS rejected_requests, cents, round(wait, 4) + 0.0 AS average_wait_minutes FROM hourly""",
     "cumulative_revenue": f"{_RIDES} SELECT hour, CAST(sum(cents) OVER (ORDER BY hour) AS BIGINT) AS cumulative_cents FROM hourly",
     "fleet_totals": f"""{_ORDERS}, t AS (SELECT count(*) n, count(*) FILTER (o_orderstatus = 'F') f, count(*) FILTER (o_orderstatus = 'O') o,
@@ -213,10 +213,10 @@ ORACLES = {
         round(CAST(c AS DOUBLE) / 100 / k, 4) + 0.0 AS revenue_per_vehicle_usd, round(CAST(f AS DOUBLE) / k, 4) + 0.0 AS rides_per_vehicle FROM t""",
     "wait_p95": f"{_ORDERS} SELECT round(quantile_cont(CAST(cents % 1500 / 100.0 AS DOUBLE), 0.95), 4) + 0.0 AS p95_wait_minutes FROM c WHERE o_orderstatus = 'F'",
     "fare_cents": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round((2.50::DECIMAL(12,6) + 1.255::DECIMAL(12,6) * CAST(l_quantity AS DECIMAL(18,8))
-        + 0.305::DECIMAL(12,6) * CAST(round(l_extendedprice / 1000, 2) AS DECIMAL(18,8))) * 100, 0) AS BIGINT) AS cents FROM lineitem""",
-    "vehicle_as_of": f"""{_SEGMENTS} {_LOOKUPS}, at AS (SELECT *, CASE WHEN segment_id IS NOT NULL THEN greatest(0, least(1, ("minute" - s) / (e - s))) END f FROM seen)
+        + 0.305::DECIMAL(12,6) * CAST(l_discount * 100 + l_tax * 100 AS DECIMAL(18,8))) * 100, 0) AS BIGINT) AS cents FROM lineitem""",
+    "vehicle_as_of": f"""{_SEGMENTS} {_LOOKUPS}, placed AS (SELECT *, CASE WHEN segment_id IS NOT NULL THEN greatest(0, least(1, ("minute" - s) / (e - s))) END f FROM seen)
         SELECT user_id, lookup_id, round("minute", 4) + 0.0 AS "minute", segment_id, state, round(fx + f * (tx - fx), 4) + 0.0 AS x, round(fy + f * (ty - fy), 4) + 0.0 AS y,
-        CASE WHEN f IS NOT NULL THEN round(atan2(ty - fy, tx - fx), 4) + 0.0 END AS angle FROM at""",
+        CASE WHEN f IS NOT NULL THEN round(atan2(ty - fy, tx - fx), 4) + 0.0 END AS angle FROM placed""",
     "state_histogram": f"""{_SEGMENTS} {_LOOKUPS} SELECT round("minute", 4) + 0.0 AS "minute", coalesce(state, 'none') AS state, count(*) AS vehicles FROM seen GROUP BY 1, 2""",
     "nearest_feasible": f"""WITH r AS (SELECT o_orderkey request_id, CAST({sql_x('o_orderkey')} AS DOUBLE) ox, CAST({sql_y('o_orderkey')} AS DOUBLE) oy, CAST({sql_x('o_orderkey + 3')} AS DOUBLE) dx, CAST({sql_y('o_orderkey + 3')} AS DOUBLE) dy FROM orders),
         v AS (SELECT s_suppkey vehicle_id, CAST({sql_x('s_suppkey')} AS DOUBLE) x, CAST({sql_y('s_suppkey')} AS DOUBLE) y, 120.0::DOUBLE + (s_suppkey * 37) % 200 rng FROM supplier WHERE s_suppkey % 5 <> 0),
