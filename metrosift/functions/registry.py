@@ -169,17 +169,23 @@ def normalized(value: Column, lower, upper) -> Column:
     )
 
 
-def normal_sql(spec: FeatureSpec, lower: float, upper: float) -> str:
-    """``normalized(transformed(column))`` as one SQL expression over the key's column.
+def transform_sql(spec: FeatureSpec) -> str:
+    """``transformed`` of the key's own column as SQL text, for wide tables.
 
-    Wide tables evaluate tens of these, and text crosses to the JVM in one call.
+    They evaluate tens of these, and text crosses to the JVM in one call.
     """
     v = f"cast(`{spec.key}` AS DOUBLE)"
-    bad = f"isnan({v}) OR abs({v}) = double('infinity')"
-    t = v
+    bad, out = f"isnan({v}) OR abs({v}) = double('infinity')", v
     if spec.transform == "log1p":
-        bad, t = f"{bad} OR {v} < 0", f"log1p({v})"
+        bad, out = f"{bad} OR {v} < 0", f"log1p({v})"
+    elif spec.transform != "linear":
+        raise CheckFailed(f"Unknown transform: {spec.transform}")
+    return f"CASE WHEN {bad} THEN raise_error('Value outside the domain of {spec.transform}') ELSE {out} END"
+
+
+def normal_sql(spec: FeatureSpec, lower: float, upper: float) -> str:
+    """``normalized(transformed(column))`` as SQL text; ``lower < upper``."""
     return (
-        f"CASE WHEN {bad} THEN raise_error('Value outside the domain of {spec.transform}') "
-        f"WHEN {v} IS NOT NULL THEN least(1D, greatest(0D, ({t} - {lower!r}D) / ({upper!r}D - {lower!r}D))) END"
+        f"CASE WHEN `{spec.key}` IS NOT NULL THEN least(1D, greatest(0D, "
+        f"({transform_sql(spec)} - {lower!r}D) / ({upper!r}D - {lower!r}D))) END"
     )

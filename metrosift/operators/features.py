@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrosift.functions.registry import FeatureSpec, normalized, transformed
+from metrosift.functions.registry import FeatureSpec, normalized, transform_sql, transformed
 from metrosift.operators.checks import CheckFailed, require_none
 
 
@@ -80,24 +80,16 @@ def freeze_bounds(cohort: DataFrame, specs: Sequence[FeatureSpec]) -> DataFrame:
 
     One scan with map-side min/max; the result has one row per registered key.
     """
-    aggregates = [F.count(F.lit(1)).alias("_n")]
-    for s in specs:
-        t = transformed(F.col(s.key).cast("double"), s.transform)
-        aggregates += [F.min(t).alias(f"{s.key}.lower"), F.max(t).alias(f"{s.key}.upper"),
-                       F.count(s.key).alias(f"{s.key}.n")]
-    one = cohort.agg(*aggregates)
-    rows = F.array(*[
-        F.struct(
-            F.lit(s.key).alias("key"),
-            F.when(F.col("_n") == 0, F.raise_error(F.lit("Empty normalization cohort")))
-            .when(F.col(f"`{s.key}.n`") < F.col("_n"),
-                  F.raise_error(F.lit(f"Incomplete normalization cohort: {s.key}")))
-            .otherwise(F.col(f"`{s.key}.lower`")).alias("lower"),
-            F.col(f"`{s.key}.upper`").alias("upper"),
-        )
-        for s in specs
-    ])
-    return one.select(F.inline(rows))
+    aggregates = [F.expr("count(1)").alias("_n")]
+    for i, s in enumerate(specs):
+        t = transform_sql(s)
+        aggregates += [F.expr(e) for e in (f"min({t}) AS _lo{i}", f"max({t}) AS _hi{i}", f"count(`{s.key}`) AS _n{i}")]
+    rows = ", ".join(
+        f"named_struct('key', '{s.key}', 'lower', CASE WHEN _n = 0 THEN raise_error('Empty normalization cohort') "
+        f"WHEN _n{i} < _n THEN raise_error('Incomplete normalization cohort: {s.key}') ELSE _lo{i} END, 'upper', _hi{i})"
+        for i, s in enumerate(specs)
+    )
+    return cohort.agg(*aggregates).select(F.expr(f"inline(array({rows}))"))
 
 
 def bounds_of(bounds: DataFrame, specs: Sequence[FeatureSpec]) -> dict[str, tuple[float, float]]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrosift.functions import geo
-from metrosift.operators.joins import BROADCAST_ROWS, SALTS, join_lookup, salted_join
+from metrosift.operators.joins import BROADCAST_ROWS, join_lookup, salted_join
 from metrosift.session import stage
 
 MAX_ROUNDS = 60
@@ -222,16 +222,21 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, limit: int | float | No
         edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length")
     ).groupBy("a", "b").agg(F.min("length").alias("length"))
     ways = stage(ways, "ways")
-    few = ways.count() <= BROADCAST_ROWS
+    few_ways = ways.count() <= BROADCAST_ROWS
     kind = dict(ways.dtypes)
     reached = stage(sources.select(
         F.col("source"), F.col("source").alias("node"), F.lit(0).cast(kind["length"]).alias("cost"),
         F.lit(None).cast(kind["a"]).alias("previous"), F.lit(True).alias("fresh"),
     ), "reached")
+    fresh = reached.count()
     while True:
         edge = reached.where("fresh").select("source", F.col("node").alias("a"), "cost")
-        step = edge.join(F.broadcast(ways), "a") if few else salted_join(
-            ways, edge, ["a"], F.col("b"), SALTS)
+        if few_ways:
+            step = edge.join(F.broadcast(ways), "a")
+        elif fresh <= BROADCAST_ROWS:
+            step = ways.join(F.broadcast(edge), "a")
+        else:
+            step = salted_join(ways, edge, ["a"], F.col("b"))
         new = step.select("source", F.col("b").alias("node"), (F.col("cost") + F.col("length")).alias("cost"),
                           F.col("a").alias("previous"), F.lit(None).cast(kind["length"]).alias("old"))
         if limit is not None:
@@ -244,5 +249,6 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, limit: int | float | No
             "source", "node", "m.cost", "m.previous",
             (F.col("old").isNull() | (F.col("m.cost") < F.col("old"))).alias("fresh"),
         ), "reached")
-        if reached.where("fresh").isEmpty():
+        fresh = reached.where("fresh").count()
+        if not fresh:
             return reached.drop("fresh")

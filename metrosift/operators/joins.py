@@ -69,12 +69,28 @@ def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
 
 def salted_join(
     left: DataFrame, right: DataFrame, on: list[str], spread_by: Column,
-    salts: int, how: str = "inner",
+    salts: int = SALTS, how: str = "inner",
 ) -> DataFrame:
-    """Equi-join where each key of ``left`` is spread over ``salts`` reducers.
+    """Equi-join of two large sides in which a hot key of ``left`` meets many reducers.
 
-    ``right`` is repeated once per salt, so use it for the side with few rows per key.
+    Hot keys are counted first (a map-side aggregate; there are at most 1/HOT_SHARE of
+    them). Their ``left`` rows are spread over ``salts`` and only their ``right`` rows are
+    repeated per salt; everything else is shuffled once, as in a plain join.
     """
-    l = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = F.broadcast(hot_keys(left, on))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    l = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    r = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return l.join(r, [*on, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small table as many partitions as there are cores.
+
+    For steps that do much work per row: a small file is one split and would be one
+    task. A large table already has many splits and is left as it is.
+    """
+    if estimated_bytes(df) > SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)

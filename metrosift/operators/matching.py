@@ -12,12 +12,17 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrosift.operators.joins import SALTS
+
 REFERENCES_IN_PLAN = 512
+# Vectors at least this long are compared as Arrow batches instead of expressions.
+WIDE_VECTOR = 16
 BLOCK_VECTORS = 1024
-SALTS = 16
 _SHAPE = "array<struct<v: array<double>, m: array<struct<r: string, e: string>>>>"
 MATCH = "array<struct<reference_id: string, entity_id: string, distance: double, similarity: double>>"
 
@@ -52,11 +57,47 @@ def _best(blocks: str, vector: str, entity: str, weights: Sequence[float], k: in
         "'distance', x.distance, 'reference_id', x.m.r, 'entity_id', x.m.e))"
     )
     return F.expr(
-        f"transform(slice(array_sort({flat}), 1, {k}), x -> named_struct('reference_id', x.reference_id, "
+        f"transform(slice(sort_array({flat}), 1, {k}), x -> named_struct('reference_id', x.reference_id, "
         "'entity_id', x.entity_id, 'distance', x.distance, 'similarity', (1 - least(1D, x.distance)) * 100))"
     )
 
 
+def _best_arrays(sample: list, weights: Sequence[float], k: int):
+    """The same match as an Arrow-batched function, for vectors too long for expressions.
+
+    One batch is one matrix; distances are plain differences, so equal vectors are at
+    distance exactly zero.
+    """
+    refs = sorted(sample, key=lambda g: g["m"][0]["r"])
+    matrix = np.array([list(g["v"]) for g in refs], dtype=float).reshape(len(refs), len(weights))
+    members = [[(m["r"], m["e"]) for m in g["m"]] for g in refs]
+    w = np.array(weights, dtype=float)
+
+    @F.pandas_udf(MATCH)
+    def match(vectors: pd.Series, entities: pd.Series) -> pd.Series:
+        x = np.stack([np.asarray(v, dtype=float) for v in vectors]) if len(vectors) else np.empty((0, len(w)))
+        d = np.stack([np.sqrt(((x - row) ** 2) @ w) for row in matrix], axis=1) if len(refs) else np.empty((len(x), 0))
+        # The walk in distance order stops once k are found and no tie is left.
+        order = np.argsort(d, axis=1, kind="stable")
+        out = []
+        for i, entity in enumerate(entities):
+            found = []
+            for j in order[i]:
+                if len(found) >= k and d[i, j] > found[k - 1][0]:
+                    break
+                other = next((m for m in members[j] if m[1] != entity), None)
+                if other:
+                    found.append((float(d[i, j]), *other))
+            found.sort()
+            out.append([
+                {"reference_id": r, "entity_id": e, "distance": z, "similarity": (1 - min(1.0, z)) * 100}
+                for z, r, e in found[:k]
+            ])
+        return pd.Series(out)
+
+    return match
+
+
 def add_matches(
     candidates: DataFrame, groups: DataFrame, vector: Column, weights: Sequence[float],
     k: int = 3, name: str = "matches", limit: int = REFERENCES_IN_PLAN,
@@ -66,6 +107,8 @@ def add_matches(
     ``candidates`` has a unique ``entity_id``. Ties go to the lower reference id.
     """
     sample = groups.limit(limit + 1).collect()
+    if len(sample) <= limit and len(weights) >= WIDE_VECTOR:
+        return candidates.withColumn(name, _best_arrays(sample, weights, k)(vector, F.col("entity_id")))
     if len(sample) <= limit:
         text = json.dumps([
             {"v": list(g["v"]), "m": [{"r": m["r"], "e": m["e"]} for m in g["m"]]} for g in sample

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from metrosift.functions.registry import DEFAULT_WEIGHTS, PILLARS, FeatureSpec, normal_sql
 from metrosift.operators import features as fx
 from metrosift.operators.checks import CheckFailed, require_none
-from metrosift.operators.joins import join_lookup
+from metrosift.operators.joins import join_lookup, spread
 from metrosift.operators.matching import MATCH, REFERENCES_IN_PLAN, add_matches, group_references
 from metrosift.operators.ordered import add_position
 from metrosift.session import stage
@@ -87,7 +87,7 @@ def score(
         return df.withColumns({f"_n_{s.key}": F.expr(normal_sql(s, *bounds[s.key])) for s, _ in which})
 
     members = references.select("entity_id").distinct().withColumn("_is_reference", F.lit(True))
-    marked = with_normals(join_lookup(wide, members, ["entity_id"], "left"), active)
+    marked = with_normals(join_lookup(spread(wide, "entity_id"), members, ["entity_id"], "left"), active)
     reasons = [f"CASE WHEN `{s.key}` IS NULL THEN 'Missing feature: {s.key}' END" for s in specs]
     reasons += [f"'No discriminating features in {p}'" for p in PILLARS if not grouped[p]]
     if not include_references:
@@ -116,7 +116,7 @@ def score(
     scored = _with_nearest(scored, ref_rows, few, [s for s, _ in familiarity], with_normals, familiarity)
     factors = ", ".join(_factor(s, w) for s, w in active)
     performance = (
-        "array_sort(transform(factors, f -> named_struct('p', CASE WHEN f.pillar = 'familiarity' "
+        "sort_array(transform(factors, f -> named_struct('p', CASE WHEN f.pillar = 'familiarity' "
         "THEN 1 - sqrt(f.distance_component) ELSE f.normalized_value END, 'key', f.key)))"
     )
     total = " + ".join(f"{p} * {shares[p]!r}D" for p in PILLARS)
@@ -195,12 +195,13 @@ def _with_nearest(scored: DataFrame, ref_rows: DataFrame, few: bool, specs, with
 def rank(scored: DataFrame) -> DataFrame:
     """Rank the scored rows by full-precision score, ties by id; the rest get null.
 
-    Positions come from a range-partitioned sort, so no task sees all entities.
+    The scores are computed once into a scratch table. Only (id, score) pairs are sorted,
+    range-partitioned so no task sees all of them, and the positions are joined back.
     """
-    keep = [c for c in scored.columns if c != "rank"]
-    order = [F.col("expansion_score").desc_nulls_last(), F.col("entity_id")]
-    placed = add_position(scored.select(*keep), order, "rank")
-    return placed.withColumn("rank", F.when(F.col("expansion_score").isNotNull(), F.col("rank")))
+    rows = stage(scored.drop("rank"), "scored")
+    pairs = rows.where("expansion_score IS NOT NULL").select("entity_id", "expansion_score")
+    placed = add_position(pairs, [F.col("expansion_score").desc(), F.col("entity_id")], "rank")
+    return rows.join(placed.select("entity_id", "rank"), "entity_id", "left")
 
 
 def rank_entities(wide, references, specs, bounds, request=RankingRequest(), entity_ids=None,

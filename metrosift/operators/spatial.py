@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrosift.functions import geo
-from metrosift.operators.joins import SALTS, fits, join_lookup, salted_join
+from metrosift.operators.joins import fits, join_lookup, salted_join, spread
 from metrosift.operators.ordered import add_running_total, carry_last
 from metrosift.session import stage
 
@@ -56,15 +56,18 @@ def box_join(points: DataFrame, boxes: DataFrame, spread_by: str, how: str = "in
     levels = sorted(r[0] for r in filed.select("_level").distinct().collect()) or [0]
     cells = _pointed(points, levels)
     inside = "x >= x0 AND x <= x1 AND y >= y0 AND y <= y1"
+    if how == "inner":
+        if fits(filed):
+            joined = cells.join(F.broadcast(filed), CELL)
+        elif fits(cells):
+            joined = F.broadcast(cells).join(filed, CELL)
+        else:
+            joined = salted_join(cells, filed, CELL, F.col(spread_by))
+        return joined.where(inside).drop(*CELL)
     if fits(filed):
-        filed = F.broadcast(filed)
-        if how == "inner":
-            return cells.join(filed, CELL).where(inside).drop(*CELL)
-        joined = cells.join(filed, CELL, "left")
-    elif how == "inner":
-        return salted_join(cells, filed, CELL, F.col(spread_by), SALTS).where(inside).drop(*CELL)
+        joined = cells.join(F.broadcast(filed), CELL, "left")
     else:
-        joined = salted_join(cells, filed, CELL, F.col(spread_by), SALTS, "left")
+        joined = salted_join(cells, filed, CELL, F.col(spread_by), how="left")
     keep = F.expr(inside)
     right = [c for c in boxes.columns]
     return joined.select(
@@ -193,7 +196,7 @@ def nearest_stations(
         if fits(right):
             pairs = left.join(F.broadcast(right), ["_band", "_cell"])
         else:
-            pairs = salted_join(left, right, ["_band", "_cell"], F.col("place_id"), SALTS)
+            pairs = salted_join(left, right, ["_band", "_cell"], F.col("place_id"))
         distance = geo.great_circle_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
         order = Window.partitionBy("place_id", *group).orderBy("distance_km", "station_id")
         top = (
@@ -337,10 +340,10 @@ def hash_uniform(*parts: Column) -> Column:
 def sample_in_polygons(polygons: DataFrame, n: int = 32, seed: str = "", attempts: int = 100_000) -> DataFrame:
     """First ``n`` seeded uniform points of the bounding box that fall inside the ring.
 
-    Row-local: no pairs and no shuffle. Most shapes need few draws, so the long
-    sequence is only tried where the short one came up short.
+    Row-local: no pairs and no shuffle of points. Most shapes need few draws, so a longer
+    sequence is only tried where the shorter one came up short.
     """
-    boxes = ring_boxes(polygons)
+    boxes = ring_boxes(spread(polygons, "polygon_id"))
 
     def draws(count: int) -> Column:
         points = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(
@@ -351,8 +354,9 @@ def sample_in_polygons(polygons: DataFrame, n: int = 32, seed: str = "", attempt
         ))
         return F.slice(F.filter(points, lambda p: geo.inside_ring(p["x"], p["y"], F.col("ring"))), 1, n)
 
-    tried = boxes.withColumn("_s", draws(8 * n))
-    tried = tried.withColumn("_s", F.when(F.size("_s") >= n, F.col("_s")).otherwise(draws(attempts)))
+    tried = boxes.withColumn("_s", draws(2 * n))
+    for count in (16 * n, attempts):
+        tried = tried.withColumn("_s", F.when(F.size("_s") >= n, F.col("_s")).otherwise(draws(count)))
     enough = F.when(F.size("_s") >= n, F.col("_s")).otherwise(
         F.raise_error(F.lit("Could not sample enough points inside a polygon"))
     )

@@ -92,9 +92,8 @@ def setup(spark: SparkSession, folder: str):
     """Staged wide features, checked references and frozen bounds of the markets."""
     wide = stage(market_wide(spark, folder), "markets")
     refs = stage(release.disable_incomplete(references(spark, folder), wide, SPECS), "references")
-    cohort = release.cohort_of(wide, wide.select("entity_id"), refs, SPECS)
-    frozen = fx.freeze_bounds(wide.join(cohort, "entity_id", "left_semi"), SPECS)
-    return wide, refs, frozen
+    # Here every nation is a candidate or a reference, so the cohort is the complete rows.
+    return wide, refs, fx.freeze_bounds(wide.where(fx.is_complete(SPECS)), SPECS)
 
 
 def ranked_markets(spark, folder, request=scoring.RankingRequest()):

@@ -22,6 +22,8 @@ def build_session(app: str = "metrosift", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Small but costly stages keep their parallelism; the count stays bounded by the cores.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **{k: str(v) for k, v in conf.items()},
     }
