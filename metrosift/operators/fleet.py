@@ -290,3 +290,12 @@ def compare_scenarios(runs: DataFrame, sequence: str, metrics: Sequence[str]) ->
         *[F.col(f"_before.{m}").alias(f"previous_{m}") for m in metrics],
         *[(F.col(m) - F.col(f"_before.{m}")).alias(f"change_{m}") for m in metrics],
     )
+
+
+def playback_order(segments: DataFrame) -> DataFrame:
+    """Segments grouped by vehicle in time order, ready to be read back in that order.
+
+    Ranges of (vehicle, start) keep a busy vehicle from filling one partition.
+    """
+    order = ["vehicle_id", "start_minute", "end_minute"]
+    return segments.repartitionByRange(*order).sortWithinPartitions(*order)
