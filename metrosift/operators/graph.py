@@ -6,6 +6,8 @@ executor costs at most one round.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,8 +194,9 @@ def junctions(nodes: DataFrame, tolerance: float, ring: DataFrame | None = None,
 
 def _inside(nodes: DataFrame, ring: DataFrame, border: float) -> DataFrame:
     """Nodes within the single boundary polygon and farther than ``border`` from its edge."""
-    points = [p.asDict() for p in ring.first()["ring"]]
-    constant = F.array(*[F.struct(F.lit(p["x"]).alias("x"), F.lit(p["y"]).alias("y")) for p in points])
+    text = json.dumps([[p["x"], p["y"]] for p in ring.first()["ring"]])
+    parsed = F.from_json(F.lit(text), "array<array<double>>")  # folded to a constant once
+    constant = F.transform(parsed, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     x, y = F.col("x"), F.col("y")
     return nodes.where(geo.inside_ring(x, y, constant) & (geo.distance_to_ring(x, y, constant) > border))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metrosift.functions import parsing
 from metrosift.operators import census, features as fx
+from metrosift.operators.joins import join_lookup
 from metrosift.plans.common import big, r4, table
 from metrosift.plans.scoring import charging, sites
 from metrosift.sources.readers import newest_complete_file
@@ -90,8 +91,9 @@ def moe_status(spark, folder):
 
 
 def max_relative_margin(spark, folder):
-    out = census.max_relative_margin(table(spark, folder, "orders").join(
-        table(spark, folder, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")), "o_totalprice", "l_extendedprice")
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice")
+    both = join_lookup(lines, table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    out = census.max_relative_margin(both, "o_totalprice", "l_extendedprice")
     return out.select(r4("max_relative_margin").alias("max_relative_margin"))
 
 

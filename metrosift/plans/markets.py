@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metrosift.operators import audit, markets
+from metrosift.operators.joins import join_lookup
 from metrosift.plans import scoring as sc
 from metrosift.plans.common import big, point_x, point_y, r4, sql_x, sql_y, table
 from metrosift.plans.graph import SUPPLIER_BASE
@@ -100,7 +101,8 @@ def road_features(spark, folder):
     """Line items as roads of the supplier's nation, with intersection density."""
     p, q = F.col("l_partkey") + 1, F.col("l_suppkey") + SUPPLIER_BASE
     kind = F.element_at(F.array(*[F.lit(x) for x in ("freeway", "arterial", "local")]), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    edges = table(spark, folder, "lineitem").join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+    home = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    edges = join_lookup(table(spark, folder, "lineitem"), home, ["l_suppkey"]).select(
         F.col("s_nationkey").alias("metro"), F.col("l_linenumber").alias("county"), kind.alias("road_class"), F.col("l_quantity").alias("length_km"),
         p.alias("from_node"), q.alias("to_node"), point_x(p).alias("from_x"), point_y(p).alias("from_y"), point_x(q).alias("to_x"), point_y(q).alias("to_y"))
     areas = table(spark, folder, "nation").select(F.col("n_nationkey").alias("metro"), F.lit(100.0).alias("land_area_km2"))

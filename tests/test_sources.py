@@ -176,3 +176,13 @@ def test_failing_batch_stops_the_stream(spark, tmp_path):
     query = stream.checked_batches(rides, stream.require_conserved_batch, str(tmp_path / "out"))
     with pytest.raises(Exception, match="reconcile"):
         query.awaitTermination()
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """The watermark is past the first hour, one batch later it counts, then a row for that hour comes."""
+    path = str(tmp_path / "in")
+    write_batches(spark, path, [[(60, 1, "a"), (120, 1, "a")], [(9000, 1, "a")], [(9030, 1, "a")], [(180, 1, "a"), (9060, 1, "a")], [(30000, 1, "a")]])
+    agg = stream.hourly(one_file_at_a_time(spark, path), "ts", ["event_type"], "10 minutes", "2024-01-01 08:00:00")
+    got = [(h.hour, n) for h, n in rows(stream.drain(agg, "late"), "hour", "events")]
+    assert got[0] == (0, 2)  # the late row is not counted
+    assert all(h < 8 for h, _ in got)  # rows at or after the cut-off never count
