@@ -50,9 +50,9 @@ def components(edges: DataFrame) -> DataFrame:
     algorithm, which end with every node linked to its component's lowest id after few
     rounds even on long chains and never add edges. Only minima are aggregated.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    loops = pairs.where("u = v").select(F.col("u").alias("node")).distinct()
-    links = stage(pairs.where("u <> v").distinct(), "links")
+    pairs = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
+    loops = pairs.where("u = v").select(F.col("u").alias("node"))
+    links = pairs.where("u <> v")
     mark = None
     for _ in range(MAX_ROUNDS):
         size = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -64,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = _meet(both, low, ["u"], small).where("v > u").select(
             F.col("v").alias("u"), F.col("m").alias("v")
-        ).where("u <> v").distinct()
+        ).where("u <> v")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         if not small:
             down = stage(down, "large-star")
@@ -169,6 +169,7 @@ def proximity_clusters(points: DataFrame, tolerance: float) -> DataFrame:
     of one location collapse before anything is compared.
     """
     side = tolerance / 2**0.5 * (1 - 1e-12)
+    points = stage(points.select("node", "x", "y"), "points")
     spots = stage(points.groupBy("x", "y").agg(F.min("node").alias("node")), "spots")
     cell = [F.floor(F.col(c) / side).cast("long").alias(f"c{c}") for c in ("x", "y")]
     all_points = points.select("node", *cell)
