@@ -111,3 +111,32 @@ def test_peak_frees_before_it_takes(many_slices):
     df = many_slices.createDataFrame([(0, 10), (5, 8), (8, 12), (10, 11)], "s long, e long")
     assert fleet.concurrency_peak(df, "s", "e").first()[0] == 2
     assert fleet.concurrency_peak(df.limit(0), "s", "e").first()[0] == 0
+
+
+def test_scratch_folder(spark, monkeypatch):
+    """The named folder is used; without one only a local master gets a folder of its own."""
+    from metrosift import session
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert session.scratch_root(spark) == named.rstrip("/")
+
+    class Context:
+        applicationId, master = "app-x", "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Bare:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_root(Bare)
+    Context.master = "local[2]"
+    assert session.scratch_root(Bare) == session.scratch_root(Bare)
