@@ -113,6 +113,27 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, kind)
 
 
+def _packer(turn: int, capacity: int, last: bool):
+    """Packs one part; unless it is the last turn, sequences are opened where the bound is missed."""
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="__part").sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+        lengths = rows["length"].to_numpy(np.int64)
+        bins, offsets = best_fit_decreasing(lengths, capacity)
+        used = int(bins.max()) + 1
+        gap = 0 if last else used - lower_bound(lengths, capacity)
+        fill, opened = np.bincount(bins, lengths), np.zeros(used, bool)
+        if gap > 0:
+            # enough loose sequences for the pooled pieces to find partners among other parts' pieces
+            loose = np.argsort(fill, kind="stable")[: max(8 * gap, used // 20)]
+            opened[loose[fill[loose] < capacity]] = True
+        rows["sequence_id"] = (turn << 56) + (int(key[0]) << 24) + bins
+        rows["offset"], rows["open"] = offsets, opened[bins]
+        return rows
+
+    return pack
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = LENGTH, per_part: int = PER_PART) -> DataFrame:
     """``pieces`` with sequence_id and offset added; ``length`` is 1 to ``capacity``.
 
@@ -125,27 +146,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = LENGTH, per_part: int = PER_P
     for turn in range(_ROUNDS):
         parts = max(1, -(-n // per_part))
         last = turn == _ROUNDS - 1 or n == before or (turn > 0 and parts == 1)
-
-        def pack(key: tuple, rows: pd.DataFrame, turn=turn, last=last) -> pd.DataFrame:
-            rows = rows.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
-            lengths = rows["length"].to_numpy(np.int64)
-            bins, offsets = best_fit_decreasing(lengths, capacity)
-            used, gap = int(bins.max()) + 1, 0
-            if not last:
-                gap = used - lower_bound(lengths, capacity)
-            fill = np.bincount(bins, lengths)
-            opened = np.zeros(used, bool)
-            if gap > 0:
-                # enough loose sequences for the pooled pieces to find partners among other parts' pieces
-                loose = np.argsort(fill, kind="stable")[: max(8 * gap, used // 20)]
-                opened[loose[fill[loose] < capacity]] = True
-            rows["sequence_id"] = (turn << 56) + (int(key[0]) << 24) + bins
-            rows["offset"], rows["open"] = offsets, opened[bins]
-            return rows
-
         dealt = waiting.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(parts)))
         done = stage(dealt.repartition(parts, "__part").groupBy("__part").applyInPandas(
-            lambda key, rows, pack=pack: pack(key, rows.drop(columns="__part")), kind), "packed")
+            _packer(turn, capacity, last), kind), "packed")
         found.append(done.where("not open"))
         before = n
         waiting = done.where("open").select(columns)
