@@ -91,6 +91,10 @@ def _search(k: int, step: int):
     return search
 
 
+def _upto(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def top_k(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE,
           candidates_per_block: int = CANDIDATES_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best candidates of each row where ``asks`` holds.
@@ -99,7 +103,7 @@ def top_k(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", vector: str
     candidates, each pair in one task of bounded size, and a window merges their best.
     Vectors that are null or hold null or non-finite components take no part, nor do null
     ids; shorter vectors count as ended by zeros. A repeated id is a candidate once per row
-    and one query per distinct vector. Ties go to the smaller id. Fewer than ``k``
+    and its distinct vectors share one ranking. Ties go to the smaller id. Fewer than ``k``
     candidates give fewer rows, none give none; other columns are not carried.
     """
     own = vectors.select(F.col(vec_id).cast("long").alias("id"), quantized(F.col(vector), scale).alias("v"), asks.alias("asked"))
@@ -114,9 +118,9 @@ def top_k(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", vector: str
     n_blocks = parts_for(own, F.lit(1), candidates_per_block)
     n_chunks = parts_for(own.where("asked"), F.lit(1), queries_per_block)
     block, chunk = (F.pmod(F.xxhash64("id", F.lit(s)), F.lit(n)) for s, n in (("block", n_blocks), ("chunk", n_chunks)))
-    candidates = own.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).cast("long").alias("chunk"),
+    candidates = own.select(block.alias("block"), F.explode(_upto(n_chunks)).alias("chunk"),
                             F.lit(False).alias("asks"), "id", "q")
-    queries = own.where("asked").select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long").alias("block"),
+    queries = own.where("asked").select(F.explode(_upto(n_blocks)).alias("block"),
                                         chunk.alias("chunk"), F.lit(True).alias("asks"), "id", "q").distinct()
     found = candidates.unionByName(queries).groupBy("block", "chunk").applyInArrow(
         _search(k, DIMENSIONS_PER_STEP), "query_id long, vec_id long, score long")
