@@ -47,9 +47,9 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each segment; starts must rise."""
-    out = [np.zeros(len(starts), np.uint64) for _ in _BASES]
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int = 2) -> list[np.ndarray]:
+    """``n`` (1 or 2) independent 64-bit hashes of each segment; starts must rise."""
+    out = [np.zeros(len(starts), np.uint64) for _ in range(n)]
     for part in _slices(starts, ends):
         s, e = starts[part], ends[part]
         low, high = int(s[0]), int(e.max())
@@ -59,7 +59,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
             with np.errstate(over="ignore"):
                 np.cumsum(values[block] * up[:len(block)], out=sums[1:])
                 result[part] = mixed((sums[e - low] - sums[s - low]) * down[s - low] + (e - s).astype(np.uint64))
-    return out[0], out[1]
+    return out
 
 
 def _slices(starts: np.ndarray, ends: np.ndarray) -> Iterator[slice]:
