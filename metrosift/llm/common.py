@@ -67,3 +67,21 @@ def batches_of(schema: pa.Schema, rows: Iterator[tuple], size: int = 4096) -> It
             held = []
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+_FINE = 100
+
+
+def range_bounds(rows: DataFrame, key: str, parts: int) -> list[int]:
+    """Rising values of the long column ``key``, the least first, that cut ``rows`` into about ``parts`` equal ranges."""
+    shares = F.array(*[F.lit(i / parts) for i in range(parts)])
+    found = rows.agg(F.percentile_approx(key, shares, F.lit(20 * parts + 1000)).alias("b"), F.min(key).alias("m")).first()
+    return sorted({*(found["b"] or [0]), found["m"] or 0})
+
+
+def range_of(bounds: list[int], key: Column) -> Column:
+    """How many of the rising ``bounds`` are at most ``key``, looked up in two steps."""
+    whole, coarse = F.array(*[F.lit(b).cast("long") for b in bounds]), F.array(*[F.lit(b).cast("long") for b in bounds[::_FINE]])
+    step = F.greatest(F.size(F.filter(coarse, lambda b: b <= key)) - 1, F.lit(0))
+    fine = F.slice(whole, step * _FINE + 1, F.lit(_FINE))
+    return step * _FINE + F.size(F.filter(fine, lambda b: b <= key))

@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metrosift.llm.common import table
+from metrosift.llm.common import range_bounds, range_of, table
 from metrosift.session import stage
 
 SHINGLE, K = 5, 64
 #: Rows of a neighbour bucket, about, and the most buckets that are told apart.
 PER_BUCKET, MAX_BUCKETS = 2_000, 10_000
-_FINE = 100
 #: Bucket edges are sent to every task up to this many rows.
 MAX_BROADCAST_EDGES = 100_000
 _BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -81,14 +80,6 @@ def hex_string(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def _bucket(bounds: list[int], key: Column) -> Column:
-    """How many of the rising ``bounds`` are at most ``key``, looked up in two steps."""
-    whole, coarse = F.array(*[F.lit(b).cast("long") for b in bounds]), F.array(*[F.lit(b).cast("long") for b in bounds[::_FINE]])
-    step = F.size(F.filter(coarse, lambda b: b <= key))
-    fine = F.slice(whole, F.greatest(step - 1, F.lit(0)) * _FINE + 1, F.lit(_FINE))
-    return F.greatest(step - 1, F.lit(0)) * _FINE + F.size(F.filter(fine, lambda b: b <= key))
-
-
 def with_next(docs: DataFrame, key: str, text: str, per_bucket: int = PER_BUCKET, shingle: int = SHINGLE, k: int = K) -> DataFrame:
     """(key, text, sketch, next_text, next_sketch): each row beside the row of the next smaller key.
 
@@ -102,10 +93,8 @@ def with_next(docs: DataFrame, key: str, text: str, per_bucket: int = PER_BUCKET
                         F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("__at"))
     n = keyed.count()
     buckets = min(MAX_BUCKETS, max(1, -(-n // per_bucket)))
-    shares = F.array(*[F.lit(i / buckets) for i in range(buckets)])
-    bounds = sorted({*(keyed.agg(F.percentile_approx("__at", shares, F.lit(20 * buckets + 1000)).alias("b"), F.min("__at").alias("m"))
-                       .selectExpr("array_append(b, m) as b").first()["b"] or [0])} - {None})
-    placed = keyed.withColumn("__bucket", _bucket(bounds, F.col("__at")))
+    bounds = range_bounds(keyed, "__at", buckets)
+    placed = keyed.withColumn("__bucket", range_of(bounds, F.col("__at")))
     edges = stage(placed.groupBy("__bucket").agg(F.max("__at").alias("__at")), "edges")
     top = edges.agg(F.max("__bucket").alias("b")).first()["b"]
     to = edges.select("__at", F.when(F.col("__bucket") == top, 1).otherwise(F.col("__bucket") + 1).alias("__to"),
