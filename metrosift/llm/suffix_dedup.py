@@ -29,7 +29,7 @@ GRAM = 32
 _PIECE = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 #: Bytes of text in a range, of the corpus per bucket of keys and per block of contexts.
-RANGE_BYTES, BUCKET_BYTES, BLOCK_BYTES = 12 << 20, 24 << 20, 24 << 20
+RANGE_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 24 << 20, 24 << 20
 MAX_RANGES = 10_000
 #: Different contexts of a key in one range, and in all, from which on its windows are dealt singly.
 CROWDED_IN_RANGE, CROWDED = 16, 4096
@@ -99,7 +99,8 @@ def _anchors(block, edges, base, length, gram, spread):
     with np.errstate(over="ignore"):
         e = after - 1 + length
         context = mixed((sums[e] - sums[starts]) * down[starts] + (e - starts).astype(np.uint64), 3)
-    return [(starts + base, after - starts, grams[anchor[starts]], context)]
+    # the least hash of a window is small: mixed again, keys spread evenly over ranges
+    return [(starts + base, after - starts, mixed(grams[anchor[starts]], 4), context)]
 
 
 def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
