@@ -27,9 +27,9 @@ from metrosift.llm.segments import KeyTable, first_of_each, hashes, utf8
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct units a worker keeps; beyond it the store is emptied, which costs time only.
-MAX_UNITS = 2_000_000
+MAX_UNITS = 600_000
 #: Bytes of text taken at a time.
-_CHUNK = 4_000_000
+_CHUNK = 2_000_000
 _NONE = np.int32(2**31 - 1)
 #: A blank before one of these always starts a new token, whatever stands before it.
 _STARTS = "!-~À-ɿ"
