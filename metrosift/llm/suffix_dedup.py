@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,9 +206,9 @@ class _Range:
     def __init__(self, rows: pa.Table, length: int) -> None:
         texts = pa.concat_arrays(rows["text"].chunks) if rows.num_rows else pa.array([], pa.string())
         self.length = length
-        by = rows.select(["doc_id"]).append_column("n", pa.array(range(rows.num_rows), pa.int64()))
-        table_order = by.append_column("text", texts).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.order = table_order["n"].to_numpy()
+        sorted_by = pa.table({"doc_id": rows["doc_id"], "text": texts})
+        self.order = pc.sort_indices(sorted_by, sort_keys=[("doc_id", "ascending"), ("text", "ascending")],
+                                     null_placement="at_start").to_numpy()
         self.data, self.offsets = utf8(texts.take(pa.array(self.order)))
         self.start, self.windows, key, context = anchors(self.data, self.offsets, length)
         by = np.lexsort((self.start, context, key))
