@@ -90,9 +90,9 @@ def replace_suffix(version: Column, marker: str, suffix: Column) -> Column:
 def acceptable_wording(
     summary: Column, cited: Column, allowed: Column, shortest: int = 20, longest: int = 600
 ) -> Column:
-    """No digit, banned word or line break; cited ids unique and all allowed."""
+    """No digit of any script, banned word or line break; cited ids unique and all allowed."""
     summary = F.regexp_replace(summary, r"^\s+|\s+$", "")
-    banned = r"(?i)[0-9]|\b(" + "|".join(BANNED_WORDS) + r")\b"
+    banned = r"(?i)\p{Nd}|\b(" + "|".join(BANNED_WORDS) + r")\b"
     return (
         ~summary.rlike(banned)
         & ~F.contains(summary, F.lit("\n"))

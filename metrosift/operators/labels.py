@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metrosift.functions.text import normalized_name
 from metrosift.operators.checks import require_none
-from metrosift.operators.joins import join_lookup
+from metrosift.operators.joins import salted_join
 
 
 def match_labels(labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def match_labels(labels: DataFrame, areas: DataFrame) -> DataFrame:
         F.length("_norm") >= F.col("_length")
     ).withColumn("_part", F.explode(F.expr(
         "array_distinct(transform(sequence(1, length(_norm) - _length + 1), i -> substr(_norm, i, _length)))")))
-    hits = join_lookup(parts, wanted, ["_part"]).where(F.contains(F.upper("name"), F.col("_state")))
+    hits = salted_join(parts, wanted, ["_part"], F.col("name")).where(F.contains(F.upper("name"), F.col("_state")))
     found = hits.groupBy("label_id").agg(F.sum("n").alias("matches"), F.min("area_id").alias("area_id"))
     return labels.select("label_id").join(found, "label_id", "left").select(
         "label_id", F.coalesce("matches", F.lit(0)).alias("matches"),

@@ -180,15 +180,17 @@ def require_only_key_changed(parent: DataFrame, child: DataFrame, key: str) -> N
 def content_digest(df: DataFrame) -> DataFrame:
     """One row (rows, digest): order-free content hash by map-side sums.
 
-    Row hashes are 64-bit, added as decimals, so equal tables in any order agree.
+    Each row's SHA-256 is added up as three numbers of 60 bits, so equal tables in any
+    order agree and no change can cancel another out.
     """
     columns = sorted(df.columns)
-    row = F.xxhash64(*[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in columns])
-    return df.agg(
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in columns]), 256)
+    parts = [F.conv(F.substring("_row", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(3)]
+    return df.select(row.alias("_row")).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("_sum"),
+        *[F.coalesce(F.sum(p), F.lit(0).cast("decimal(38,0)")).alias(f"_sum{i}") for i, p in enumerate(parts)],
     ).select("rows", F.substring(F.sha2(F.concat_ws(
-        "|", F.lit(",".join(columns)), F.col("rows"), F.col("_sum")), 256), 1, 20).alias("digest"))
+        "|", F.lit(",".join(columns)), F.col("rows"), "_sum0", "_sum1", "_sum2"), 256), 1, 20).alias("digest"))
 
 
 def digest_of(df: DataFrame) -> str:

@@ -106,8 +106,9 @@ REQUIRED = {
     "transit_required": ["stops", "routes"],
     "transit_optional": ["trips", "stop_times", "calendar", "shapes"],
 }
-LATITUDE_NAMES = ["LATITUDE", "latitude", "Latitude", "LAT"]
-LONGITUDE_NAMES = ["LONGITUDE", "LONGITUD", "longitude", "Longitude", "LON"]
+# Column names of the published tables (fixed values), compared without case.
+LATITUDE_NAMES = ["latitude", "latitude_1", "lat"]
+LONGITUDE_NAMES = ["longitude", "longitud", "longitude_1", "lon", "long"]
 
 
 def flows(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ def nothing_fits(monkeypatch):
     for module in (joins, spatial):
         monkeypatch.setattr(module, "fits", lambda df, limit=0: False)
     monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(joins, "HOT_SHARE", 0.05)
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 30)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -33,11 +33,31 @@ def test_lookup_join_with_hot_keys(spark, nothing_fits, how):
 def test_salted_join_equals_plain_join(spark, nothing_fits, how):
     left = spark.createDataFrame([(0 if i % 2 else i % 60, i) for i in range(500)], "k long, i long")
     right = spark.createDataFrame([(k, j) for k in range(30) for j in range(3)], "k long, j long")
-    got = joins.salted_join(left, right, ["k"], F.col("i"), 4, how)
+    got = joins.salted_join(left, right, ["k"], F.col("i"), how)
     want = left.join(right, "k", how)
     assert sorted(map(repr, got.select("k", "i", "j").collect())) == sorted(map(repr, want.select("k", "i", "j").collect()))
 
 
+def test_size_check_sees_exploded_rows_and_long_arrays(spark):
+    exploded = spark.range(10).select(F.explode(F.sequence(F.lit(1), F.lit(1_000_000))).alias("n"))
+    assert not joins.fits(exploded)
+    rings = spark.range(3000).select("id", F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda i: i * 1.5).alias("ring"))
+    assert not joins.fits(rings)
+    assert joins.fits(spark.range(1000)) and joins.fits(spark.createDataFrame([(1, "a")], "k long, v string"))
+
+
+def test_hot_key_meets_as_many_tasks_as_its_size_needs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 100_000)
+    rows = spark.range(1_100_000).select(F.when(F.col("id") < 1_000_000, 0).otherwise(F.col("id")).alias("k"))
+    assert [tuple(r) for r in joins.hot_keys(rows, ["k"]).collect()] == [(0, 10)]
+
+
+def test_repeated_hot_lookup_is_refused(spark, nothing_fits):
+    big = spark.createDataFrame([(0, i) for i in range(100)], "k long, i long")
+    with pytest.raises(ValueError):
+        joins.join_lookup(big, spark.createDataFrame([(0, "a"), (0, "b")], "k long, v string"), ["k"])
+
+
 def _entities(spark, n, dims, seed):
     rng = random.Random(seed)
     rows = [(f"e{i:03d}", [rng.choice([0.0, 0.25, 0.5, 1.0]) for _ in range(dims)]) for i in range(n)]

@@ -186,3 +186,10 @@ def test_late_rows_are_dropped(spark, tmp_path):
     got = [(h.hour, n) for h, n in rows(stream.drain(agg, "late"), "hour", "events")]
     assert got[0] == (0, 2)  # the late row is not counted
     assert all(h < 8 for h, _ in got)  # rows at or after the cut-off never count
+
+
+@pytest.mark.parametrize("names", [("LATITUDE_1", "LONGITUDE_1"), ("lat", "long"), ("Latitude", "LONGITUD")])
+def test_published_coordinate_names(spark, names):
+    table = spark.createDataFrame([("1.5", "2.5")], list(names))
+    assert [(r.lat, r.lon) for r in readers.located_rows(table).select(
+        F.col("lat").cast("double").alias("lat"), "lon").collect()] == [(1.5, 2.5)]
