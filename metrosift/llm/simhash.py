@@ -5,11 +5,16 @@ segment from which every chain of l segments differs in at most l * t / m bits.
 first segment is equal and the first two differ in one bit at most: those rows share the
 key (segment, next segment without one bit). Longer chains prune the pairs under a key
 before the whole distance is counted.
+
+A resemblance of 0.8 lies about 15 percent of the bits apart, where that rule leaves keys
+of no use. ``near_copies`` is the form for such distances: fingerprints of several words,
+the same keys around a ring of many segments, budgets in proportion for longer chains,
+and the whole distance counted over all words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,10 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Keyed rows of a bucket, about; the number of buckets grows with the fingerprints.
 PER_BUCKET = 1_000_000
 _BLOCK = 1 << 16
+#: Wide fingerprints: words of 64 bits, segments in each, and the share of bits in which near copies may differ.
+WIDTH, CUTS, SHARE = 6, 6, 0.16
+#: Segments of wide fingerprints that one task compares, about.
+PER_WIDE_BUCKET = 150_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -56,6 +65,24 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(of, "doc_id long, fp long")
 
 
+def wide_fingerprint(text: str | None, shingle: int = 5, width: int = WIDTH) -> bytes:
+    """SimHash of ``width`` words of 64 bits; each word has a hash of its own. No words give zeros."""
+    words = words_of(text)
+    if not words:
+        return bytes(8 * width)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    n = max(1, len(words) - shingle + 1)
+    tally = np.zeros(64 * width, np.int64)
+    for at in range(0, n, _BLOCK):
+        part = words[at:at + _BLOCK + shingle - 1]
+        joined = map(join, zip(*(part[i:] for i in range(shingle)))) if len(words) > shingle else [join(words)]
+        hashed = np.array([digest(s, SEED) for s in joined], np.uint64)
+        own = np.stack([mixed(hashed, 100 + k) for k in range(width)], axis=1).astype("<u8")
+        for some in range(0, len(own), 4096):
+            tally += np.unpackbits(own[some:some + 4096].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(tally * 2 > n, bitorder="little").tobytes()
+
+
 class Ring:
     """The segments of a 64-bit fingerprint for distances up to ``distance`` (1 to 20)."""
 
@@ -108,31 +135,44 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links_within(fps: np.ndarray, keys: np.ndarray, kinds: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all near fingerprints under a common key: at most one per fingerprint.
+def connecting(number: np.ndarray, keys: np.ndarray, near: Callable) -> np.ndarray:
+    """Label of each number after all near pairs under a common key are linked; rows are sorted by key.
 
-    All pairs under a key are compared, at growing offsets in sorted order, but only pairs
-    not yet connected are kept, so memory stays in proportion to the rows. Distinct
-    fingerprints alone come here, and those of one key lie within few bits of each other.
+    All pairs under a key are compared, at growing offsets, but only pairs not yet
+    connected are kept, so memory stays in proportion to the rows. Keys whose rows are all
+    connected are left out from then on, so a group of near copies costs a few offsets.
+    ``near(rows, others)`` gives the places of the pairs that link.
     """
-    order = np.lexsort((fps, keys))
-    fps, keys, kinds = fps[order], keys[order], kinds[order]
-    own, number = np.unique(fps, return_inverse=True)
-    label = np.arange(len(own))
+    label = np.arange(int(number.max()) + 1 if len(number) else 0)
     starts = runs(keys)
     size = np.repeat(np.diff(starts), np.diff(starts))
     place = np.arange(len(keys)) - np.repeat(starts[:-1], np.diff(starts))
-    offset, rows = 1, np.arange(len(keys))
+    offset, check, rows = 1, 2, np.arange(len(keys))
     while True:
         rows = rows[place[rows] + offset < size[rows]]
         if not len(rows):
-            break
-        for at in range(0, len(rows), 1 << 20):
-            part = rows[at:at + (1 << 20)]
+            return label
+        if offset == check:
+            own = label[number]
+            apart = np.minimum.reduceat(own, starts[:-1]) != np.maximum.reduceat(own, starts[:-1])
+            rows, check = rows[np.repeat(apart, np.diff(starts))[rows]], check * 2
+        for at in range(0, len(rows), 1 << 18):
+            part = rows[at:at + (1 << 18)]
             part = part[label[number[part]] != label[number[part + offset]]]
-            hit = part[ring.near(fps[part], fps[part + offset], ring.first[kinds[part]])]
+            hit = part[near(part, part + offset)]
             label = _joined(label, number[hit], number[hit + offset])
         offset += 1
+
+
+def links_within(fps: np.ndarray, keys: np.ndarray, kinds: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all near fingerprints under a common key: at most one per fingerprint.
+
+    Distinct fingerprints alone come here, and those of one key lie within few bits of each other.
+    """
+    order = np.lexsort((fps, keys))
+    fps, keys, first = fps[order], keys[order], ring.first[kinds[order]]
+    own, number = np.unique(fps, return_inverse=True)
+    label = connecting(number, keys, lambda a, b: ring.near(fps[a], fps[b], first[a]))
     linked = np.flatnonzero(label != np.arange(len(own)))
     return own[linked], own[label[linked]]
 
@@ -196,6 +236,123 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+class WideRing:
+    """Segments of fingerprints of several words; none crosses a word's end."""
+
+    def __init__(self, width: int, cuts: int, share: float) -> None:
+        bounds = [64 * i // cuts for i in range(cuts + 1)]
+        self.m, self.width, self.most = width * cuts, width, int(64 * width * share)
+        self.word = np.repeat(np.arange(width), cuts)
+        self.low = np.tile(np.array(bounds[:-1], np.uint64), width)
+        self.bits = np.tile(np.diff(bounds), width)
+        self.mask = np.array([((1 << int(n)) - 1) << int(at) for n, at in zip(self.bits, self.low)], np.uint64)
+
+    def segment(self, fps: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (fps[np.arange(len(fps)), self.word[at]] & self.mask[at]) >> self.low[at]
+
+    def keys(self, fps: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, rows): a key per bit left out of the segment after ``first``."""
+        after = (first + 1) % self.m
+        begun = mixed((first.astype(np.uint64) << np.uint64(32)) | self.segment(fps, first), 7)
+        following, n = self.segment(fps, after), self.bits[after]
+        rows = np.repeat(np.arange(len(fps)), n)
+        bit = (np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+        left = following[rows] & ~(np.uint64(1) << bit)
+        with np.errstate(over="ignore"):
+            return mixed(begun[rows] + mixed((bit << np.uint64(32)) | left, 8)), rows
+
+    def near(self, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Places of the pairs that keep to the budgets of chains of 3 and 4 segments and to the whole distance."""
+        at = np.arange(len(a))
+        counted = np.zeros(len(a), np.int64)
+        for length in range(1, 5):
+            part = (first[at] + length - 1) % self.m
+            counted = counted + np.bitwise_count((a[at, self.word[part]] ^ b[at, self.word[part]]) & self.mask[part])
+            if length > 2:
+                ok = counted <= length * self.most // self.m
+                at, counted = at[ok], counted[ok]
+        return at[np.bitwise_count(a[at] ^ b[at]).sum(1, dtype=np.int64) <= self.most]
+
+
+def wide_links(fps: DataFrame, ring: WideRing, per_bucket: int = PER_WIDE_BUCKET) -> DataFrame:
+    """(a, b): links between ``node`` numbers of distinct wide fingerprints ``fp``.
+
+    A row is sent once for every segment, to the bucket of that segment's bits; the keys
+    are made there. All pairs under a key count.
+    """
+    buckets = max(1, -(-fps.count() * ring.m // per_bucket))
+    size = 8 * ring.width
+    dealt_schema = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("fps", pa.binary()), ("firsts", pa.binary())])
+    link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, ring.width)
+            for at in range(0, len(nodes), 8192):
+                some = fps[at:at + 8192]
+                first = np.tile(np.arange(ring.m), len(some))
+                row = np.repeat(np.arange(len(some)), ring.m)
+                own = mixed((first.astype(np.uint64) << np.uint64(32)) | ring.segment(some[row], first), 9)
+                bucket = (own % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                row, first, bucket = row[order], first[order].astype("<u2"), bucket[order]
+                cuts = runs(bucket)
+                spans = list(zip(cuts, cuts[1:]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[cuts[:-1]]),
+                    pa.array([nodes[at + row[s:e]].tobytes() for s, e in spans], pa.binary()),
+                    pa.array([some[row[s:e]].tobytes() for s, e in spans], pa.binary()),
+                    pa.array([first[s:e].tobytes() for s, e in spans], pa.binary())], schema=dealt_schema)
+
+    def link(rows: pa.Table) -> pa.Table:
+        nodes, fps, first = (np.frombuffer(b"".join(rows[c].to_pylist()), t)
+                             for c, t in (("nodes", np.int64), ("fps", "<u8"), ("firsts", "<u2")))
+        fps, first = fps.reshape(len(nodes), size // 8), first.astype(np.int64)
+        own, number = np.unique(nodes, return_inverse=True)
+        keys, row = ring.keys(fps, first)
+        order = np.argsort(keys, kind="stable")
+        keys, row = keys[order], row[order]
+        many = np.repeat(np.diff(runs(keys)) > 1, np.diff(runs(keys)))  # a key of its own links nothing
+        keys, row = keys[many], row[many]
+        label = connecting(number[row], keys, lambda a, b: ring.near(fps[row[a]], fps[row[b]], first[row[a]]))
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table([pa.array(own[linked]), pa.array(own[label[linked]])], schema=link_schema)
+
+    dealt = fps.select("node", "fp").mapInArrow(deal, "bucket long, nodes binary, fps binary, firsts binary")
+    return dealt.groupBy("bucket").applyInArrow(link, "a long, b long")
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
+                share: float = SHARE, width: int = WIDTH, cuts: int = CUTS) -> DataFrame:
+    """(doc_id, component_id), one row per row of ``docs``, by wide fingerprints.
+
+    Fingerprints link if they differ in at most ``share`` of all bits and, somewhere on
+    the ring, one segment is equal, the next differs in one bit at most and chains of
+    three and four keep to their budgets. The default share fits a resemblance of about
+    0.8; two texts of that resemblance meet under some key with probability 0.96, more
+    alike ones more surely. component_id, copies, nulls, empty texts and empty tables are
+    as in ``near_duplicates``. Equal fingerprints are told by a 64-bit hash of theirs.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([wide_fingerprint(t.as_py(), shingle, width) for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), own], schema=schema)
+
+    found = docs.select(F.col(doc_id).cast("long"), text).mapInArrow(of, "doc_id long, fp binary")
+    own = stage(found.withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
+    distinct = stage(own.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "wide-distinct")
+    linked = stage(components(wide_links(distinct, WideRing(width, cuts, share))), "components")
+    members = linked.join(distinct.select("node", "least"), "node")
+    groups = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    joined = members.join(groups, "component").select("node", "component_id")
+    named = distinct.select("node", "least").join(joined, "node", "left").select(
+        "node", F.coalesce("component_id", "least").alias("component_id"))
+    return own.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

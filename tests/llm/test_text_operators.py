@@ -164,6 +164,51 @@ def test_near_duplicates_on_odd_and_empty(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_wide_links_connect_what_the_rule_says(spark):
+    own = np.random.default_rng(4)
+    ring = simhash.WideRing(2, 6, 0.16)
+    fps = [own.integers(0, 2, 128) for _ in range(30)]
+    for start in fps[:20]:
+        for _ in range(6):
+            copy = start.copy()
+            copy[own.choice(128, own.integers(0, 30), replace=False)] ^= 1
+            fps.append(copy)
+    bits = np.unique(np.array(fps), axis=0)
+    edges = np.concatenate([64 * w + np.array([64 * i // 6 for i in range(6)]) for w in range(2)])
+    per = np.add.reduceat(bits[:, None, :] ^ bits[None, :, :], edges, axis=2)
+    linked = np.zeros(per.shape[:2], bool)
+    for i in range(12):
+        chain = np.cumsum(np.roll(per, -i, axis=2), axis=2)
+        linked |= (chain[..., 0] == 0) & (chain[..., 1] <= 1) & (chain[..., 2] <= 3 * 20 // 12) & (chain[..., 3] <= 4 * 20 // 12)
+    linked &= per.sum(2) <= 20
+    want = simhash._joined(np.arange(len(bits)), *np.nonzero(linked))
+    packed = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little")
+    df = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(packed)], "node long, fp binary")
+    links = simhash.wide_links(df, ring, per_bucket=300).collect()
+    got = simhash._joined(np.arange(len(bits)), np.array([r.a for r in links]), np.array([r.b for r in links]))
+    assert len(set(want)) < len(want) and (want == got).all()
+
+
+def test_near_copies_by_resemblance(spark, odd, none):
+    words = [f"w{i}" for i in range(3000)]
+    rows, cases = [], 40
+    for c in range(cases):
+        text = [rng.choice(words) for _ in range(200)]
+        close, far = list(text), list(text)
+        for at in (30, 90, 150):  # 15 of 196 shingles change: resemblance 0.86
+            close[at] = "changed"
+        far[:100] = [rng.choice(words) for _ in range(100)]  # about a third is left in common
+        rows += [(10 * c + i, " ".join(t)) for i, t in enumerate((text, close, far, text))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[10 * c + 3] == 10 * c and got[10 * c + 2] == 10 * c + 2 for c in range(cases))
+    assert sum(got[10 * c + 1] == 10 * c for c in range(cases)) >= 0.9 * cases
+    found = {(r.doc_id, r.component_id) for r in simhash.near_copies(odd).collect()}
+    assert {(2, 2), (3, 2), (4, 2), (6, 6)} <= found
+    assert simhash.near_copies(odd).count() == odd.count()
+    assert simhash.near_copies(none).count() == 0
+
+
 def test_mix_meets_targets(odd, none):
     docs, draws = mixing.draw_mix(odd, per_block=1, per_shard=20_000)
     rows, drawn = docs.collect(), draws.collect()
