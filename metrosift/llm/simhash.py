@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from metrosift.llm.common import mixed, runs, table, words_of
 from metrosift.operators.graph import components
+from metrosift.operators.joins import join_lookup
 from metrosift.session import stage
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         groups = members.groupBy("component").agg(F.min("least").alias("component_id"))
         joined = members.join(groups, "component").select("fp", "component_id")
         named = distinct.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return join_lookup(own, stage(named, "named"), ["fp"]).select("doc_id", "fp", "component_id")
 
 
 class WideRing:
@@ -350,7 +351,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     joined = members.join(groups, "component").select("node", "component_id")
     named = distinct.select("node", "least").join(joined, "node", "left").select(
         "node", F.coalesce("component_id", "least").alias("component_id"))
-    return own.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    return join_lookup(own.select("doc_id", "node"), stage(named, "named"), ["node"]).select("doc_id", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
