@@ -34,7 +34,7 @@ _BLOCK = 1 << 16
 #: Wide fingerprints: words of 64 bits, segments in each, and the share of bits in which near copies may differ.
 WIDTH, CUTS, SHARE = 6, 6, 0.16
 #: Segments of wide fingerprints that one task compares, about.
-PER_WIDE_BUCKET = 150_000
+PER_WIDE_BUCKET = 20_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
