@@ -88,19 +88,17 @@ def assign_points(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Left join: each point (point_id, x, y, ...) with the polygon it lies within.
 
     A border point matches nothing, the lowest polygon_id wins, unmatched is null.
-    The only shuffle is the per-point minimum.
+    Every row of ``points`` gives one row, also where ids or whole rows repeat. The only
+    shuffle counts equal points before the join; the minimum afterwards keeps its layout.
     """
-    rest = [c for c in points.columns if c != "point_id"]
-    pairs = box_join(points, ring_boxes(polygons), "point_id", "left")
+    counted = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = box_join(counted, ring_boxes(polygons), "point_id", "left")
     within = F.when(
         F.col("polygon_id").isNotNull(), geo.inside_ring(F.col("x"), F.col("y"), F.col("ring"))
     )
-    return (
-        pairs.groupBy("point_id")
-        .agg(F.any_value(F.struct(*rest)).alias("_p"),
-             F.min(F.when(within, F.col("polygon_id"))).alias("polygon_id"))
-        .select("point_id", "_p.*", "polygon_id")
-    )
+    found = pairs.groupBy(*points.columns, "_n").agg(F.min(F.when(within, F.col("polygon_id"))).alias("polygon_id"))
+    each = F.explode(F.array_repeat("polygon_id", F.col("_n").cast("int"))).alias("polygon_id")
+    return found.select(*points.columns, each)
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:

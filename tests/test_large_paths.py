@@ -194,3 +194,15 @@ def test_shortest_paths(spark, request, large):
     for r in got:
         if r["previous"] is not None:
             assert any({a, b} == {r["previous"], r["node"]} and cost[r["source"], r["previous"]] + w == r["cost"] for a, b, w in edges)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_points_with_repeated_ids_keep_their_rows(spark, request, large):
+    if large:
+        request.getfixturevalue("nothing_fits")
+    square = spark.sql("SELECT 7L AS polygon_id, array(struct(0D AS x, 0D AS y), struct(2D AS x, 0D AS y),"
+                       " struct(2D AS x, 2D AS y), struct(0D AS x, 2D AS y)) AS ring")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (1, 5.0, 5.0), (2, 1.0, 1.0), (2, 1.0, 1.0), (None, 1.5, 1.0)],
+                                   "point_id long, x double, y double")
+    got = sorted(map(tuple, spatial.assign_points(points, square).collect()), key=repr)
+    assert got == sorted([(1, 1.0, 1.0, 7), (1, 5.0, 5.0, None), (2, 1.0, 1.0, 7), (2, 1.0, 1.0, 7), (None, 1.5, 1.0, 7)], key=repr)
