@@ -209,6 +209,56 @@ def test_near_copies_by_resemblance(spark, odd, none):
     assert simhash.near_copies(none).count() == 0
 
 
+def resemblance(a, b, k=5):
+    a, b = ({tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} for w in (words_of(a), words_of(b)))
+    return len(a & b) / len(a | b)
+
+
+def changed(words, places):
+    return [f"new{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_near_copies_are_exactly_those_of_resemblance(spark):
+    own, rows, want = random.Random(3), [], {}
+    # 400 shingles, of which 9 words change 45 (0.798) or 8 words 40 (0.818); then 0.80 to 0.82 and 0.75 by an own tail
+    for c, tail in enumerate([40, 42, 44, 57] * 40):
+        words = [f"{c}-{own.randrange(10**6)}" for _ in range(404)]
+        other = words[:404 - tail] + [f"{c}-own{i}" for i in range(tail)]
+        if c % 8 > 3:
+            other = changed(words, [20 + 40 * i for i in range(8 if tail < 44 else 9 if tail == 44 else 12)])
+        rows += [(2 * c, " ".join(words)), (2 * c + 1, " ".join(other))]
+        want[2 * c + 1] = 2 * c if resemblance(rows[-1][1], rows[-2][1]) >= 0.8 else 2 * c + 1
+    few = [(1000 + i, " ".join(f"few{j}" for j in range(8 + i))) for i in range(2)]  # 4 of 5 shingles
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows + few, "doc_id long, text string")).collect()}
+    true = {k for k, v in want.items() if v != k}
+    assert 80 <= len(true) <= 130
+    assert all(got[k] == k for k in want if k not in true)
+    assert sum(got[k] == want[k] for k in true) >= len(true) - 1
+
+
+@pytest.mark.parametrize("per_block", [1000, 7])
+def test_exact_links_connect_what_all_pairs_would(spark, per_block):
+    own, rows, texts = np.random.default_rng(9), [], {}
+    for c in range(4):
+        start = [f"{c}w{i}" for i in range(124)]
+        for i in range(40):  # chains: each a few words from an earlier one
+            source = texts[c * 100 + own.integers(0, i)] if i else start
+            texts[c * 100 + i] = changed(source, {}) if not i else [
+                f"{c}x{i}-{j}" if j in own.choice(124, own.integers(1, 6), replace=False) else w for j, w in enumerate(source)]
+    for node, words in texts.items():
+        s = simhash.shingle_set(" ".join(words))
+        rows.append((node // 100, node, len(s), bytearray(s.astype("<u8").tobytes())))
+    nodes = sorted(texts)
+    pairs = [(i, j) for i in range(len(nodes)) for j in range(i) if nodes[i] // 100 == nodes[j] // 100
+             and resemblance(" ".join(texts[nodes[i]]), " ".join(texts[nodes[j]])) >= 0.8]
+    want = simhash._joined(np.arange(len(nodes)), *np.array(pairs).T)
+    df = spark.createDataFrame(rows, "component long, node long, size long, hashes binary")
+    at = {n: i for i, n in enumerate(nodes)}
+    links = simhash.exact_links(df, 0.8, per_block).collect()
+    got = simhash._joined(np.arange(len(nodes)), np.array([at[r.a] for r in links]), np.array([at[r.b] for r in links]))
+    assert 4 < len(set(want)) < len(nodes) and (want == got).all()
+
+
 def test_mix_meets_targets(odd, none):
     docs, draws = mixing.draw_mix(odd, per_block=1, per_shard=20_000)
     rows, drawn = docs.collect(), draws.collect()
