@@ -510,6 +510,28 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     return join_lookup(rows, names, ["_node"]).select(F.col("_id").alias("doc_id"), F.col("_least").alias("component_id"))
 
 
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
+                  resemblance: float = RESEMBLANCE) -> DataFrame:
+    """One row of ``docs`` for each group of near copies: the least id, null last, then the least text.
+
+    Rows have numbers of their own, so ids may repeat or be null, with the same text or others.
+    """
+    rows, names, numbered = grouped(docs, doc_id, text, shingle, resemblance)
+    rows = stage(join_lookup(rows, names.select("_node", "_group"), ["_node"]).select("_key", "_id", "_group"), "rows")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
+    many = stage(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first")).where("_n > 1"), "many")
+    copies = stage(join_lookup(rows, many.select("_group", "_first"), ["_group"]), "copies")
+    first = copies.where(F.col("_id").eqNullSafe(F.col("_first")["id"])).select("_key", "_group")
+    alone = first.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_key"))
+    alone = stage(alone, "alone")
+    tied = stage(join_lookup(first, alone.where("_n > 1").select("_group"), ["_group"], "left_semi"), "tied")
+    texts = join_lookup(numbered.select("_key", F.col("_row")[text].alias("_text")), tied, ["_key"])
+    least = texts.groupBy("_group").agg(F.min(F.struct(F.col("_text").isNull().alias("none"), "_text", "_key"))["_key"].alias("_key"))
+    kept = alone.where("_n = 1").select("_key").unionByName(least.select("_key"))
+    gone = stage(join_lookup(copies.select("_key"), stage(kept, "kept"), ["_key"], "left_anti"), "gone")
+    return join_lookup(numbered, gone, ["_key"], "left_anti").select("_row.*")
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

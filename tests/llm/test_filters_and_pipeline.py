@@ -90,6 +90,20 @@ def test_pipeline_stages(spark, odd, none):
         assert function(spark, none.select(*docs.columns), "").count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    def text(k, end=""):
+        return " ".join(f"{k}{j}" for j in range(300)) + end
+
+    rows = [(1, text("a")), (2, text("a", " z")), (2, text("b")),  # the copy goes, the other text of its id stays
+            (3, text("c", " y")), (3, text("c", " x")), (3, text("c", " x")),  # one id, tied by text and then any
+            (None, text("d")), (None, text("d")), (None, text("e")), (7, text("e", " z")), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == [
+        (0, text("d")), (1, text("a")), (2, text("b")), (3, text("c", " x")), (7, text("e", " z"))]
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
