@@ -155,12 +155,15 @@ def point_along(points: Column, fraction: Column) -> Column:
     ).otherwise(F.struct(end["x"].alias("x"), end["y"].alias("y")))
 
 
-def inside_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Strictly inside the closed ring array<struct<x,y>>; on the border is outside."""
+def _edges(ring: Column) -> Column:
+    """Edges struct<a,b> of the closed ring, the last back to the first point."""
     n = F.size(ring)
-    edges = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, 1, 1)),
-                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, 1, 1)),
+                      lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
+
+def on_ring(x: Column, y: Column, ring: Column) -> Column:
+    """On an edge of the closed ring array<struct<x,y>>."""
     def on_edge(e):
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
         cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
@@ -170,13 +173,18 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
             & y.between(F.least(ay, by), F.greatest(ay, by))
         )
 
+    return F.exists(_edges(ring), on_edge)
+
+
+def inside_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Strictly inside the closed ring array<struct<x,y>>; on the border is outside."""
     def crosses(e):
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
         spans = (ay > y) != (by > y)
         return spans & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
 
-    odd = F.aggregate(edges, F.lit(False), lambda odd, e: odd != F.coalesce(crosses(e), F.lit(False)))
-    return odd & ~F.exists(edges, on_edge)
+    odd = F.aggregate(_edges(ring), F.lit(False), lambda odd, e: odd != F.coalesce(crosses(e), F.lit(False)))
+    return odd & ~on_ring(x, y, ring)
 
 
 def distance_to_ring(x: Column, y: Column, ring: Column) -> Column:

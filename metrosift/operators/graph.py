@@ -6,13 +6,11 @@ executor costs at most one round.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrosift.functions import geo
 from metrosift.operators.joins import BROADCAST_ROWS, join_lookup, salted_join
+from metrosift.operators.spatial import off_border
 from metrosift.session import stage
 
 MAX_ROUNDS = 60
@@ -181,28 +179,20 @@ def proximity_clusters(points: DataFrame, tolerance: float) -> DataFrame:
     return named.select(F.col("a").alias("node"), "cluster")
 
 
-def junctions(nodes: DataFrame, tolerance: float, ring: DataFrame | None = None,
+def junctions(nodes: DataFrame, tolerance: float, boundary: DataFrame | None = None,
               border: float = 5.0, least_degree: int = 3) -> DataFrame:
-    """Cluster nodes of degree >= 3 that lie inside the ring and off its border.
+    """Cluster nodes of degree >= 3 that the boundary covers, off its border.
 
-    ``nodes``: node, degree, x, y. Gives (node, cluster); junctions are the clusters.
+    ``nodes``: node, degree, x, y. ``boundary``: shape (or ring). Gives (node, cluster);
+    junctions are the clusters.
     """
     kept = nodes.where(F.col("degree") >= least_degree)
-    if ring is not None:
-        kept = _inside(kept, ring, border)
+    if boundary is not None:
+        kept = off_border(kept, boundary, border, "node")
     return proximity_clusters(kept.select("node", "x", "y"), tolerance)
 
 
-def _inside(nodes: DataFrame, ring: DataFrame, border: float) -> DataFrame:
-    """Nodes within the single boundary polygon and farther than ``border`` from its edge."""
-    text = json.dumps([[p["x"], p["y"]] for p in ring.first()["ring"]])
-    parsed = F.from_json(F.lit(text), "array<array<double>>")  # folded to a constant once
-    constant = F.transform(parsed, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    x, y = F.col("x"), F.col("y")
-    return nodes.where(geo.inside_ring(x, y, constant) & (geo.distance_to_ring(x, y, constant) > border))
-
-
-def endpoint_junctions(ends: DataFrame, tolerance: float, ring: DataFrame | None = None,
+def endpoint_junctions(ends: DataFrame, tolerance: float, boundary: DataFrame | None = None,
                        border: float = 5.0, least_edges: int = 3) -> DataFrame:
     """Endpoint clusters with at least three distinct edges and an off-border centroid.
 
@@ -213,7 +203,7 @@ def endpoint_junctions(ends: DataFrame, tolerance: float, ring: DataFrame | None
     found = joined.groupBy("cluster").agg(
         F.count_distinct("edge_id").alias("edges"), F.avg("x").alias("x"), F.avg("y").alias("y")
     ).where(F.col("edges") >= least_edges)
-    return _inside(found, ring, border) if ring is not None else found
+    return off_border(found, boundary, border, "cluster") if boundary is not None else found
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, limit: int | float | None = None) -> DataFrame:

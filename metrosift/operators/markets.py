@@ -21,11 +21,11 @@ CHARGING_KEYS = ("public_dc_ports_per_100k", "population_share_in_counties_with_
 def area_catalog(areas: DataFrame, counties: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(catalog, county map) of whole-county areas.
 
-    ``areas``: polygon_id, name, ring. ``counties``: point_id, x, y (a point inside the
+    ``areas``: polygon_id, name, shape (or ring). ``counties``: point_id, x, y (a point inside the
     county), land_m2, state. ``roles``: polygon_id, role (candidate or reference). A county
     belongs to the area its point lies within; an area's land and states are its counties'.
     """
-    placed = assign_points(counties, areas.select("polygon_id", "ring")).where("polygon_id IS NOT NULL")
+    placed = assign_points(counties, areas).where("polygon_id IS NOT NULL")
     members = placed.select(F.col("point_id").alias("county"), F.col("polygon_id").alias("metro"), "state", "land_m2")
     rolled = census.area_rollup(members)
     flags = roles.groupBy(F.col("polygon_id").alias("metro")).agg(
@@ -177,7 +177,7 @@ def charging_mismatches(stations: DataFrame, recorded: DataFrame, areas: DataFra
     """(id, problem): recorded sites that an independent recount does not confirm.
 
     ``stations``: raw rows for ``qualifying_sites``. ``recorded``: id, metro, dc_fast_ports.
-    ``areas``: polygon_id, ring. The recount filters the stations again and places them by
+    ``areas``: polygon_id, shape (or ring). The recount filters the stations again and places them by
     the many-to-many containment join.
     """
     sites = census.qualifying_sites(stations)

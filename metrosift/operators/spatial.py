@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrosift.functions import geo
+from metrosift.functions import geo, shapes
 from metrosift.operators.joins import fits, join_lookup, salted_join, spread
 from metrosift.operators.ordered import add_running_total, carry_last
 from metrosift.session import stage
@@ -75,38 +75,52 @@ def box_join(points: DataFrame, boxes: DataFrame, spread_by: str, how: str = "in
     )
 
 
-def ring_boxes(polygons: DataFrame) -> DataFrame:
-    """Bounding box columns for polygons with a ``ring`` array<struct<x,y>>."""
-    return polygons.select(
-        "*",
-        *[F.expr(f"{f}(transform(ring, p -> p.{a}))").alias(f"{a}{i}")
-          for a in ("x", "y") for i, f in ((0, "array_min"), (1, "array_max"))],
-    )
+def with_shape(polygons: DataFrame) -> DataFrame:
+    """Polygons with a ``shape`` column; a plain ``ring`` becomes a shape of one part without holes."""
+    if "shape" in polygons.columns:
+        return polygons
+    return polygons.withColumn("shape", shapes.shape_of_ring(F.col("ring"))).drop("ring")
+
+
+def part_boxes(polygons: DataFrame) -> DataFrame:
+    """One row per part: ``part`` (its rings) and the box of its outline; other columns are kept.
+
+    Parts far apart have boxes of their own, so a shape of many islands is looked up in
+    small cells. Empty and null shapes have no rows. The table is stored, as a join reads
+    it several times (levels, size, rows) and the boxes then are plain columns to it.
+    """
+    exploded = with_shape(polygons).withColumn("part", F.explode("shape"))
+    return stage(exploded.select("*", *[c.alias(n) for n, c in shapes.part_bounds(F.col("part")).items()]), "parts")
 
 
 def assign_points(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Left join: each point (point_id, x, y, ...) with the polygon it lies within.
 
-    A border point matches nothing, the lowest polygon_id wins, unmatched is null.
-    Every row of ``points`` gives one row, also where ids or whole rows repeat. The only
-    shuffle counts equal points before the join; the minimum afterwards keeps its layout.
+    ``polygons``: polygon_id and shape (or ring). A point on the border of an outline or
+    a hole, or within a hole, matches nothing; the lowest polygon_id wins, unmatched is
+    null. Every row of ``points`` gives one row, also where ids or whole rows repeat: only
+    distinct locations are joined to polygons, and other columns meet the result once.
     """
-    counted = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_n"))
-    pairs = box_join(counted, ring_boxes(polygons), "point_id", "left")
-    within = F.when(
-        F.col("polygon_id").isNotNull(), geo.inside_ring(F.col("x"), F.col("y"), F.col("ring"))
-    )
-    found = pairs.groupBy(*points.columns, "_n").agg(F.min(F.when(within, F.col("polygon_id"))).alias("polygon_id"))
-    each = F.explode(F.array_repeat("polygon_id", F.col("_n").cast("int"))).alias("polygon_id")
-    return found.select(*points.columns, each)
+    spots = points.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct()
+    parts = part_boxes(polygons.select("polygon_id", "shape" if "shape" in polygons.columns else "ring")).drop("shape")
+    inside = box_join(spots, parts, "x").where(shapes.inside_part(F.col("x"), F.col("y"), F.col("part")))
+    found = inside.groupBy("x", "y").agg(F.min("polygon_id").alias("polygon_id"))
+    return join_lookup(points, found, ["x", "y"], "left").select(*points.columns, "polygon_id")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Inner many-to-many form: every (point_id, polygon_id) with the point within."""
-    pairs = box_join(points, ring_boxes(polygons), "point_id")
-    return pairs.where(geo.inside_ring(F.col("x"), F.col("y"), F.col("ring"))).select(
-        "point_id", "polygon_id"
-    )
+    parts = part_boxes(polygons.select("polygon_id", "shape" if "shape" in polygons.columns else "ring")).drop("shape")
+    pairs = box_join(points, parts, "point_id")
+    return pairs.where(shapes.inside_part(F.col("x"), F.col("y"), F.col("part"))).select("point_id", "polygon_id")
+
+
+def off_border(points: DataFrame, boundary: DataFrame, border: float, spread_by: str) -> DataFrame:
+    """Points (x, y, ...) within a shape of ``boundary`` or on its edge, and farther than ``border`` from all its edges."""
+    kept = part_boxes(boundary.select("shape" if "shape" in boundary.columns else "ring"))
+    x, y = F.col("x"), F.col("y")
+    near = box_join(points, kept, spread_by).where(shapes.covered_by_part(x, y, F.col("part")))
+    return near.where(shapes.distance_to_border(x, y, F.col("shape")) > border).select(*points.columns)
 
 
 # ---- nearest on the sphere -------------------------------------------------------
@@ -336,12 +350,15 @@ def hash_uniform(*parts: Column) -> Column:
 
 
 def sample_in_polygons(polygons: DataFrame, n: int = 32, seed: str = "", attempts: int = 100_000) -> DataFrame:
-    """First ``n`` seeded uniform points of the bounding box that fall inside the ring.
+    """First ``n`` seeded uniform points of the bounding box that the shape covers; its borders count.
 
     Row-local: no pairs and no shuffle of points. Most shapes need few draws, so a longer
     sequence is only tried where the shorter one came up short.
     """
-    boxes = ring_boxes(spread(polygons, "polygon_id"))
+    boxes = with_shape(spread(polygons, "polygon_id"))
+    outlines = F.flatten(F.transform("shape", lambda part: F.element_at(part, 1)))
+    boxes = boxes.withColumns({f"{a}{i}": f(F.transform(outlines, lambda p: p[a]))
+                               for a in ("x", "y") for i, f in ((0, F.array_min), (1, F.array_max))})
 
     def draws(count: int) -> Column:
         points = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(
@@ -350,7 +367,8 @@ def sample_in_polygons(polygons: DataFrame, n: int = 32, seed: str = "", attempt
                * hash_uniform(F.lit(seed), F.col("polygon_id"), i, F.lit(a))).alias(a)
               for a in ("x", "y")],
         ))
-        return F.slice(F.filter(points, lambda p: geo.inside_ring(p["x"], p["y"], F.col("ring"))), 1, n)
+        flat = (F.col("x0") >= F.col("x1")) | (F.col("y0") >= F.col("y1"))  # without an area nothing can be drawn
+        return F.slice(F.filter(points, lambda p: ~flat & F.exists("shape", lambda part: shapes.covered_by_part(p["x"], p["y"], part))), 1, n)
 
     tried = boxes.withColumn("_s", draws(2 * n))
     for count in (16 * n, attempts):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metrosift.operators import spatial
+from metrosift.operators import spatial, zones
 from metrosift.operators.matching import add_matches, group_references
 from metrosift.plans.common import big, point_x, point_y, r4, sql_x, sql_y, table
 
@@ -14,12 +14,17 @@ def _customer_points(spark, folder):
     return table(spark, folder, "customer").select(k.alias("point_id"), point_x(k).alias("x"), point_y(k).alias("y"))
 
 
+def _square(x0, y0, low, high):
+    return F.array(*[F.struct((x0 + a).alias("x"), (y0 + b).alias("y")) for a, b in ((low, low), (high, low), (high, high), (low, high))])
+
+
 def _nation_shapes(spark, folder):
-    """One L-shaped polygon per nation on a 5 x 5 board of 20 x 20 squares."""
+    """Two parts per nation on a 5 x 5 board of 20 x 20 squares: an L with a hole, and in its corner a square with a hole."""
     n = table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("polygon_id"))
     x0, y0 = F.pmod("polygon_id", F.lit(5)) * 20.0, F.floor(F.col("polygon_id") / 5) * 20.0
     corners = [(0, 0), (20, 0), (20, 10), (10, 10), (10, 20), (0, 20)]
-    return n.withColumn("ring", F.array(*[F.struct((x0 + a).alias("x"), (y0 + b).alias("y")) for a, b in corners]))
+    outline = F.array(*[F.struct((x0 + a).alias("x"), (y0 + b).alias("y")) for a, b in corners])
+    return n.withColumn("shape", F.array(F.array(outline, _square(x0, y0, 2, 6)), F.array(_square(x0, y0, 12, 18), _square(x0, y0, 14, 16))))
 
 
 def point_in_polygon(spark, folder):
@@ -117,10 +122,10 @@ def in_polygon_sample(spark, folder):
 
 
 def weighted_choice(spark, folder):
-    zones = table(spark, folder, "part").select(F.col("p_partkey").alias("zone_id"), F.col("p_size").cast("long").alias("weight"))
+    weighted = table(spark, folder, "part").select(F.col("p_partkey").alias("zone_id"), F.col("p_size").cast("long").alias("weight"))
     requests = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("request_id"), spatial.hash_uniform(F.lit("zone"), F.col("o_orderkey")).alias("u"))
-    return spatial.weighted_choice(requests, zones)
+    return spatial.weighted_choice(requests, weighted)
 
 
 def nearest_vector(spark, folder):
@@ -146,12 +151,25 @@ def charging_by_location(spark, folder):
         F.sum("ports").cast("long").alias("ports"), F.count(F.lit(1)).alias("sites"))
 
 
+def zone_profile(spark, folder):
+    """Nations as zones in degrees: area, points, weighted origin and local miles there and back."""
+    degrees = F.transform("shape", lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.struct(
+        (p["x"] / 100 - 75).alias("x"), (p["y"] / 100 + 41).alias("y")))))
+    n = _nation_shapes(spark, folder).withColumn("shape", degrees).withColumn("produced", F.pmod(F.col("polygon_id") * 7, F.lit(11)) + 1)
+    out = zones.local_zones(n.withColumnRenamed("polygon_id", "zone_id"), "produced")
+    back = zones.degrees_of(*[F.col(c) for c in ("x_miles", "y_miles", "origin_lon", "origin_lat")])
+    return out.select("zone_id", r4(F.col("area") * 10_000).alias("area"), *[r4(c, 6).alias(c) for c in (
+        "centroid_lon", "centroid_lat", "lon", "lat", "origin_lon", "origin_lat")], r4("x_miles").alias("x_miles"), r4("y_miles").alias("y_miles"),
+        r4(back["lon"], 5).alias("back_lon"), r4(back["lat"], 5).alias("back_lat"))
+
+
 QUERIES = {f.__name__: f for f in (
-    point_in_polygon, points_per_polygon, charging_by_location, nearest_station, nearest3_avg, nearest_complete_mean,
+    zone_profile, point_in_polygon, points_per_polygon, charging_by_location, nearest_station, nearest3_avg, nearest_complete_mean,
     radius_band_neighbors, nearest_beyond, snap_to_edge, in_polygon_sample, weighted_choice, nearest_vector,
 )}
 
-_INSIDE = """x > x0 AND x < x0 + 20 AND y > y0 AND y < y0 + 20 AND NOT (x >= x0 + 10 AND y >= y0 + 10)"""
+_INSIDE = """((x > x0 AND x < x0 + 20 AND y > y0 AND y < y0 + 20 AND NOT (x >= x0 + 10 AND y >= y0 + 10) AND NOT (x BETWEEN x0 + 2 AND x0 + 6 AND y BETWEEN y0 + 2 AND y0 + 6))
+    OR (x > x0 + 12 AND x < x0 + 18 AND y > y0 + 12 AND y < y0 + 18 AND NOT (x BETWEEN x0 + 14 AND x0 + 16 AND y BETWEEN y0 + 14 AND y0 + 16)))"""
 _SHAPES = "shapes AS (SELECT CAST(n_nationkey AS BIGINT) polygon_id, (n_nationkey % 5) * 20.0::DOUBLE x0, (n_nationkey // 5) * 20.0::DOUBLE y0 FROM nation)"
 _POINTS = f"points AS (SELECT c_custkey point_id, CAST({sql_x('c_custkey')} AS DOUBLE) x, CAST({sql_y('c_custkey')} AS DOUBLE) y FROM customer)"
 _NEAR = """places AS (SELECT s_suppkey place_id, 25 + CAST((s_suppkey * 37) % 2003 AS DOUBLE) / 100 lat, -120 + CAST((s_suppkey * 91) % 5003 AS DOUBLE) / 100 lon FROM supplier),
@@ -161,6 +179,11 @@ _NEAR = """places AS (SELECT s_suppkey place_id, 25 + CAST((s_suppkey * 37) % 20
 _DEPOTS = f"depots AS (SELECT s_suppkey place_id, CAST({sql_x('s_suppkey + 5000')} AS DOUBLE) px, CAST({sql_y('s_suppkey + 5000')} AS DOUBLE) py FROM supplier)"
 
 ORACLES = {
+    "zone_profile": f"""WITH {_SHAPES}, z AS (SELECT polygon_id zone_id, polygon_id * 7 % 11 + 1 w, x0 / 100 - 75 x, y0 / 100 + 41 y FROM shapes),
+        p AS (SELECT *, x + 0.05 lon, y + 0.15 lat FROM z), o AS (SELECT round(sum(lon * w) / sum(w), 8) ox, round(sum(lat * w) / sum(w), 8) oy FROM p)
+        SELECT zone_id, 316.0::DOUBLE AS area, round(x + 29.16 / 316, 6) + 0.0 AS centroid_lon, round(y + 29.16 / 316, 6) + 0.0 AS centroid_lat, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat,
+        round(ox, 6) + 0.0 AS origin_lon, round(oy, 6) + 0.0 AS origin_lat, round((lon - ox) * 69.172 * cos(radians(oy)), 4) + 0.0 AS x_miles, round((lat - oy) * 69.0, 4) + 0.0 AS y_miles,
+        round(lon, 5) + 0.0 AS back_lon, round(lat, 5) + 0.0 AS back_lat FROM p, o""",
     "point_in_polygon": f"WITH {_SHAPES}, {_POINTS} SELECT point_id, polygon_id FROM points LEFT JOIN shapes ON {_INSIDE}",
     "points_per_polygon": f"WITH {_SHAPES}, {_POINTS} SELECT polygon_id, count(*) AS points FROM points JOIN shapes ON {_INSIDE} GROUP BY 1",
     "charging_by_location": f"""WITH {_SHAPES}, points AS (SELECT s_suppkey k, CAST({sql_x('s_suppkey')} AS DOUBLE) x, CAST({sql_y('s_suppkey')} AS DOUBLE) y FROM supplier WHERE s_suppkey % 7 > 0)

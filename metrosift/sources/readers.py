@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrosift.functions import parsing
+from metrosift.functions import geo, parsing, shapes
 from metrosift.operators.checks import CheckFailed, fail_when, require_columns, require_none
 
 
@@ -156,32 +156,33 @@ grade_crossings = crashes
 
 
 def geojson(spark: SparkSession, path: str, properties: str, geometry: str = "polygon") -> DataFrame:
-    """Features of FeatureCollection files as ``properties.*`` and ``coordinates``.
+    """Features of FeatureCollection files: ``properties.*``, ``geometry_type`` and the geometry.
 
-    ``properties`` is a DDL field list. Anything but a collection stops the job.
+    ``properties`` is a DDL field list. ``geometry`` names what is expected. Polygons of
+    one or many parts give ``shape`` (see ``functions.shapes``), lines of one or many parts
+    ``lines``, points ``coordinates``. A null geometry stays null; any other type, and
+    anything but a collection, stops the job.
     """
-    depth = {"point": 1, "line": 2, "polygon": 3}[geometry]
-    coordinates = "array<" * depth + "double" + ">" * depth
     schema = (f"type string, features array<struct<properties: struct<{_struct(properties)}>, "
-              f"geometry: struct<type: string, coordinates: {coordinates}>>>")
+              f"geometry: struct<type: string, coordinates: string>>>")
     docs = spark.read.schema(schema).json(path, multiLine=True)
     features = fail_when(
         (F.coalesce("type", F.lit("")) != "FeatureCollection") | F.col("features").isNull(),
         "Not a FeatureCollection", F.col("features"),
     )
-    return docs.select(F.explode(features).alias("f")).select(
-        "f.properties.*", F.col("f.geometry.type").alias("geometry_type"),
-        F.col("f.geometry.coordinates").alias("coordinates"),
-    )
-
-
-def outer_ring(coordinates: Column) -> Column:
-    """First ring of polygon coordinates as array<struct<x,y>> without the closing point."""
-    ring = F.element_at(coordinates, 1)
-    open_ring = F.when(
-        F.element_at(ring, 1) == F.element_at(ring, -1), F.slice(ring, F.lit(1), F.size(ring) - 1)
-    ).otherwise(ring)
-    return F.transform(open_ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    if geometry == "polygon":
+        found = shapes.shape_of(kind, text).alias("shape")
+    else:
+        one, many = {"line": ("LineString", "MultiLineString"), "point": ("Point", None)}[geometry]
+        depth = "array<array<double>>" if many else "array<double>"
+        read = F.when(kind.isNull() & text.isNull(), F.lit(None)).when(
+            kind == one, F.array(F.from_json(text, depth)) if many else F.from_json(text, depth))
+        if many:
+            read = read.when(kind == many, F.from_json(text, f"array<{depth}>"))
+        found = read.otherwise(F.raise_error(F.concat(F.lit(f"Not a {geometry}: "), F.coalesce(kind, F.lit("no type"))))).alias(
+            "lines" if many else "coordinates")
+    return docs.select(F.explode(features).alias("f")).select("f.properties.*", kind.alias("geometry_type"), found)
 
 
 def demand_zones(zones: DataFrame, zone_id: str, measures: Sequence[str], expected: int | None = None) -> DataFrame:
@@ -190,7 +191,7 @@ def demand_zones(zones: DataFrame, zone_id: str, measures: Sequence[str], expect
     for m in measures:
         v = parsing.finite(F.col(m).cast("double"))
         bad = bad | v.isNull() | (v <= 0)
-    empty = F.coalesce(F.size("coordinates"), F.lit(0)) <= 0
+    empty = F.coalesce(F.size("shape"), F.lit(0)) <= 0
     require_none(zones.where(bad | empty).select(zone_id), "Invalid demand zones")
     require_none(zones.groupBy(zone_id).count().where("count > 1"), "Repeated demand zones")
     if expected is not None and zones.count() != expected:
@@ -200,12 +201,13 @@ def demand_zones(zones: DataFrame, zone_id: str, measures: Sequence[str], expect
 
 def clean_layer(features: DataFrame, height_feet: str | None = None, status: str | None = None) -> DataFrame:
     """Layer features without demolished, null or empty ones; heights in metres."""
-    kept = features.where(F.coalesce(F.size("coordinates"), F.lit(0)) > 0)
+    parts = next(c for c in ("shape", "lines", "coordinates") if c in features.columns)
+    kept = features.where(F.coalesce(F.size(parts), F.lit(0)) > 0)
     if status:
         kept = kept.where(F.lower(F.coalesce(status, F.lit(""))) != "demolished")
     if height_feet:
         feet = parsing.number_or_null(F.col(height_feet).cast("string"))
-        kept = kept.withColumn("height_m", F.round(feet * 0.3048, 2)).drop(height_feet)
+        kept = kept.withColumn("height_m", geo.feet_to_metres(feet)).drop(height_feet)
     return kept
 
 

@@ -80,7 +80,7 @@ def test_geojson_zones(spark, tmp_path):
     (tmp_path / "z.json").write_text(json.dumps(doc))
     zones = readers.geojson(spark, str(tmp_path / "z.json"), "TAZ string, Prod double")
     assert [r["TAZ"] for r in readers.demand_zones(zones, "TAZ", ["Prod"], 2).collect()] == ["9", "10"]
-    assert zones.select(F.size(readers.outer_ring(F.col("coordinates")))).first()[0] == 4
+    assert zones.select(F.size(F.col("shape")[0][0])).first()[0] == 4
     with pytest.raises(CheckFailed, match="Expected 3"):
         readers.demand_zones(zones, "TAZ", ["Prod"], 3)
     with pytest.raises(CheckFailed, match="Invalid"):
@@ -92,6 +92,35 @@ def test_geojson_zones(spark, tmp_path):
     assert rows(readers.clean_layer(layer, "feet", "status"), "TAZ", "height_m") == [("10", 3.05)]
 
 
+def test_geojson_of_many_parts_and_holes(spark, tmp_path):
+    """Every part and hole arrives; a null geometry stays null; other types stop the job."""
+    def write(name, *geometries):
+        features = [{"properties": {"k": i}, "geometry": g} for i, g in enumerate(geometries)]
+        (tmp_path / name).write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+        return str(tmp_path / name)
+
+    def square(a, b):
+        return [[a, a], [b, a], [b, b], [a, b], [a, a]]
+
+    one = {"type": "Polygon", "coordinates": [square(0, 9), square(1, 2), square(4, 5)]}
+    many = {"type": "MultiPolygon", "coordinates": [[square(0, 9), square(1, 2)], [square(20, 21)]]}
+    path = write("p.json", one, many, None, {"type": "MultiPolygon", "coordinates": []})
+    found = {r["k"]: r["shape"] for r in readers.geojson(spark, path, "k int").collect()}
+    assert [[len(ring) for ring in part] for part in found[0]] == [[4, 4, 4]]
+    assert [[len(ring) for ring in part] for part in found[1]] == [[4, 4], [4]]
+    assert found[1][1][0][2].asDict() == {"x": 21.0, "y": 21.0}
+    assert found[2] is None and found[3] == []
+    line = {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}
+    lines = {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 1]], [[5, 5], [6, 6], [7, 7]]]}
+    found = readers.geojson(spark, write("l.json", line, lines), "k int", "line").orderBy("k").collect()
+    assert [[len(part) for part in r["lines"]] for r in found] == [[2], [2, 3]]
+    point = readers.geojson(spark, write("q.json", {"type": "Point", "coordinates": [3, 4]}), "k int", "point").first()
+    assert point["coordinates"] == [3.0, 4.0]
+    for kind, other in (("polygon", line), ("line", one), ("point", lines), ("polygon", {"type": "GeometryCollection", "geometries": []})):
+        with pytest.raises(Exception, match=f"Not a {kind}"):
+            readers.geojson(spark, write("x.json", one if kind == "polygon" else other, other), "k int", kind).collect()
+
+
 def test_releases_and_reuse(spark, tmp_path):
     path = str(tmp_path / "r")
     spark.createDataFrame([("1", "d", "ranking.v2", "verified")], "schema_version string, data_version string, model_version string, data_mode string").write.parquet(f"{path}/versions")
