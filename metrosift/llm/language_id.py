@@ -20,11 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrosift.llm.common import table
+from metrosift.operators.joins import join_lookup
 
 FEATURES = 1 << 16
 ORDERS = 3
 #: Labelled rows the weights are fitted on, at most (about; rows are picked by hash).
 SAMPLE_ROWS = 4_000
+#: Besides, so many rows of each language.
+LABEL_ROWS = 50
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 3, 0.5, 1.0, 0.002, 0.001, 50.0
 UNKNOWN = "und"
 #: Code points handled at a time; longer texts are taken in steps.
@@ -190,13 +193,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
     """A model from the rows of ``labelled`` with a language and a letter-bearing text.
 
     Document frequencies cover all rows. About ``sample_rows`` rows, picked by a hash of
-    ``order``, train the weights; every fifth of them fits the temperature instead. With
-    no labelled rows the model knows no language and predicts ``und``.
+    ``order`` and text, train the weights, and ``LABEL_ROWS`` more of each language, or all
+    it has, so that rare ones are learned too; every fifth fits the temperature instead.
+    Rows repeated in full train once. With no labelled rows the model knows no language and
+    predicts ``und``.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, F.col(lang).cast("string").alias("lang"), order)
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}")).select(text, F.col(lang).cast("string").alias("lang"), order)
     df, n = document_frequencies(rows, text)
-    share = min(1.0, sample_rows / max(1, n))
-    picked = rows.where(F.pmod(F.xxhash64(order, F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    least = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(LABEL_ROWS) / F.count(F.lit(1)) + sample_rows / max(1, n)).alias("_share"))
+    place = F.pmod(F.xxhash64(order, text, F.lit("sample")), F.lit(1 << 30))
+    picked = join_lookup(rows, least, ["lang"]).where(place < F.col("_share") * (1 << 30)).select(rows.columns)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -205,7 +211,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
                                 "share": [s.tobytes() for _, s in found]})
 
     kind = f"key {dict(rows.dtypes)[order]}, lang string, at binary, share binary"
-    got = sorted(picked.mapInPandas(sparse, kind).collect(), key=lambda r: (str(r["key"]), r["lang"], r["at"]))
+    got = sorted(picked.mapInPandas(sparse, kind).distinct().collect(), key=lambda r: (str(r["key"]), r["lang"], r["at"]))
     languages = tuple(sorted({r["lang"] for r in got}))
     if not languages:
         return LanguageModel((), np.zeros((FEATURES, 0), np.float32), np.zeros(0), 1.0)

@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +23,6 @@ from metrosift.session import stage
 LENGTH = 2048
 #: Pieces a part is made of; the number of parts grows with the pieces.
 PER_PART = 20_000
-_ROUNDS = 4
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -116,9 +114,11 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
 def _packer(turn: int, capacity: int, last: bool):
     """Packs one part; unless it is the last turn, sequences are opened where the bound is missed."""
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="__part").sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
-        lengths = rows["length"].to_numpy(np.int64)
+    def pack(rows: pa.Table) -> pa.Table:
+        number = rows["__part"][0].as_py()
+        # Arrow keeps ids whole beside a null one
+        rows = rows.drop_columns("__part").sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+        lengths = rows["length"].to_numpy().astype(np.int64)
         bins, offsets = best_fit_decreasing(lengths, capacity)
         used = int(bins.max()) + 1
         gap = 0 if last else used - lower_bound(lengths, capacity)
@@ -127,8 +127,9 @@ def _packer(turn: int, capacity: int, last: bool):
             # enough loose sequences for the pooled pieces to find partners among other parts' pieces
             loose = np.argsort(fill, kind="stable")[: max(8 * gap, used // 20)]
             opened[loose[fill[loose] < capacity]] = True
-        rows["sequence_id"] = (turn << 56) + (int(key[0]) << 24) + bins
-        rows["offset"], rows["open"] = offsets, opened[bins]
+        found = {"sequence_id": (turn << 48) + (number << 24) + bins, "offset": offsets, "open": opened[bins]}
+        for name, column in found.items():
+            rows = rows.append_column(name, pa.array(column))
         return rows
 
     return pack
@@ -138,20 +139,20 @@ def pack_pieces(pieces: DataFrame, capacity: int = LENGTH, per_part: int = PER_P
     """``pieces`` with sequence_id and offset added; ``length`` is 1 to ``capacity``.
 
     Parts hold about ``per_part`` pieces dealt by hash, so no part grows with the input
-    or with a key. A round's kept sequences are written down; only opened pieces go on.
+    or with a key. A round's kept sequences are written down; only opened pieces go on,
+    as long as they fit in more than one part and get fewer by a tenth at least.
     """
     columns = pieces.columns
     kind = f"{pieces.schema.simpleString()[7:-1].replace(':', ' ')}, sequence_id long, offset long, open boolean"
-    found, waiting, n, before = [], pieces, pieces.count(), None
-    for turn in range(_ROUNDS):
+    found, waiting, n, before, turn = [], pieces, pieces.count(), None, 0
+    while True:
         parts = max(1, -(-n // per_part))
-        last = turn == _ROUNDS - 1 or n == before or (turn > 0 and parts == 1)
+        last = turn > 0 and (parts == 1 or n * 10 > before * 9)
         dealt = waiting.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(parts)))
-        done = stage(dealt.repartition(parts, "__part").groupBy("__part").applyInPandas(
+        done = stage(dealt.repartition(parts, "__part").groupBy("__part").applyInArrow(
             _packer(turn, capacity, last), kind), "packed")
         found.append(done.where("not open"))
-        before = n
-        waiting = done.where("open").select(columns)
+        before, waiting, turn = n, done.where("open").select(columns), turn + 1
         n = waiting.count()
         if n == 0:
             break

@@ -1,7 +1,10 @@
 """Cutting a batch of texts into segments and naming them, as whole arrays.
 
-A batch's UTF-8 is taken as one byte array. Segments are hashed through prefix sums of
-two random polynomials modulo 2**64, so no string is made for a segment seen before.
+A batch's UTF-8 is taken as one byte array, and no string is made for a segment seen
+before. Segments of up to 15 bytes are named by their bytes and length themselves. Longer
+ones are hashed through prefix sums of random polynomials over a prime field: modulo a
+power of two, long words of two repeated syllables would collide for every base; over a
+field of p values two segments of n bytes share a polynomial for n of p bases at most.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from metrosift.llm.common import mixed
 
 #: Bytes hashed at a time; a longer segment is taken whole.
 _CHUNK = 1 << 19
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_VALUES = [mixed(np.arange(1, 257, dtype=np.uint64), s) for s in (11, 12)]
+_FIELD = (1 << 31) - 1
+#: Two polynomials a hash: their bases and what each byte counts.
+_BASES = [int(b) % (_FIELD - 2) + 2 for b in mixed(np.arange(4), 10)]
+_VALUES = [mixed(np.arange(1, 257, dtype=np.uint64), s) % np.uint64(_FIELD - 1) + np.uint64(1) for s in (11, 12, 13, 14)]
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -29,36 +34,84 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (whole[offsets[0]:offsets[-1]], offsets - offsets[0]) if len(binary) else (whole[:0], np.zeros(1, np.int64))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the field's prime, but for a multiple of it; ``x`` is below 2**62."""
+    x = (x & np.uint64(_FIELD)) + (x >> np.uint64(31))
+    return (x & np.uint64(_FIELD)) + (x >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, step = np.ones(1, np.uint64), base
+    while len(out) < n:
+        out = np.concatenate((out, _reduced(out * np.uint64(step))))
+        step = step * step % _FIELD
+    return out[:n]
+
+
 class _Powers:
     def __init__(self) -> None:
         self.n = 0
 
     def upto(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         if n > self.n:
-            self.n = max(n, _CHUNK)
-            self.pairs = []
-            for base in _BASES:
-                inverse = pow(base, -1, 1 << 64)
-                self.pairs.append(tuple(np.cumprod(np.append(np.ones(1, np.uint64), np.full(self.n, b, np.uint64)), dtype=np.uint64)
-                                        for b in (base, inverse)))
+            self.n = max(n, _CHUNK + 1)
+            self.pairs = [tuple(_powers(b, self.n) for b in (base, pow(base, -1, _FIELD))) for base in _BASES]
         return self.pairs
 
 
 _POWERS = _Powers()
 
 
+#: Bytes that two words hold beside the length.
+_SHORT = 15
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1] * 8, np.uint64)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int = 2) -> list[np.ndarray]:
-    """``n`` (1 or 2) independent 64-bit hashes of each segment; starts must rise."""
+    """``n`` (1 or 2) words that name each segment; starts must rise.
+
+    Two words tell all segments of up to 15 bytes apart, one word those of up to 7.
+    """
+    sizes = ends - starts
+    out = [np.zeros(len(starts), np.uint64) for _ in range(n)]
+    short = np.flatnonzero(sizes <= _SHORT)
+    if len(short):
+        padded = np.concatenate((data, np.zeros(16, np.uint8)))
+        eight = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        s, size = starts[short], sizes[short]
+        first = eight[s] & _KEEP[size]
+        rest = np.where(size > 8, eight[np.minimum(s + 8, len(data))] & _KEEP[np.maximum(size - 8, 0)], np.uint64(0))
+        rest |= size.astype(np.uint64) << np.uint64(56)
+        if n == 2:
+            out[0][short], out[1][short] = mixed(first, 15), mixed(rest, 16)
+        else:
+            with np.errstate(over="ignore"):
+                whole = mixed(first, 15) + rest
+            out[0][short] = mixed(np.where(size < 8, first | rest, whole), 17)
+    long = np.flatnonzero(sizes > _SHORT)
+    if len(long):
+        for named, found in zip(out, _polynomials(data, starts[long], ends[long], n)):
+            named[long] = found
+    return out
+
+
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
+    """``n`` independent 62-bit hashes of each segment, spread over 64 bits."""
     out = [np.zeros(len(starts), np.uint64) for _ in range(n)]
     for part in _slices(starts, ends):
         s, e = starts[part], ends[part]
-        low, high = int(s[0]), int(e.max())
-        block = data[low:high]
-        for result, values, (up, down) in zip(out, _VALUES, _POWERS.upto(len(block) + 1)):
+        # only the segments' own bytes, one segment after another
+        size = e - s
+        e = np.cumsum(size)
+        block = data[np.arange(e[-1]) + np.repeat(s - (e - size), size)]
+        s, field, found = e - size, np.uint64(_FIELD), []
+        for values, (up, down) in zip(_VALUES[:2 * n], _POWERS.upto(len(block) + 1)):
             sums = np.zeros(len(block) + 1, np.uint64)
+            np.cumsum(_reduced(values[block] * up[:len(block)]), out=sums[1:])
+            found.append((sums[e] - sums[s]) % field * down[s] % field)
+        for k, result in enumerate(out):
             with np.errstate(over="ignore"):
-                np.cumsum(values[block] * up[:len(block)], out=sums[1:])
-                result[part] = mixed((sums[e - low] - sums[s - low]) * down[s - low] + (e - s).astype(np.uint64))
+                result[part] = mixed(mixed(found[2 * k] << np.uint64(31) | found[2 * k + 1]) + (e - s).astype(np.uint64))
     return out
 
 

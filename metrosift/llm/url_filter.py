@@ -61,7 +61,8 @@ def passes(words: np.ndarray, probes: int, depth: int, a: np.ndarray, b: np.ndar
 
 
 def hash_pair(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key), F.xxhash64(key, F.lit("second"))
+    """Two hashes of the key from different seeds: the text's, and the hash of a word before it."""
+    return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
 
 
 def _level(keys: DataFrame, n: int, depth: int) -> tuple[np.ndarray, int]:
@@ -181,7 +182,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     ``rules`` has (verdict, host, path): verdict is 'allow' or 'block', path starts with
     '/' or is empty. A rule fits its host and all subdomains where the url's path starts
-    with its own; the longest host + path wins, a key listed both ways is blocked. Urls
+    with its own; the longest host + path wins, of equally long ones the first in text
+    order, and a key listed both ways is blocked. Urls
     that no rule fits get ``default`` and a null rule. Null, empty and malformed urls
     have an empty host and path. Every row of ``pages`` is returned once, repeated ones
     too; no pages or no rules is no error.
@@ -211,7 +213,7 @@ def _judge_by_join(pages: DataFrame, keyed: DataFrame, rules: DataFrame, default
     rows = keyed.withColumn("__row", F.struct(*keyed.columns))
     rows = rows.withColumn("__id", F.sha2(F.to_json("__row"), 256))
     best = rows.select("__id", F.explode("__keys").alias("key")).distinct().join(listed, "key").groupBy("__id").agg(
-        F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), F.col("key"))).alias("__best"))
+        F.min_by(F.struct("key", "verdict"), F.struct(-F.length("key"), F.col("key"))).alias("__best"))
     return rows.join(best, "__id", "left").withColumns({
         "rule": F.col("__best.key"), "verdict": F.coalesce("__best.verdict", F.lit(default)),
     }).drop("__keys", "__row", "__id", "__best")
