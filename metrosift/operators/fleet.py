@@ -146,7 +146,13 @@ def hourly_metrics(rides: DataFrame, hours: int) -> DataFrame:
 
 def fleet_totals(rides: DataFrame, fleet_size: Column | int, horizon: float) -> DataFrame:
     """One row of totals. ``rides``: outcome, wait, cents, paid_miles, empty_miles,
-    service_minutes, passenger_minutes, charge_minutes, queue_minutes."""
+    service_minutes, passenger_minutes, charge_minutes, queue_minutes.
+
+    Without the last two columns the hours of charging and of waiting for a charger are
+    missing, not zero.
+    """
+    unknown = [c for c in ("charge_minutes", "queue_minutes") if c not in rides.columns]
+    rides = rides.withColumns({c: F.lit(None).cast("double") for c in unknown})
     size = fleet_size if isinstance(fleet_size, Column) else F.lit(fleet_size)
     done = F.col("outcome") == "completed"
     sums = rides.agg(
@@ -155,7 +161,8 @@ def fleet_totals(rides: DataFrame, fleet_size: Column | int, horizon: float) ->
         F.count_if(F.col("outcome") == "rejected").alias("rejected_requests"),
         F.avg(F.when(done, F.col("wait"))).alias("average_wait_minutes"),
         F.sum(F.when(done, F.col("cents")).otherwise(0)).alias("revenue_cents"),
-        *[F.sum(c).alias(c) for c in ("paid_miles", "empty_miles", "service_minutes", "passenger_minutes")],
+        *[F.sum(c).alias(c) for c in (
+            "paid_miles", "empty_miles", "service_minutes", "passenger_minutes", "charge_minutes", "queue_minutes")],
         size.alias("_fleet"),
     )
     miles = F.col("paid_miles") + F.col("empty_miles")
@@ -169,6 +176,8 @@ def fleet_totals(rides: DataFrame, fleet_size: Column | int, horizon: float) ->
         F.least(F.lit(100.0), F.col("passenger_minutes") / capacity * 100).alias("passenger_utilization_pct"),
         "paid_miles", "empty_miles",
         (F.col("empty_miles") / F.nullif(miles, F.lit(0.0)) * 100).alias("empty_mile_pct"),
+        (F.col("charge_minutes") / 60).alias("charging_vehicle_hours"),
+        (F.col("queue_minutes") / 60).alias("charging_queue_vehicle_hours"),
         "revenue_cents",
         (F.col("revenue_cents") / 100 / F.col("_fleet")).alias("revenue_per_vehicle_usd"),
         (F.col("rides_completed") / F.col("_fleet")).alias("rides_per_vehicle"),

@@ -39,8 +39,3 @@ def sql_x(key: str) -> str:
 
 def sql_y(key: str) -> str:
     return f"((({key}) * 104729) % 10009) / 100.0"
-
-
-def minute_of(ts: Column) -> Column:
-    """Whole seconds since the start of 2024 as minutes."""
-    return (F.unix_timestamp(ts.cast("timestamp")) - 1704067200) / 60.0

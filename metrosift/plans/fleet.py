@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 from metrosift.operators import fleet
 from metrosift.operators.attempts import accept_capped
 from metrosift.operators.spatial import hash_uniform
-from metrosift.plans.common import big, minute_of, point_x, point_y, r4, sql_x, sql_y, table
-
-HOURS = 24 * 30
-
+from metrosift.plans.common import big, point_x, point_y, r4, sql_x, sql_y, table
 
 def _events(spark, folder):
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _days(events):
+    """(start of the first day in seconds, number of days) of the events: two extremes from the files' statistics."""
+    ends = events.agg(*[F.unix_timestamp(F.date_trunc("day", f("ts"))).alias(n) for n, f in (("a", F.min), ("b", F.max))]).first()
+    return (0, 0) if ends["a"] is None else (ends["a"], (ends["b"] - ends["a"]) // 86_400 + 1)
+
+
+def _minute(ts, first):
+    """Whole seconds since the start of the first day, as minutes."""
+    return (F.unix_timestamp(ts) - first) / 60.0
+
+
 def state_segments(spark, folder):
     out = fleet.segments_from_events(_events(spark, folder), "user_id", "ts", "event_id", "event_type")
     return out.select("user_id", "event_id", F.col("event_type").alias("state"),
@@ -27,11 +35,13 @@ def state_segments(spark, folder):
 
 def _minute_segments(spark, folder):
     """Closed segments on a minute axis, with positions of their two events."""
-    segments = fleet.segments_from_events(_events(spark, folder), "user_id", "ts", "event_id", "event_type").where("end IS NOT NULL")
+    events = _events(spark, folder)
+    first, _ = _days(events)
+    segments = fleet.segments_from_events(events, "user_id", "ts", "event_id", "event_type").where("end IS NOT NULL")
     k = F.col("event_id")
     return segments.select(
-        "user_id", k.alias("segment_id"), F.col("event_type").alias("state"), minute_of(F.col("start")).alias("start_minute"),
-        minute_of(F.col("end")).alias("end_minute"), point_x(k).alias("from_x"), point_y(k).alias("from_y"),
+        "user_id", k.alias("segment_id"), F.col("event_type").alias("state"), _minute(F.col("start"), first).alias("start_minute"),
+        _minute(F.col("end"), first).alias("end_minute"), point_x(k).alias("from_x"), point_y(k).alias("from_y"),
         point_x(k + 1).alias("to_x"), point_y(k + 1).alias("to_y"))
 
 
@@ -64,7 +74,7 @@ def peak_concurrency(spark, folder):
 def _rides(spark, folder):
     """Events as rides: errors are rejected, views are unfinished, others completed."""
     e = _events(spark, folder)
-    kind, asked = F.col("event_type"), minute_of(F.col("ts"))
+    kind, asked = F.col("event_type"), _minute(F.col("ts"), _days(e)[0])
     done = ~kind.isin("error", "view")
     return e.select(
         "event_id", asked.alias("request_minute"), F.when(done, asked + F.floor("value")).alias("dropoff_minute"),
@@ -73,13 +83,13 @@ def _rides(spark, folder):
 
 
 def hourly_metrics(spark, folder):
-    out = fleet.hourly_metrics(_rides(spark, folder), HOURS)
+    out = fleet.hourly_metrics(_rides(spark, folder), _days(_events(spark, folder))[1] * 24)
     return out.select("hour", *[big(c).alias(c) for c in ("requests", "completed_rides", "rejected_requests", "cents")],
                       r4("average_wait_minutes").alias("average_wait_minutes"))
 
 
 def cumulative_revenue(spark, folder):
-    hourly = fleet.hourly_metrics(_rides(spark, folder), HOURS).select("hour", "cents")
+    hourly = fleet.hourly_metrics(_rides(spark, folder), _days(_events(spark, folder))[1] * 24).select("hour", "cents")
     return fleet.cumulative_by_hour(hourly, "cents", "total").select("hour", big("total").alias("cumulative_cents"))
 
 
@@ -89,12 +99,13 @@ def _order_rides(spark, folder):
     return table(spark, folder, "orders").select(
         k.alias("request_id"), F.element_at(F.create_map(*[F.lit(x) for x in ("F", "completed", "O", "rejected", "P", "unfinished")]), F.col("o_orderstatus")).alias("outcome"),
         ((cents % 1500) / 100.0).alias("wait"), cents.alias("cents"), (cents % 997 / 10.0).alias("paid_miles"),
-        (cents % 331 / 10.0).alias("empty_miles"), (cents % 61).cast("double").alias("service_minutes"), (cents % 41).cast("double").alias("passenger_minutes"))
+        (cents % 331 / 10.0).alias("empty_miles"), (cents % 23).cast("double").alias("charge_minutes"), (cents % 7).cast("double").alias("queue_minutes"), (cents % 61).cast("double").alias("service_minutes"), (cents % 41).cast("double").alias("passenger_minutes"))
 
 
 def fleet_totals(spark, folder):
     fleet_size = table(spark, folder, "customer").count()
-    out = fleet.require_conserved(fleet.fleet_totals(_order_rides(spark, folder), fleet_size, HOURS * 60.0))
+    _, days = _days(table(spark, folder, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts")))
+    out = fleet.require_conserved(fleet.fleet_totals(_order_rides(spark, folder), fleet_size, days * 1440.0))
     whole = ["total_requests", "rides_completed", "rejected_requests", "unfinished_requests", "revenue_cents"]
     return out.select(*[big(c).alias(c) for c in whole], *[r4(c).alias(c) for c in out.columns if c not in whole])
 
@@ -114,8 +125,9 @@ def fare_cents(spark, folder):
 def _lookups(spark, folder):
     """Every vehicle at noon of every day."""
     users = table(spark, folder, "events").select("user_id").distinct()
-    return users.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(29)))).select(
-        "user_id", (F.col("user_id") * 100 + F.col("day")).alias("lookup_id"), (F.col("day") * 1440.0 + 720).alias("minute"))
+    _, days = _days(_events(spark, folder))
+    return users.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(max(days, 1) - 1)))).select(
+        "user_id", (F.col("user_id") * 100_000 + F.col("day")).alias("lookup_id"), (F.col("day") * 1440.0 + 720).alias("minute"))
 
 
 def _as_of(spark, folder):
@@ -173,7 +185,15 @@ QUERIES = {f.__name__: f for f in (
     scenario_compare, ride_matching_draws,
 )}
 
-_SEC = "CAST(floor(epoch({})) AS BIGINT) - 1704067200"
+_SEC = "CAST(floor(epoch({})) AS BIGINT) - (SELECT CAST(epoch(date_trunc('day', min(ts))) AS BIGINT) FROM events)"
+_DAYS = "(SELECT date_diff('day', date_trunc('day', min(ts)), date_trunc('day', max(ts))) + 1 FROM events)"
+_ORDER_DAYS = "(SELECT date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 FROM orders)"
+#: Attempts in order, each with the accepted times before it: three at most in any six hours.
+CAPPED = """WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n FROM events),
+    r AS (SELECT user_id, event_id, ts, n, true AS accepted, [ts] AS held FROM o WHERE n = 1
+    UNION ALL SELECT user_id, event_id, ts, n, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, ts) ELSE live END
+    FROM (SELECT o.*, list_filter(r.held, lambda h: h > o.ts - INTERVAL 6 HOUR) AS live FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1))
+    SELECT user_id, event_id, ts, accepted FROM r"""
 _SEGMENTS = f"""WITH lagged AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) nxt FROM events),
     seg AS (SELECT user_id, event_id segment_id, event_type state, ({_SEC.format('ts')}) / 60.0::DOUBLE s, ({_SEC.format('nxt')}) / 60.0::DOUBLE e,
     CAST({sql_x('event_id')} AS DOUBLE) fx, CAST({sql_y('event_id')} AS DOUBLE) fy, CAST({sql_x('event_id + 1')} AS DOUBLE) tx, CAST({sql_y('event_id + 1')} AS DOUBLE) ty
@@ -181,10 +201,10 @@ _SEGMENTS = f"""WITH lagged AS (SELECT *, lead(ts) OVER (PARTITION BY user_id OR
 _RIDES = f"""WITH rides AS (SELECT ({_SEC.format('ts')}) / 60.0::DOUBLE asked, CASE WHEN event_type NOT IN ('error', 'view') THEN ({_SEC.format('ts')}) / 60.0::DOUBLE + floor(value) END done,
     event_type = 'error' rejected, floor(value % 17) wait, CAST(round(value * 100) AS BIGINT) cents FROM events),
     a AS (SELECT CAST(floor(asked / 60) AS BIGINT) h, count(*) requests, count(*) FILTER (rejected) rejected FROM rides GROUP BY 1),
-    b AS (SELECT CAST(floor(done / 60) AS BIGINT) h, count(*) completed, sum(cents) cents, avg(wait) wait FROM rides WHERE done < {HOURS * 60} GROUP BY 1),
+    b AS (SELECT CAST(floor(done / 60) AS BIGINT) h, count(*) completed, sum(cents) cents, avg(wait) wait FROM rides WHERE done < {_DAYS} * 1440 GROUP BY 1),
     hourly AS (SELECT r.h AS hour, coalesce(requests, 0) requests, coalesce(completed, 0) completed, coalesce(rejected, 0) rejected, CAST(coalesce(cents, 0) AS BIGINT) cents, wait
-    FROM range({HOURS}) r(h) LEFT JOIN a USING (h) LEFT JOIN b USING (h))"""
-_LOOKUPS = """, looks AS (SELECT user_id, user_id * 100 + d lookup_id, d * 1440.0::DOUBLE + 720 AS "minute" FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN range(30) r(d)),
+    FROM (SELECT unnest(range({_DAYS} * 24)) h) r LEFT JOIN a USING (h) LEFT JOIN b USING (h))"""
+_LOOKUPS = f""", looks AS (SELECT user_id, user_id * 100000 + d lookup_id, d * 1440.0::DOUBLE + 720 AS "minute" FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (SELECT unnest(range({_DAYS})) d) r),
     hit AS (SELECT l.*, g.* EXCLUDE (user_id) FROM looks l LEFT JOIN seg g ON g.user_id = l.user_id AND g.s <= l."minute"
     QUALIFY row_number() OVER (PARTITION BY lookup_id ORDER BY s DESC NULLS LAST, segment_id DESC) = 1),
     seen AS (SELECT user_id, lookup_id, "minute", s, e, fx, fy, tx, ty, CASE WHEN "minute" <= e THEN segment_id END segment_id, CASE WHEN "minute" <= e THEN state END state FROM hit)"""
@@ -206,10 +226,11 @@ ORACLES = {
     "cumulative_revenue": f"{_RIDES} SELECT hour, CAST(sum(cents) OVER (ORDER BY hour) AS BIGINT) AS cumulative_cents FROM hourly",
     "fleet_totals": f"""{_ORDERS}, t AS (SELECT count(*) n, count(*) FILTER (o_orderstatus = 'F') f, count(*) FILTER (o_orderstatus = 'O') o,
         avg(cents % 1500 / 100.0::DOUBLE) FILTER (o_orderstatus = 'F') w, sum(cents) FILTER (o_orderstatus = 'F') c, sum(cents % 997 / 10.0::DOUBLE) p, sum(cents % 331 / 10.0::DOUBLE) e,
-        sum(cents % 61) s, sum(cents % 41) pm, (SELECT count(*) FROM customer) k FROM c)
+        sum(cents % 61) s, sum(cents % 41) pm, sum(cents % 23) ch, sum(cents % 7) qu, (SELECT count(*) FROM customer) k FROM c)
         SELECT n AS total_requests, f AS rides_completed, o AS rejected_requests, n - f - o AS unfinished_requests, CAST(c AS BIGINT) AS revenue_cents, round(w, 4) + 0.0 AS average_wait_minutes,
-        round(least(100, s / CAST(k * {HOURS * 60} AS DOUBLE) * 100), 4) + 0.0 AS utilization_pct, round(least(100, pm / CAST(k * {HOURS * 60} AS DOUBLE) * 100), 4) + 0.0 AS passenger_utilization_pct,
+        round(least(100, s / CAST(k * {_ORDER_DAYS} * 1440 AS DOUBLE) * 100), 4) + 0.0 AS utilization_pct, round(least(100, pm / CAST(k * {_ORDER_DAYS} * 1440 AS DOUBLE) * 100), 4) + 0.0 AS passenger_utilization_pct,
         round(p, 4) + 0.0 AS paid_miles, round(e, 4) + 0.0 AS empty_miles, round(e / (p + e) * 100, 4) + 0.0 AS empty_mile_pct,
+        round(CAST(ch AS DOUBLE) / 60, 4) + 0.0 AS charging_vehicle_hours, round(CAST(qu AS DOUBLE) / 60, 4) + 0.0 AS charging_queue_vehicle_hours,
         round(CAST(c AS DOUBLE) / 100 / k, 4) + 0.0 AS revenue_per_vehicle_usd, round(CAST(f AS DOUBLE) / k, 4) + 0.0 AS rides_per_vehicle FROM t""",
     "wait_p95": f"{_ORDERS} SELECT round(quantile_cont(CAST(cents % 1500 / 100.0 AS DOUBLE), 0.95), 4) + 0.0 AS p95_wait_minutes FROM c WHERE o_orderstatus = 'F'",
     "fare_cents": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round((2.50::DECIMAL(12,6) + 1.255::DECIMAL(12,6) * CAST(l_quantity AS DECIMAL(18,8))
@@ -225,6 +246,7 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY pick, vehicle_id) = 1)
         SELECT r.request_id, vehicle_id, round(pick, 4) + 0.0 AS pickup_miles FROM r LEFT JOIN b USING (request_id)""",
     "attempt_cap": """SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS in_window FROM events""",
+    "attempt_cap_exact": f"SELECT user_id, event_id, accepted FROM ({CAPPED})",
     "scenario_compare": """WITH d AS (SELECT CAST(dayofyear(ts) AS BIGINT) scenario, count(*) rides, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) cents FROM events GROUP BY 1)
         SELECT scenario, rides, cents, lag(rides) OVER w AS previous_rides, lag(cents) OVER w AS previous_cents, rides - lag(rides) OVER w AS change_rides,
         cents - lag(cents) OVER w AS change_cents FROM d WINDOW w AS (ORDER BY scenario)""",

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from metrosift.operators.checks import CheckFailed
 from metrosift.sources import readers, writers
-from metrosift.streaming import events as stream
+from metrosift.streaming import events as stream, keyed
 
 
 def test_json_matrix(spark, tmp_path):
@@ -182,20 +183,89 @@ def one_file_at_a_time(spark, path):
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def keyed_rows(spark, tmp_path, batches, job, *columns):
+    """Rows of a keyed job over one file a batch. A last far event of another user moves the watermark past everything."""
+    path = str(tmp_path / f"in{len(list(tmp_path.iterdir()))}")
+    write_batches(spark, path, [*batches, [(90_000, 99, "end")]])
+    return rows(stream.drain(job(one_file_at_a_time(spark, path)), "keyed"), *columns)
+
+
+def seconds(ts):
+    return int((ts - datetime(2024, 1, 1)).total_seconds())
+
+
+def segments_of(spark, tmp_path, batches, **how):
+    found = keyed_rows(spark, tmp_path, batches, lambda e: keyed.closed_segments(e, **how), "user_id", "event_type", "start", "end")
+    return sorted(((u, e, seconds(a), seconds(b)) for u, e, a, b in found), key=lambda r: (r[0], r[2], r[3], r[1]))
+
+
+def by_order(batches):
+    events = sorted((u, s, i * 100 + j, e) for i, batch in enumerate(batches) for j, (s, u, e) in enumerate(batch))
+    return sorted(((a[0], a[3], a[1], b[1]) for a, b in zip(events, events[1:]) if a[0] == b[0]), key=lambda r: (r[0], r[2], r[3], r[1]))
+
+
 def test_segments_across_micro_batches(spark, tmp_path):
-    path = str(tmp_path / "in")
-    write_batches(spark, path, BATCHES)
-    out = stream.closed_segments(one_file_at_a_time(spark, path), str(tmp_path / "work"))
-    got = [(u, e, int(a.timestamp()) % 86400, int(b.timestamp()) % 86400) for u, e, a, b in rows(out, "user_id", "event_type", "start", "end")]
-    assert sorted(got) == sorted([(1, "a", 0, 9), (1, "b", 9, 20), (1, "c", 20, 25), (1, "a", 25, 90), (2, "c", 5, 30), (2, "a", 30, 70)])
+    assert segments_of(spark, tmp_path, BATCHES) == by_order(BATCHES)
 
 
-def test_cap_across_micro_batches(spark, tmp_path):
-    path = str(tmp_path / "in")
-    write_batches(spark, path, BATCHES)
-    out = stream.capped_stream(one_file_at_a_time(spark, path), str(tmp_path / "work"), 60, 2)
-    got = dict(rows(out, "event_id", "accepted"))
-    assert got == {0: True, 1: True, 2: True, 100: False, 101: True, 102: False, 200: True, 201: True, 202: True}
+def test_late_events_never_make_segments_overlap(spark, tmp_path):
+    """Events in any order within the delay give the segments of the sorted log."""
+    rng = random.Random(6)
+    events = sorted((rng.randrange(0, 7200), rng.randrange(1, 5), rng.choice("abc")) for _ in range(160))
+    late = sorted(events, key=lambda e: e[0] + rng.randrange(0, 500))
+    batches = [late[i:i + 20] for i in range(0, len(late), 20)]
+    found = segments_of(spark, tmp_path, batches, slice_seconds=60)
+    assert [(u, a, b) for u, _, a, b in found] == [(u, a, b) for u, _, a, b in by_order(batches)]
+    for (u, _, _, end), (v, _, start, _) in zip(found, found[1:]):
+        assert u != v or end <= start
+    one = segments_of(spark, tmp_path, [late], slice_seconds=600)
+    assert [(u, a, b) for u, _, a, b in one] == [(u, a, b) for u, _, a, b in found]
+
+
+def test_idle_vehicles_are_forgotten(spark, tmp_path):
+    batches = [[(0, 1, "a"), (60, 1, "b")], [(7000, 2, "x")], [(14_000, 2, "y")], [(20_000, 1, "c"), (20_030, 1, "d")]]
+    found = segments_of(spark, tmp_path, batches, idle_seconds=3600)
+    assert found == [(1, "a", 0, 60), (1, "c", 20_000, 20_030)]
+
+
+def test_events_behind_the_watermark_are_dropped(spark, tmp_path):
+    batches = [[(0, 1, "a")], [(9000, 1, "b")], [(9001, 2, "z")], [(100, 1, "late"), (9500, 1, "c")]]
+    assert segments_of(spark, tmp_path, batches) == [(1, "a", 0, 9000), (1, "b", 9000, 9500)]
+
+
+def capped(events, seconds, cap):
+    held, out = {}, {}
+    for u, s, number in sorted(events):
+        recent = held[u] = [x for x in held.get(u, []) if x > s - seconds]
+        out[number] = len(recent) < cap
+        if out[number]:
+            recent.append(s)
+    return out
+
+
+def test_cap_holds_whatever_order_attempts_come_in(spark, tmp_path):
+    rng = random.Random(9)
+    events = sorted((rng.randrange(0, 3000), rng.randrange(1, 4), "a") for _ in range(200))
+    late = sorted(events, key=lambda e: e[0] + rng.randrange(0, 550))
+    for batches in ([late[i:i + 25] for i in range(0, len(late), 25)], BATCHES):
+        want = capped([(u, s, i * 100 + j) for i, b in enumerate(batches) for j, (s, u, _) in enumerate(b)], 60, 2)
+        found = keyed_rows(spark, tmp_path, batches, lambda e: keyed.capped_attempts(e, 60, 2), "event_id", "accepted")
+        assert dict(found) == want
+
+
+def test_open_requests_end_unfinished(spark, tmp_path):
+    """Dropoffs come in other batches than requests, one after the cut-off, one too late, one never."""
+    start = datetime(2024, 1, 1)
+    at = lambda s: start + timedelta(seconds=s)
+    asked = [[(1, at(0), False), (2, at(10), True), (3, at(20), False)], [(4, at(3000), False), (5, at(3500), False)], [(6, at(90_000), False)], [(7, at(200_000), False)]]
+    done = [[(9, at(5))], [(1, at(600))], [(3, at(4000)), (4, at(3800)), (2, at(700))], [(5, at(1200)), (7, at(200_100))]]
+    for name, batches, schema in (("asked", asked, "ride_id long, request_ts timestamp, rejected boolean"), ("done", done, "ride_id long, dropoff_ts timestamp")):
+        for batch in batches:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    out = stream.drain(keyed.ride_outcomes(read("asked", "ride_id long, request_ts timestamp, rejected boolean"), read("done", "ride_id long, dropoff_ts timestamp"),
+                                           "2024-01-01 01:05:00", "50 minutes", "30 minutes"), "outcomes")
+    assert dict(rows(out, "ride_id", "outcome")) == {1: "completed", 2: "rejected", 3: "unfinished", 4: "completed", 5: "unfinished"}
 
 
 def test_failing_batch_stops_the_stream(spark, tmp_path):
