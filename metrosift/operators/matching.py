@@ -2,27 +2,34 @@
 
 References that are counted to be few travel inside the plan as one constant array
 and every row is matched where it lies: no shuffle, no join, no pair rows. Beyond
-that size they become blocks of bounded rows that are joined on a block number with
-the hot side spread over salts, each block keeps its best few, and a per-row top-k
-(cut on the map side by Spark's window group limit) merges them. Both are exact.
+that size they are cut into blocks by a k-d tree. A row visits its nearest block first
+and then only blocks whose box may hold something as near as what it has found.
+Distances are the same sums in the same order everywhere, so both ways agree bit by bit.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrosift.operators.joins import SALTS
+from metrosift.session import stage
 
 REFERENCES_IN_PLAN = 512
 # Vectors at least this long are compared as Arrow batches instead of expressions.
 WIDE_VECTOR = 16
+# Vectors of a block, about; blocks grow where there would be more than MAX_BLOCKS, whose boxes every task holds.
 BLOCK_VECTORS = 1024
+MAX_BLOCKS = 16_384
+# Vectors the tree's splits are taken from, at most about; blocks, boxes and matches cover all.
+SPLIT_SAMPLE = 65_536
+# Rows that meet a block in one task; more are spread over tasks.
+VISITS_PER_TASK = 50_000
 _SHAPE = "array<struct<v: array<double>, m: array<struct<r: string, e: string>>>>"
 MATCH = "array<struct<reference_id: string, entity_id: string, distance: double, similarity: double>>"
 
@@ -62,6 +69,15 @@ def _best(blocks: str, vector: str, entity: str, weights: Sequence[float], k: in
     )
 
 
+def distances(x: np.ndarray, y: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+    """Distance of every row of x to every row of y, summed dimension by dimension as the expressions do."""
+    total = np.zeros((len(x), len(y)))
+    for i, w in enumerate(weights):
+        gap = x[:, i, None] - y[None, :, i]
+        total = total + float(w) * gap * gap if i else float(w) * gap * gap
+    return np.sqrt(total)
+
+
 def _best_arrays(sample: list, weights: Sequence[float], k: int):
     """The same match as an Arrow-batched function, for vectors too long for expressions.
 
@@ -71,12 +87,10 @@ def _best_arrays(sample: list, weights: Sequence[float], k: int):
     refs = sorted(sample, key=lambda g: g["m"][0]["r"])
     matrix = np.array([list(g["v"]) for g in refs], dtype=float).reshape(len(refs), len(weights))
     members = [[(m["r"], m["e"]) for m in g["m"]] for g in refs]
-    w = np.array(weights, dtype=float)
-
     @F.pandas_udf(MATCH)
     def match(vectors: pd.Series, entities: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(v, dtype=float) for v in vectors]) if len(vectors) else np.empty((0, len(w)))
-        d = np.stack([np.sqrt(((x - row) ** 2) @ w) for row in matrix], axis=1) if len(refs) else np.empty((len(x), 0))
+        x = np.stack([np.asarray(v, dtype=float) for v in vectors]) if len(vectors) else np.empty((0, len(weights)))
+        d = distances(x, matrix, weights)
         # The walk in distance order stops once k are found and no tie is left.
         order = np.argsort(d, axis=1, kind="stable")
         out = []
@@ -116,32 +130,178 @@ def add_matches(
         prepared = candidates.withColumns({"_vector": vector, "_refs": F.from_json(F.lit(text), _SHAPE)})
         return prepared.withColumn(name, _best("_refs", "_vector", "entity_id", weights, k)).drop("_vector", "_refs")
 
-    total = groups.count()
-    n_blocks = -(-total // BLOCK_VECTORS)
-    block = F.pmod(F.xxhash64("v"), F.lit(n_blocks)).cast("int")
-    # About BLOCK_VECTORS rows each: vectors are distinct, so no block can run hot.
-    blocks = (
-        groups.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("v", "m")).alias("_refs"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    spread = candidates.select(
-        "entity_id", vector.alias("_vector"),
-        F.pmod(F.xxhash64("entity_id"), F.lit(SALTS)).cast("int").alias("_salt"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block"),
-    )
-    joined = spread.join(blocks, ["_block", "_salt"])
-    ranked = joined.select(
-        "entity_id",
-        F.explode(_best("_refs", "_vector", "entity_id", weights, k)).alias("_m"),
-    )
-    order = Window.partitionBy("entity_id").orderBy("_m.distance", "_m.reference_id")
-    top = (
-        ranked.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k)
-        .groupBy("entity_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_k", "_m"))).alias("_all"))
-        .select("entity_id", F.transform("_all", lambda x: x["_m"]).cast(MATCH).alias(name))
-    )
+    found = tree_matches(candidates.select("entity_id", vector.alias("v")), groups, weights, k)
     return (
-        candidates.join(top, "entity_id", "left")
+        candidates.join(found.select("entity_id", F.col("matches").alias(name)), "entity_id", "left")
         .withColumn(name, F.coalesce(name, F.array().cast(MATCH)))
     )
+
+
+# ---- a k-d tree of blocks --------------------------------------------------------
+
+class SplitTree:
+    """Splits of a k-d tree: where a vector goes left (value <= threshold) or right, down to a block number."""
+
+    def __init__(self, sample: np.ndarray, weights: Sequence[float], n_blocks: int) -> None:
+        self.dim, self.threshold, self.left, self.right, self.blocks = [], [], [], [], 0
+        scale = np.sqrt(np.array(weights, dtype=float))
+        self._grow(sample, scale, max(1, -(-len(sample) // n_blocks)))
+        self.arrays = tuple(np.array(a) for a in (self.dim, self.threshold, self.left, self.right))
+
+    def _grow(self, rows: np.ndarray, scale: np.ndarray, size: int) -> int:
+        node = len(self.dim)
+        for column, value in ((self.dim, -1), (self.threshold, 0.0), (self.left, -1), (self.right, -1)):
+            column.append(value)
+        spread = (rows.max(0) - rows.min(0)) * scale if len(rows) else np.zeros(len(scale))
+        if len(rows) <= size or not spread.max() > 0:
+            self.left[node], self.blocks = self.blocks, self.blocks + 1
+            return node
+        dim = int(spread.argmax())
+        values = np.sort(rows[:, dim])
+        at = values[(len(values) - 1) // 2]
+        at = at if at < values[-1] else values[np.searchsorted(values, values[-1], "left") - 1]
+        low = rows[:, dim] <= at
+        self.dim[node], self.threshold[node] = dim, float(at)
+        self.left[node] = self._grow(rows[low], scale, size)
+        self.right[node] = self._grow(rows[~low], scale, size)
+        return node
+
+    def block_of(self, x: np.ndarray) -> np.ndarray:
+        dim, threshold, left, right = self.arrays
+        at = np.zeros(len(x), np.int64)
+        inner = dim[at] >= 0
+        while inner.any():
+            rows = np.flatnonzero(inner)
+            node = at[rows]
+            at[rows] = np.where(x[rows, dim[node]] <= threshold[node], left[node], right[node])
+            inner[rows] = dim[at[rows]] >= 0
+        return left[at]
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dims)
+
+
+def box_distances(x: np.ndarray, low: np.ndarray, high: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+    """Least distance from each row of x to each box; never above that to a point within, in the last bit either."""
+    total = np.zeros((len(x), len(low)))
+    for i, w in enumerate(weights):
+        gap = np.maximum(0.0, np.maximum(low[None, :, i] - x[:, i, None], x[:, i, None] - high[None, :, i]))
+        total = total + float(w) * gap * gap if i else float(w) * gap * gap
+    return np.sqrt(total)
+
+
+def _visit(weights: Sequence[float], k: int):
+    """Best ``k`` of one block for each row that visits it."""
+    schema = pa.schema([("entity_id", pa.string()), ("distance", pa.float64()), ("reference_id", pa.string()), ("other", pa.string())])
+
+    def visit(rows: pa.Table, block: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if rows.num_rows and block.num_rows:
+            members = [[(m["r"], m["e"]) for m in group] for group in block["m"].to_pylist()]
+            y = _matrix(block["v"].combine_chunks(), len(weights))
+            entities, limits = rows["entity_id"].to_pylist(), rows["limit"].to_numpy()
+            x = _matrix(rows["v"].combine_chunks(), len(weights))
+            step = max(1, (1 << 20) // len(y))
+            for begin in range(0, len(x), step):
+                d = distances(x[begin:begin + step], y, weights)
+                for i, near in enumerate(d):
+                    entity, found = entities[begin + i], []
+                    edge = min(limits[begin + i], np.partition(near, 2 * k)[2 * k] if len(near) > 2 * k else np.inf)
+                    for j in np.flatnonzero(near <= edge):
+                        # at most one vector has no member left for the row's own entity
+                        other = next((m for m in members[j] if m[1] != entity), None)
+                        if other:
+                            found.append((entity, float(near[j]), *other))
+                    out += sorted(found, key=lambda f: f[1:])[:k]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else
+                        [pa.array([], f.type) for f in schema], schema=schema)
+
+    return visit
+
+
+def tree_matches(candidates: DataFrame, groups: DataFrame, weights: Sequence[float], k: int = 3) -> DataFrame:
+    """(entity_id, matches, visited): the ``k`` nearest references of each row, and the blocks it had to look at.
+
+    ``candidates``: entity_id (unique), v; rows with a null vector or component are left
+    out. ``groups``: v, m as of ``group_references``. Rounds of 1, 4, 16, ... further blocks in order
+    of their boxes' distance go on until every other box is farther than the ``k``-th match.
+    """
+    spark, dims = candidates.sparkSession, len(weights)
+    groups = stage(groups, "reference-vectors")
+    total = groups.count()
+    n_blocks = min(MAX_BLOCKS, -(-total // BLOCK_VECTORS))
+    share = F.pmod(F.xxhash64("v", F.lit("split")), F.lit(max(1, -(-total // SPLIT_SAMPLE)))) == 0
+    sample = np.array([r["v"] for r in groups.where(share).select("v").collect()], dtype=float).reshape(-1, dims)
+    tree = spark.sparkContext.broadcast(SplitTree(sample, weights, n_blocks))
+
+    @F.pandas_udf("long")
+    def block_of(vectors: pd.Series) -> pd.Series:
+        return pd.Series(tree.value.block_of(np.stack([np.asarray(v, dtype=float) for v in vectors])) if len(vectors) else np.empty(0, int))
+
+    blocks = stage(groups.withColumn("block", block_of("v")), "blocks")
+    edges = blocks.groupBy("block").agg(*[f(F.col("v")[i]).alias(f"{n}{i}") for i in range(dims) for n, f in (("a", F.min), ("b", F.max))])
+    found = sorted(edges.collect())  # a row for each block, at most MAX_BLOCKS
+    numbers = np.array([r["block"] for r in found])
+    low, high = (np.array([[r[f"{n}{i}"] for i in range(dims)] for r in found], dtype=float) for n in "ab")
+    boxes = spark.sparkContext.broadcast((numbers, low, high))
+
+    def visits(step: int):
+        schema = pa.schema([("entity_id", pa.string()), ("v", pa.list_(pa.float64())), ("limit", pa.float64()), ("block", pa.int64())])
+
+        def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, a, b = boxes.value
+            for batch in batches:
+                for begin in range(0, batch.num_rows, max(1, (1 << 20) // len(own))):
+                    part = batch.slice(begin, max(1, (1 << 20) // len(own)))
+                    limit, seen = part.column(2).to_numpy(), part.column(3).to_numpy()
+                    least = box_distances(_matrix(part.column(1), dims), a, b, weights)
+                    order = np.argsort(least, axis=1, kind="stable")
+                    place = np.empty_like(order)
+                    np.put_along_axis(place, order, np.arange(len(own))[None, :].repeat(len(order), 0), 1)
+                    go = (place >= seen[:, None]) & (place < seen[:, None] + step) & (least <= limit[:, None])
+                    row, block = np.nonzero(go)
+                    yield pa.RecordBatch.from_arrays([
+                        part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(limit[row]), pa.array(own[block])],
+                        schema=schema)
+
+        return plan
+
+    complete = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    state = stage(candidates.where(complete).select(
+        F.col("entity_id").cast("string").alias("entity_id"), F.col("v").cast("array<double>").alias("v"), F.lit(float("inf")).alias("limit"),
+        F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("visited"),
+        F.expr("cast(array() AS array<struct<distance: double, reference_id: string, other: string>>)").alias("best")), "match-state")
+    done, step = [], 1
+    while True:
+        asked = stage(state.select("entity_id", "v", "limit", "seen").mapInArrow(
+            visits(step), "entity_id string, v array<double>, limit double, block long"), "visits")
+        heat = asked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn(
+            "salts", F.ceil(F.col("n") / VISITS_PER_TASK).cast("int"))
+        heat = F.broadcast(stage(heat, "heat"))  # a row for each block
+        if heat.isEmpty():
+            done.append(state)
+            break
+        left = asked.join(heat, "block").withColumn("salt", F.pmod(F.xxhash64("entity_id"), F.col("salts")).cast("int"))
+        right = blocks.join(heat, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        near = left.select("block", "salt", "entity_id", "v", "limit").groupBy("block", "salt").cogroup(
+            right.select("block", "salt", "v", "m").groupBy("block", "salt")).applyInArrow(
+            _visit(weights, k), "entity_id string, distance double, reference_id string, other string")
+        counted = asked.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n"))
+        met = near.groupBy("entity_id").agg(F.collect_list(F.struct("distance", "reference_id", "other")).alias("_met"))
+        merged = state.join(counted, "entity_id", "left").join(met, "entity_id", "left")
+        best = F.slice(F.array_sort(F.concat("best", F.coalesce("_met", F.expr("cast(array() AS array<struct<distance: double, reference_id: string, other: string>>)")))), 1, k)
+        after = stage(merged.select("entity_id", "v", (F.col("seen") + step).alias("seen"), (F.col("visited") + F.coalesce("_n", F.lit(0))).alias("visited"),
+                                    best.alias("best"), F.col("_n").isNotNull().alias("open")), "match-state")
+        limit = F.when(F.size("best") >= k, F.element_at("best", k)["distance"]).otherwise(F.lit(float("inf")))
+        names = ["entity_id", "v", "limit", "seen", "visited", "best"]
+        after = after.withColumn("limit", limit)
+        # a row that had no block near enough has none further out either
+        done.append(after.where("not open").select(names))
+        state, step = after.where("open").select(names), step * 4
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select("entity_id", "visited", F.expr(
+        "transform(best, x -> named_struct('reference_id', x.reference_id, 'entity_id', x.other, 'distance', x.distance, "
+        "'similarity', (1 - least(1D, x.distance)) * 100))").alias("matches"))

@@ -129,14 +129,11 @@ def weighted_choice(spark, folder):
 
 
 def nearest_vector(spark, folder):
-    """Three nearest reference vectors; the references are the lowest id of each label."""
+    """Three nearest other vectors of every vector; copies of one vector count as their lowest id."""
     e = table(spark, folder, "embeddings").select(
-        F.col("vec_id").cast("string").alias("entity_id"), "vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    first = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "v"), "vec_id").alias("m"))
-    refs = first.select(F.format_string("%09d", F.col("m.vec_id")).alias("reference_id"),
-                        F.col("m.vec_id").cast("string").alias("entity_id"), F.col("m.v").alias("v"))
-    groups = group_references(refs, F.col("v"))
-    out = add_matches(e, groups, F.col("v"), [1 / 64] * 64)
+        F.col("vec_id").cast("string").alias("entity_id"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    refs = e.select(F.format_string("%09d", "vec_id").alias("reference_id"), "entity_id", "v")
+    out = add_matches(e, group_references(refs, F.col("v")), F.col("v"), [1 / 64] * 64)
     return out.select("vec_id", F.posexplode("matches").alias("i", "m")).select(
         "vec_id", big(F.col("i") + 1).alias("position"), "m.reference_id", r4("m.distance").alias("distance"))
 
@@ -215,8 +212,9 @@ ORACLES = {
     "weighted_choice": """WITH z AS (SELECT p_partkey zone_id, sum(p_size) OVER (ORDER BY p_partkey) - p_size s FROM part WHERE p_size > 0),
         r AS (SELECT o_orderkey request_id, CAST(floor(CAST(('0x' || substring(md5('zone:' || o_orderkey), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * (SELECT sum(p_size) FROM part)) AS BIGINT) t FROM orders)
         SELECT request_id, zone_id FROM r ASOF JOIN z ON r.t >= z.s""",
-    "nearest_vector": """WITH first AS (SELECT label, min(vec_id) vec_id FROM embeddings GROUP BY 1), refs AS (SELECT e.vec_id rid, embedding::DOUBLE[] v FROM embeddings e JOIN first USING (vec_id)),
-        d AS (SELECT e.vec_id, rid, list_distance(embedding::DOUBLE[], v) / 8 d FROM embeddings e JOIN refs ON rid <> e.vec_id)
+    "nearest_vector": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings),
+        copies AS (SELECT v, list_sort(list(vec_id)) ids FROM e GROUP BY v),
+        d AS (SELECT e.vec_id, list_filter(ids, lambda i: i <> e.vec_id)[1] rid, list_distance(e.v, c.v) / 8 d FROM e JOIN copies c ON len(list_filter(ids, lambda i: i <> e.vec_id)) > 0)
         SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY d, rid) AS position, printf('%09d', rid) AS reference_id, round(d, 4) + 0.0 AS distance FROM d
         QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, rid) <= 3""",
 }

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,37 @@ def test_matches_equal_brute_force(spark, monkeypatch, dims, limit):
     assert {r["entity_id"]: [m["reference_id"] for m in r["matches"]] for r in got.collect()} == brute_matches(rows, refs, weights)
 
 
+@pytest.mark.parametrize("dims", [3, 16, 20])
+def test_tree_agrees_with_the_small_path_in_every_bit(spark, monkeypatch, dims):
+    """Clustered vectors with repeats, ties and a row without a vector; far blocks are never looked at."""
+    monkeypatch.setattr(matching, "BLOCK_VECTORS", 8)
+    monkeypatch.setattr(matching, "VISITS_PER_TASK", 15)
+    rng = random.Random(dims)
+    centres = [[rng.uniform(0, 1) for _ in range(dims)] for _ in range(12)]
+    rows = [(f"e{i:03d}", [c + rng.choice([0, 0.01, 0.02, rng.gauss(0, 0.02)]) for c in rng.choice(centres)]) for i in range(300)]
+    rows += [(f"x{i}", rows[0][1]) for i in range(60)]
+    refs = [(f"r{i:03d}", e, v) for i, (e, v) in enumerate(rows[:200])] + [(f"s{i:03d}", e, v) for i, (e, v) in enumerate(rows[150:180])]
+    table = spark.createDataFrame(refs, "reference_id string, entity_id string, v array<double>")
+    df = spark.createDataFrame([*rows, ("null", None)], "entity_id string, v array<double>")
+    weights = [(1 + i % 3) / dims for i in range(dims)]
+    groups = matching.group_references(table, F.col("v"))
+    take = lambda d: {r["entity_id"]: [tuple(m) for m in r["matches"]] for r in d.where("v IS NOT NULL").collect()}
+    small = take(matching.add_matches(df.where("v IS NOT NULL"), groups, F.col("v"), weights))
+    large = take(matching.add_matches(df, groups, F.col("v"), weights, limit=1))
+    assert large == small
+    blocks = -(-groups.count() // 8)
+    looked = matching.tree_matches(df, groups, weights).agg(F.avg("visited"), F.count(F.lit(1))).first()
+    assert looked[1] == len(rows) and looked[0] < blocks / 2
+
+
+def test_boxes_bound_distances_from_below():
+    rng = np.random.default_rng(5)
+    points, weights = rng.random((40, 7)), [0.1, 0.3, 0.05, 0.2, 0.15, 0.1, 0.1]
+    x = rng.random((60, 7)) * 2 - 0.5
+    least = matching.box_distances(x, points.min(0)[None], points.max(0)[None], weights)
+    assert (least <= matching.distances(x, points, weights)).all()
+
+
 def _km(a, b):
     p, q = math.radians(a[0]), math.radians(b[0])
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
