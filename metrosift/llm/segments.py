@@ -62,8 +62,8 @@ class _Powers:
 _POWERS = _Powers()
 
 
-#: Bytes that two words hold beside the length.
-_SHORT = 15
+#: Bytes that two words hold beside the length, and segments named at a time.
+_SHORT, _SEGMENTS = 15, 1 << 16
 _KEEP = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1] * 8, np.uint64)
 
 
@@ -72,29 +72,37 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int = 2) -
 
     Two words tell all segments of up to 15 bytes apart, one word those of up to 7.
     """
-    sizes = ends - starts
     out = [np.zeros(len(starts), np.uint64) for _ in range(n)]
-    short = np.flatnonzero(sizes <= _SHORT)
-    if len(short):
-        padded = np.concatenate((data, np.zeros(16, np.uint8)))
-        eight = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
-        s, size = starts[short], sizes[short]
-        first = eight[s] & _KEEP[size]
-        rest = np.where(size > 8, eight[np.minimum(s + 8, len(data))] & _KEEP[np.maximum(size - 8, 0)], np.uint64(0))
-        rest |= size.astype(np.uint64) << np.uint64(56)
-        if n == 2:
-            out[0][short], out[1][short] = mixed(first, 15), mixed(rest, 16)
-        else:
-            with np.errstate(over="ignore"):
-                whole = mixed(first, 15) + rest
-            out[0][short] = mixed(np.where(size < 8, first | rest, whole), 17)
-    long = np.flatnonzero(sizes > _SHORT)
-    if len(long):
-        for named, found in zip(out, _polynomials(data, starts[long], ends[long], n)):
-            named[long] = found
+    for at in range(0, len(starts), _SEGMENTS):
+        s, e = starts[at:at + _SEGMENTS], ends[at:at + _SEGMENTS]
+        size = e - s
+        short = np.flatnonzero(size <= _SHORT)
+        if len(short):
+            for named, found in zip(out, _packed(data, s[short], size[short], n)):
+                named[at + short] = found
+        long = np.flatnonzero(size > _SHORT)
+        if len(long):
+            for named, found in zip(out, _polynomials(data, s[long], e[long], n)):
+                named[at + long] = found
     return out
 
 
+def _packed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int) -> list[np.ndarray]:
+    """The bytes and length of segments of up to 15 bytes, as ``n`` words."""
+    low, high = int(starts[0]), min(len(data), int(starts[-1]) + 16)
+    block = np.concatenate((data[low:high], np.zeros(16, np.uint8)))
+    eight = np.ndarray((len(block) - 8,), "<u8", block, strides=(1,))  # the eight bytes from each place on
+    s = starts - low
+    first = eight[s] & _KEEP[sizes]
+    rest = np.where(sizes > 8, eight[np.minimum(s + 8, len(eight) - 1)] & _KEEP[np.maximum(sizes - 8, 0)], np.uint64(0))
+    rest |= sizes.astype(np.uint64) << np.uint64(56)
+    if n == 2:
+        return [mixed(first, 15), mixed(rest, 16)]
+    with np.errstate(over="ignore"):
+        whole = mixed(first, 15) + rest
+    return [mixed(np.where(sizes < 8, first | rest, whole), 17)]
+
+
 def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
     """``n`` independent 62-bit hashes of each segment, spread over 64 bits."""
     out = [np.zeros(len(starts), np.uint64) for _ in range(n)]
