@@ -226,15 +226,32 @@ def rank_references(wide, references, specs, bounds, request=RankingRequest()) -
     return rank_entities(wide, references, specs, bounds, request, members, include_references=True)
 
 
-def weight_sensitivity(ranked: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Rank and score change of each ranked entity against a baseline ranking."""
-    base = baseline.where("rank IS NOT NULL").select(
+def ranks_by_weights(scored: DataFrame, requests: Mapping[str, RankingRequest]) -> DataFrame:
+    """(weights, entity_id, expansion_score, rank) for every named set of weights, from one scoring.
+
+    The pillars do not depend on the weights, so rows are scored once and each is weighed as
+    often as there are sets. Every set ranks the same entities, so one global order by
+    (set, score, id) holds all rankings one after another, in slices of bounded size.
+    """
+    kept = stage(scored.where("expansion_score IS NOT NULL").select("entity_id", *PILLARS), "pillars")
+    n = kept.count()
+    sets = F.array(*[F.struct(F.lit(name).alias("weights"), *[F.lit(request.shares()[p]).alias(f"_{p}") for p in PILLARS])
+                     for name, request in requests.items()])
+    weighed = kept.withColumn("_w", F.explode(sets)).select("entity_id", "_w.weights", F.expr(
+        " + ".join(f"{p} * _w._{p}" for p in PILLARS)).alias("expansion_score"))
+    placed = add_position(weighed, [F.col("weights"), F.col("expansion_score").desc(), F.col("entity_id")], "rank")
+    return placed.withColumn("rank", ((F.col("rank") - 1) % F.lit(max(n, 1)) + 1).cast("long")).select(
+        "weights", "entity_id", "expansion_score", "rank")
+
+
+def weight_sensitivity(ranks: DataFrame, baseline: str) -> DataFrame:
+    """Rank and score change of every entity under each other set of ``ranks`` against the ``baseline`` set."""
+    base = ranks.where(F.col("weights") == baseline).select(
         "entity_id", F.col("rank").alias("baseline_rank"),
         F.col("expansion_score").alias("baseline_score"),
     )
     return (
-        ranked.where("rank IS NOT NULL").select("entity_id", "rank", "expansion_score")
-        .join(base, "entity_id")
+        join_lookup(ranks.where(F.col("weights") != baseline), base, ["entity_id"])
         .withColumn("rank_change", F.col("baseline_rank") - F.col("rank"))
         .withColumn("score_change", F.col("expansion_score") - F.col("baseline_score"))
     )

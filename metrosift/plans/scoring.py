@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrosift.functions.registry import PILLARS, TEN_FEATURES, FeatureSpec, check_registry, registry_table
-from metrosift.operators import audit, features as fx, release, scoring
+from metrosift.operators import audit, evidence, features as fx, release, scoring
 from metrosift.operators.census import charging_coverage, ports_by_area
 from metrosift.plans.common import big, r4, table
 from metrosift.session import stage
@@ -130,17 +130,24 @@ def rank_reference_markets(spark, folder):
 
 
 def weight_sensitivity(spark, folder):
+    """Ranks under other weights beside the default ones, from one scoring."""
     wide, refs, frozen = setup(spark, folder)
-    bounds = fx.bounds_of(frozen, SPECS)
-    new = scoring.rank_entities(wide, refs, SPECS, bounds, ALTERNATIVE)
-    old = scoring.rank_entities(wide, refs, SPECS, bounds)
-    out = scoring.weight_sensitivity(new, old)
+    scored = scoring.score(wide, refs, SPECS, fx.bounds_of(frozen, SPECS))
+    sets = {"default": scoring.RankingRequest(), "readiness first": ALTERNATIVE, "even": scoring.RankingRequest({p: 1.0 for p in PILLARS})}
+    out = scoring.weight_sensitivity(scoring.ranks_by_weights(scored, sets), "default")
     return out.select(
-        "entity_id", big("rank").alias("rank"), big("baseline_rank").alias("baseline_rank"),
+        "weights", "entity_id", big("rank").alias("rank"), big("baseline_rank").alias("baseline_rank"),
         big("rank_change").alias("rank_change"), r4("expansion_score").alias("expansion_score"),
         r4("score_change").alias("score_change"))
 
 
+def _cited(spark, folder):
+    """Measurements of the markets with the ids they cite: one of the measurement, one shared by a third of the nations."""
+    long = fx.to_long(market_wide(spark, folder), [s.key for s in SPECS])
+    feed = F.concat(F.lit("fed-"), (F.substring("entity_id", 6, 5).cast("int") % 3).cast("string"))
+    return long.withColumn("provenance_ids", F.array(F.concat(F.lit("src-"), "key"), feed))
+
+
 def top_markets(spark, folder):
     ranked = ranked_markets(spark, folder).where("rank IS NOT NULL")
     return ranked.orderBy(F.desc("expansion_score"), "entity_id").limit(3).select(
@@ -150,8 +157,9 @@ def top_markets(spark, folder):
 def factor_table(spark, folder):
     wide, refs, frozen = setup(spark, folder)
     scored = scoring.score(wide, refs, SPECS, fx.bounds_of(frozen, SPECS))
-    f = scored.select("entity_id", F.explode("factors").alias("f")).select("entity_id", "f.*")
-    return f.select("entity_id", "key", "pillar", *[
+    cited = evidence.with_factor_evidence(scored, _cited(spark, folder))
+    f = cited.select("entity_id", F.explode("factors").alias("f")).select("entity_id", "f.*")
+    return f.select("entity_id", "key", "pillar", F.array_join("provenance_ids", ",").alias("provenance_ids"), *[
         r4(c).alias(c) for c in ("raw_value", "normalized_value", "reference_value", "distance_component", "score_points")])
 
 
@@ -174,14 +182,35 @@ def coverage(spark, folder):
                        F.array_join(fx.missing_keys(SPECS), ",").alias("missing"))
 
 
+def _market_names(spark, folder):
+    return table(spark, folder, "nation").select(
+        F.concat(F.lit("cbsa:"), F.lpad(F.col("n_nationkey").cast("string"), 5, "0")).alias("entity_id"), F.col("n_name").alias("display_name"))
+
+
 def explanations(spark, folder):
-    ranked = ranked_markets(spark, folder)
-    names = table(spark, folder, "nation").select(
-        F.concat(F.lit("cbsa:"), F.lpad(F.col("n_nationkey").cast("string"), 5, "0")).alias("entity_id"),
-        F.col("n_name").alias("display_name"))
-    return scoring.explain_rows(ranked, names, SPECS).select(
-        "entity_id", "summary", F.array_join("tradeoffs", " | ").alias("tradeoffs"),
-        F.size("advantages").cast("long").alias("advantages"))
+    """Every text of every explanation, with the ids it rests on and the ranking it belongs to."""
+    wide, refs, frozen = setup(spark, folder)
+    request = scoring.RankingRequest()
+    ranked = stage(evidence.with_factor_evidence(
+        scoring.rank_entities(wide, refs, SPECS, fx.bounds_of(frozen, SPECS), request), _cited(spark, folder)), "cited")
+    rows = scoring.explain_rows(ranked, _market_names(spark, folder), SPECS)
+    cited = refs.withColumn("provenance_ids", F.array(F.concat(F.lit("doc-"), "id"), F.lit("fed-0")))
+    ranking = evidence.ranking_id(scoring.select_references(refs, request), request.shares(), F.lit("tables"))
+    return evidence.explained(rows, ranked, cited, ranking).select(
+        "entity_id", "summary", *[F.array_join(c, " | ").alias(c) for c in ("tradeoffs", "advantages")],
+        F.array_join("evidence_ids", ",").alias("evidence_ids"), "mode", "ranking_id")
+
+
+def entity_lookup(spark, folder):
+    """One market with all its measurements and the provenance records they cite."""
+    cited = _cited(spark, folder)
+    records = cited.select("entity_id", F.explode("provenance_ids").alias("id")).distinct().withColumn(
+        "url", F.concat(F.lit("https://data.example/"), "id"))
+    out = evidence.lookup("cbsa:00003", _market_names(spark, folder), cited, records)
+    text = lambda c, f: F.array_join(F.transform(c, f), "; ")
+    return out.select("entity_id", "display_name", text("features", lambda x: F.concat(
+        x["key"], F.lit("="), F.coalesce(F.format_string("%.3f", x["value"]), F.lit("missing")), F.lit(" "), F.array_join(x["provenance_ids"], ","))).alias("features"),
+        text("evidence", lambda x: F.concat(x["id"], F.lit(" "), x["url"])).alias("evidence"))
 
 
 def freeze_bounds(spark, folder):
@@ -231,7 +260,7 @@ def rank_parts(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    rank_markets, reference_matches, rank_reference_markets, weight_sensitivity, top_markets, factor_table,
+    rank_markets, reference_matches, rank_reference_markets, weight_sensitivity, top_markets, factor_table, entity_lookup,
     strong_weak_factors, exclusion_reasons, coverage, explanations, freeze_bounds, normalize_clip,
     feature_audit, missing_report, rank_parts,
 )}
@@ -326,24 +355,33 @@ ORACLES = {
     "rank_reference_markets": f"{_REFERENCE_RANKING} {_SCORES} WHERE w.entity_id IN (SELECT entity_id FROM all_refs WHERE entity_id IN (SELECT entity_id FROM complete))",
     "reference_matches": f"""{_MARKETS} SELECT m.entity_id, pos AS position, m.reference_id, round(d, 4) + 0.0 AS distance,
         round(100 * (1 - least(1, d)), 4) + 0.0 AS similarity FROM matched m JOIN scored USING (entity_id) WHERE pos <= 3""",
-    "weight_sensitivity": f"""{_MARKETS}, other AS (SELECT *, 0.2 * familiarity + 0.5 * readiness + 0.3 * opportunity s2 FROM ranked),
-        again AS (SELECT *, row_number() OVER (ORDER BY s2 DESC, entity_id) rk2 FROM other)
-        SELECT entity_id, rk2 AS rank, rk AS baseline_rank, rk - rk2 AS rank_change, round(s2, 4) + 0.0 AS expansion_score,
-        round(s2 - score, 4) + 0.0 AS score_change FROM again""",
+    "weight_sensitivity": f"""{_MARKETS}, sets(weights, f, r, o) AS (VALUES ('default', 0.4::DOUBLE, 0.2::DOUBLE, 0.4::DOUBLE), ('readiness first', 0.2, 0.5, 0.3), ('even', 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE)),
+        again AS (SELECT weights, entity_id, f * familiarity + r * readiness + o * opportunity s2 FROM ranked, sets),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY weights ORDER BY s2 DESC, entity_id) rk2 FROM again)
+        SELECT weights, entity_id, rk2 AS rank, rk AS baseline_rank, rk - rk2 AS rank_change, round(s2, 4) + 0.0 AS expansion_score,
+        round(s2 - score, 4) + 0.0 AS score_change FROM placed JOIN ranked USING (entity_id) WHERE weights <> 'default'""",
     "top_markets": f"{_MARKETS} SELECT entity_id, rk AS rank, round(score, 4) + 0.0 AS expansion_score FROM ranked WHERE rk <= 3",
-    "factor_table": f"""{_MARKETS} {_FACTORS} SELECT entity_id, key, pillar, round(raw_value, 4) + 0.0 AS raw_value, round(n, 4) + 0.0 AS normalized_value,
+    "factor_table": f"""{_MARKETS} {_FACTORS} SELECT entity_id, key, pillar, 'src-' || key || ',fed-' || CAST(substring(entity_id, 6, 5) AS INT) % 3 AS provenance_ids, round(raw_value, 4) + 0.0 AS raw_value, round(n, 4) + 0.0 AS normalized_value,
         round(reference_value, 4) + 0.0 AS reference_value, round(component, 4) + 0.0 AS distance_component, round(points, 4) + 0.0 AS score_points FROM factors""",
     "strong_weak_factors": f"""{_MARKETS} {_FACTORS} SELECT entity_id, max(key) FILTER (j = 1) AS strongest_1, max(key) FILTER (j = 2) AS strongest_2,
         max(key) FILTER (i = 1) AS weakest_1, max(key) FILTER (i = 2) AS weakest_2 FROM weak GROUP BY 1""",
     "exclusion_reasons": f"{_MARKETS} SELECT entity_id, reasons FROM reasons",
     "coverage": f"""{_MARKETS} SELECT entity_id, round(count(value) / 10.0, 4) + 0.0 AS coverage,
         coalesce(string_agg(key, ',' ORDER BY pos) FILTER (value IS NULL), '') AS missing FROM feat JOIN registry USING (key) GROUP BY 1""",
-    "explanations": f"""{_MARKETS} {_FACTORS}, low AS (SELECT entity_id, string_agg(lower(label), ', ' ORDER BY i) labels FROM weak JOIN registry USING (key) WHERE i <= 2 GROUP BY 1)
+    "explanations": f"""{_MARKETS} {_FACTORS}, low AS (SELECT entity_id, string_agg(lower(label), ', ' ORDER BY i) labels FROM weak JOIN registry USING (key) WHERE i <= 2 GROUP BY 1),
+        high AS (SELECT entity_id, string_agg(CASE WHEN k.pillar = 'familiarity' THEN label || ': ' || format('{{:,.2f}}', raw_value) || ' ' || unit || '; comparison reference ' || format('{{:,.2f}}', reference_value) || '.'
+            ELSE label || ' contributes ' || printf('%.1f', points) || ' points to ' || k.pillar || '.' END, ' | ' ORDER BY j) told FROM weak k JOIN registry USING (key) WHERE j <= 2 GROUP BY 1),
+        ids AS (SELECT f.entity_id, list_sort(list_distinct(list_concat(list('src-' || key), ['fed-' || CAST(substring(f.entity_id, 6, 5) AS INT) % 3, 'fed-0', 'doc-' || any_value(reference_id)]))) ids FROM factors f JOIN ranked USING (entity_id) GROUP BY 1),
+        rid AS (SELECT sha256('tables|familiarity=0.400000,opportunity=0.400000,readiness=0.200000|' || count(*) || '|' || sum(('0x' || substr(sha256(reference_id), 1, 15))::BIGINT::HUGEINT)) id FROM refs)
         SELECT w.entity_id, CASE WHEN rk IS NULL THEN w.n_name || ' is unranked.' ELSE w.n_name || ' ranks #' || rk || ' with a screening score of '
         || printf('%.1f', score) || '. ' || x.n_name || ' is the nearest selected reference across climate and commuting proxies. Applied weights: familiarity 40%, readiness 20%, opportunity 40%.' END AS summary,
         CASE WHEN rk IS NULL THEN replace(reasons, '; ', ' | ') ELSE 'Lower relative factors: ' || labels || '. | {scoring.CAVEAT}' END AS tradeoffs,
-        CAST(CASE WHEN rk IS NULL THEN 0 ELSE 2 END AS BIGINT) AS advantages
-        FROM wide w JOIN reasons USING (entity_id) LEFT JOIN ranked r USING (entity_id) LEFT JOIN low USING (entity_id) LEFT JOIN wide x ON x.entity_id = r.ref_entity""",
+        coalesce(told, '') AS advantages, CASE WHEN rk IS NULL THEN '' ELSE array_to_string(ids, ',') END AS evidence_ids, 'template' AS mode, (SELECT id FROM rid) AS ranking_id
+        FROM wide w JOIN reasons USING (entity_id) LEFT JOIN ranked r USING (entity_id) LEFT JOIN low USING (entity_id) LEFT JOIN high USING (entity_id) LEFT JOIN ids USING (entity_id)
+        LEFT JOIN wide x ON x.entity_id = r.ref_entity""",
+    "entity_lookup": f"""{_MARKETS}, f AS (SELECT * FROM feat WHERE entity_id = 'cbsa:00003') SELECT 'cbsa:00003' AS entity_id, (SELECT n_name FROM nation WHERE n_nationkey = 3) AS display_name,
+        (SELECT string_agg(key || '=' || coalesce(printf('%.3f', value), 'missing') || ' src-' || key || ',fed-0', '; ' ORDER BY key) FROM f) AS features,
+        (SELECT string_agg(i || ' https://data.example/' || i, '; ' ORDER BY i) FROM (SELECT 'src-' || key i FROM f UNION SELECT 'fed-0')) AS evidence""",
     "freeze_bounds": f"{_MARKETS} SELECT key, round(lo, 4) + 0.0 AS lower, round(hi, 4) + 0.0 AS upper FROM bounds",
     "normalize_clip": f"""{_MARKETS} SELECT entity_id, key, round(value, 4) + 0.0 AS value, round(t, 4) + 0.0 AS transformed_value,
         CASE WHEN value IS NOT NULL THEN round(least(1.0, greatest(0.0, (t - lo) / (hi - lo))), 4) + 0.0 END AS normalized_value,
