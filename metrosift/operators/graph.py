@@ -206,43 +206,121 @@ def endpoint_junctions(ends: DataFrame, tolerance: float, boundary: DataFrame |
     return off_border(found, boundary, border, "cluster") if boundary is not None else found
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, limit: int | float | None = None) -> DataFrame:
-    """(source, node, cost, previous): cheapest paths from many sources at once.
-
-    ``edges``: a, b, length > 0, used both ways. Each round relaxes only the nodes whose
-    cost just fell and keeps one minimum per (source, node); costs over ``limit`` are cut.
+def contract_chains(ways: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(contracted ways, chain nodes): runs of nodes with two neighbors become single ways.
+
+    ``ways``: a, b, length, each in both directions and once. ``keep``: nodes that stay,
+    besides those with other than two neighbors. Chain nodes: p, node, end, rest: coming
+    from neighbor p into the node, its chain ends at ``end`` after ``rest``. Rings without
+    a kept node are left out, as nothing leads into them. Every way into a chain node
+    points to the one way that goes on from there; pointers double, so a chain of n nodes
+    takes about log2 n rounds.
     """
-    ways = edges.select("a", "b", "length").unionByName(
-        edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length")
-    ).groupBy("a", "b").agg(F.min("length").alias("length"))
     ways = stage(ways, "ways")
+    neighbors = ways.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    inner = stage(neighbors.where("n = 2").select("node").join(
+        keep.select("node").distinct(), "node", "left_anti").withColumn("inner", F.lit(True)), "inner")
+    marked = stage(join_lookup(ways, inner.withColumnsRenamed({"node": "b", "inner": "to_inner"}), ["b"], "left"), "marked")
+    into = marked.where("to_inner").select(F.col("a").alias("p"), F.col("b").alias("node"))
+    onward = join_lookup(marked, inner.withColumnsRenamed({"node": "a", "inner": "from_inner"}), ["a"]).select(
+        F.col("a").alias("node"), F.col("b").alias("end"), F.col("length").alias("rest"), F.col("to_inner").isNull().alias("done"))
+    steps = into.join(onward, "node").where("end <> p").select("p", "node", F.col("node").alias("from"), "end", "rest", "done")
+    steps = stage(steps, "steps")
+    left = steps.where("not done").count()
+    # a chain has at most as many nodes as there are steps; what is open after so many doublings runs in a ring
+    for _ in range(max(left, 1).bit_length() + 1):
+        if not left:
+            break
+        further = steps.select(F.col("p").alias("from"), F.col("node").alias("end"), F.col("from").alias("_from"), F.col("end").alias("_end"),
+                               F.col("rest").alias("_rest"), F.col("done").alias("_done"))
+        moved = steps.where("not done").join(further, ["from", "end"]).select(
+            "p", "node", F.col("_from").alias("from"), F.col("_end").alias("end"), (F.col("rest") + F.col("_rest")).alias("rest"), F.col("_done").alias("done"))
+        steps = stage(steps.where("done").unionByName(moved), "steps")
+        left = steps.where("not done").count()
+    chains = steps.where("done").select("p", "node", "end", "rest")
+    outer = join_lookup(marked, inner.withColumnsRenamed({"node": "a", "inner": "_x"}), ["a"], "left_anti")
+    plain = outer.where("to_inner IS NULL").select("a", "b", "length")
+    through = outer.where("to_inner").join(chains.withColumnsRenamed({"p": "a", "node": "b"}), ["a", "b"]).where("end <> a").select(
+        "a", F.col("end").alias("b"), (F.col("length") + F.col("rest")).alias("length"))
+    return stage(plain.unionByName(through).groupBy("a", "b").agg(F.min("length").alias("length")), "contracted"), chains
+
+
+def _least_costs(ways: DataFrame, sources: DataFrame, limit: int | float | None) -> DataFrame:
+    """(source, node, cost): least costs over ``ways``, each round from the nodes whose cost just fell.
+
+    Only improvements are written. What a round finds is compared with the earlier
+    improvements of the same nodes; pieces are merged now and then.
+    """
     few_ways = ways.count() <= BROADCAST_ROWS
-    kind = dict(ways.dtypes)
-    reached = stage(sources.select(
-        F.col("source"), F.col("source").alias("node"), F.lit(0).cast(kind["length"]).alias("cost"),
-        F.lit(None).cast(kind["a"]).alias("previous"), F.lit(True).alias("fresh"),
-    ), "reached")
-    fresh = reached.count()
-    while True:
-        edge = reached.where("fresh").select("source", F.col("node").alias("a"), "cost")
+    zero = F.lit(0).cast(dict(ways.dtypes)["length"])
+    fresh = stage(sources.select("source", F.col("source").alias("node"), zero.alias("cost")).distinct(), "reached")
+    pieces, n = [fresh], fresh.count()
+
+    def known() -> DataFrame:
+        out = pieces[0]
+        for more in pieces[1:]:
+            out = out.unionByName(more)
+        return out
+
+    while n:
+        edge = fresh.select("source", F.col("node").alias("a"), "cost")
         if few_ways:
             step = edge.join(F.broadcast(ways), "a")
-        elif fresh <= BROADCAST_ROWS:
+        elif n <= BROADCAST_ROWS:
             step = ways.join(F.broadcast(edge), "a")
         else:
             step = salted_join(ways, edge, ["a"], F.col("b"))
-        new = step.select("source", F.col("b").alias("node"), (F.col("cost") + F.col("length")).alias("cost"),
-                          F.col("a").alias("previous"), F.lit(None).cast(kind["length"]).alias("old"))
+        found = step.select("source", F.col("b").alias("node"), (F.col("cost") + F.col("length")).alias("cost"))
         if limit is not None:
-            new = new.where(F.col("cost") <= limit)
-        old = reached.select("source", "node", "cost", "previous", F.col("cost").alias("old"))
-        merged = old.unionByName(new).groupBy("source", "node").agg(
-            F.min(F.struct("cost", "previous")).alias("m"), F.min("old").alias("old")
-        )
-        reached = stage(merged.select(
-            "source", "node", "m.cost", "m.previous",
-            (F.col("old").isNull() | (F.col("m.cost") < F.col("old"))).alias("fresh"),
-        ), "reached")
-        fresh = reached.where("fresh").count()
-        if not fresh:
-            return reached.drop("fresh")
+            found = found.where(F.col("cost") <= limit)
+        found = stage(found.groupBy("source", "node").agg(F.min("cost").alias("cost")), "found")
+        before = join_lookup(known(), found.select("source", "node"), ["source", "node"], "left_semi").groupBy("source", "node").agg(
+            F.min("cost").alias("before"))
+        fresh = stage(found.join(before, ["source", "node"], "left").where("before IS NULL OR cost < before").drop("before"), "reached")
+        n = fresh.count()
+        pieces.append(fresh)
+        if len(pieces) > 8:
+            pieces[:] = [stage(known().groupBy("source", "node").agg(F.min("cost").alias("cost")), "merged")]
+    return known().groupBy("source", "node").agg(F.min("cost").alias("cost"))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, limit: int | float | None = None) -> DataFrame:
+    """(source, node, cost, previous): cheapest paths from many sources at once.
+
+    ``edges``: a, b, length > 0, used both ways. Costs over ``limit`` are cut. Chains of
+    nodes with two neighbors are contracted first, so rounds follow junctions, not nodes;
+    a chain node's cost comes from the nearer way to its ends. ``previous`` is the neighbor the
+    path comes from, the lowest of equally good ones, and null at the source.
+    """
+    ways = edges.select("a", "b", "length").unionByName(
+        edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length")
+    ).where("a <> b").groupBy("a", "b").agg(F.min("length").alias("length"))
+    ways = stage(ways, "ways")
+    contracted, chains = contract_chains(ways, sources.select(F.col("source").alias("node")))
+    costs = stage(_least_costs(contracted, sources, limit), "costs")
+    inside = salted_join(chains.select(F.col("end").alias("at"), "node", "rest"), costs.withColumnRenamed("node", "at"), ["at"], F.col("node")).select(
+        "source", "node", (F.col("cost") + F.col("rest")).alias("cost"))
+    if limit is not None:
+        inside = inside.where(F.col("cost") <= limit)
+    costs = stage(costs.unionByName(inside.groupBy("source", "node").agg(F.min("cost").alias("cost"))), "costs")
+    step = salted_join(ways, costs.select("source", F.col("node").alias("a"), "cost"), ["a"], F.col("b"))
+    before = step.select("source", F.col("b").alias("node"), F.struct((F.col("cost") + F.col("length")).alias("cost"), F.col("a").alias("a")).alias("_m"))
+    before = before.groupBy("source", "node").agg(F.min("_m")["a"].alias("_a"))
+    at_source = F.col("node") == F.col("source")
+    return costs.join(before, ["source", "node"], "left").select("source", "node", "cost", F.when(~at_source, F.col("_a")).alias("previous"))
+
+
+def routes(paths: DataFrame) -> DataFrame:
+    """(source, node, route): all nodes from the source to the node, read back from ``previous``.
+
+    Every row knows a stretch of its route; stretches are joined to the one that ends where
+    they begin, so a route of n nodes takes about log2 n rounds.
+    """
+    ahead = stage(paths.select("source", "node", F.col("previous").alias("head"), F.array("node").alias("route")), "routes")
+    while not ahead.where("head IS NOT NULL").isEmpty():
+        known = ahead.select("source", F.col("node").alias("head"), F.col("head").alias("_head"), F.col("route").alias("_route"))
+        open_ = ahead.where("head IS NOT NULL")
+        joined = join_lookup(open_, known, ["source", "head"]).select(
+            "source", "node", F.col("_head").alias("head"), F.concat("_route", "route").alias("route"))
+        ahead = stage(ahead.where("head IS NULL").unionByName(joined), "routes")
+    return ahead.drop("head")

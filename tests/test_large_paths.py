@@ -1,5 +1,6 @@
 """The branches small inputs never take: hot keys, blocks, growing radii, crowded cells."""
 
+import heapq
 import math
 import random
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metrosift.operators import graph, joins, matching, spatial
+from metrosift.session import stage
 
 
 @pytest.fixture
@@ -228,6 +230,45 @@ def test_shortest_paths(spark, request, large):
             assert any({a, b} == {r["previous"], r["node"]} and cost[r["source"], r["previous"]] + w == r["cost"] for a, b, w in edges)
 
 
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_contracted_paths_and_their_routes(spark, kind):
+    """Long chains, rings hanging on one node and alone, dead ends, parallel and self-looping edges, a source within a chain."""
+    rng = random.Random(13)
+    w = (lambda: rng.randrange(1, 9)) if kind == "long" else (lambda: rng.randrange(1, 9) / 4)
+    edges = [(i, i + 1, w()) for i in range(0, 70)]  # one chain of 71 nodes
+    edges += [(20, 200, w()), *[(200 + i, 201 + i, w()) for i in range(25)], (225, 50, w())]  # a second way round
+    edges += [(50, 300, w()), *[(300 + i, 301 + i, w()) for i in range(9)], (309, 50, w())]  # a ring on one node
+    edges += [(400 + i, 400 + (i + 1) % 6, w()) for i in range(6)]  # a ring of its own
+    edges += [(10, 10, w()), (10, 11, w()), (10, 11, w()), (70, 500, w()), (70, 501, w()), (900, 901, w())]
+    sources = [0, 33, 210, 402, 900]
+    least = {}
+    for a, b, c in edges:
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                least[x, y] = min(c, least.get((x, y), math.inf))
+    cost = {}
+    for s in sources:
+        heap, done = [(0, s)], {}
+        while heap:
+            c, n = heapq.heappop(heap)
+            if n not in done:
+                done[n] = c
+                for (x, y), d in least.items():
+                    if x == n and y not in done:
+                        heapq.heappush(heap, (c + d, y))
+        cost.update({(s, n): c for n, c in done.items()})
+    table = spark.createDataFrame(edges, f"a long, b long, length {kind}")
+    asked = spark.createDataFrame([(s,) for s in sources], "source long")
+    found = stage(graph.shortest_paths(table, asked))
+    assert {(r["source"], r["node"]): r["cost"] for r in found.collect()} == pytest.approx(cost)
+    for r in found.join(graph.routes(found), ["source", "node"]).collect():
+        legs = [least[x, y] for x, y in zip(r["route"], r["route"][1:])]
+        assert r["route"][0] == r["source"] and r["route"][-1] == r["node"] and sum(legs) == pytest.approx(r["cost"])
+        assert r["previous"] == (r["route"][-2] if legs else None)
+    near = graph.shortest_paths(table, asked, 12)
+    assert {(r["source"], r["node"]) for r in near.collect()} == {k for k, c in cost.items() if c <= 12}
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_points_with_repeated_ids_keep_their_rows(spark, request, large):
     if large:
