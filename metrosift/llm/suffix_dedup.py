@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrosift.llm.common import mixed, range_bounds, range_of, runs, table
-from metrosift.llm.segments import _POWERS, _VALUES, utf8
+from metrosift.llm.segments import utf8
 
 LENGTH = 100
 GRAM = 32
@@ -37,6 +37,24 @@ CROWDED_IN_RANGE, CROWDED = 16, 4096
 #: Symbols of one transform.
 _TRANSFORM = 1 << 20
 _REPEATED, _MIXED, _CROWDED = 1, 2, 4
+#: Grams are hashed by a polynomial modulo 2**64; they are far shorter than what collides for every base.
+_BASE = 0x9E3779B97F4A7C15
+_VALUES = mixed(np.arange(1, 257, dtype=np.uint64), 11)
+
+
+class _Powers:
+    def __init__(self) -> None:
+        self.n = 0
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.n:
+            self.n = max(n, _PIECE)
+            self.pair = tuple(np.cumprod(np.append(np.ones(1, np.uint64), np.full(self.n, b, np.uint64)), dtype=np.uint64)
+                              for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return self.pair
+
+
+_POWERS = _Powers()
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -63,10 +81,10 @@ def _anchors(block, edges, base, length, gram, spread):
     n = len(block)
     if n < length:
         return []
-    up, down = _POWERS.upto(n + 1)[0]
+    up, down = _POWERS.upto(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_VALUES[0][block] * up[:n], out=sums[1:])
+        np.cumsum(_VALUES[block] * up[:n], out=sums[1:])
         grams = (sums[gram:] - sums[:-gram]) * down[:n - gram + 1]
         grams ^= grams >> np.uint64(29)
         grams *= np.uint64(0xBF58476D1CE4E5B9)
