@@ -26,72 +26,41 @@ class FeatureSpec:
     maximum: float | None = None
 
 
-# The two published registries. Both share these keys, labels, transforms
-# and domains; they differ in familiarity weights and units.
-_CLIMATE_AND_COMMUTE = [
-    ("annual_precipitation_mm", "Annual precipitation", "mm/year", "log1p", None),
-    ("annual_snowfall_mm", "Annual snowfall", "mm/year", "log1p", None),
-    ("hot_days_32c", "Days at or above 90°F", "days/year", "linear", 366.0),
-    ("mean_commute_minutes", "Mean commute", "minutes", "linear", None),
-]
-_ROADS = [
-    ("road_density_km_per_km2", "Road density", "km/km2", "log1p", None),
-    ("intersection_density_per_km2", "Intersection density", "intersections/km2", "log1p", None),
-    ("freeway_share", "Freeway share", "fraction", "linear", 1.0),
-    ("arterial_share", "Arterial share", "fraction", "linear", 1.0),
-    ("local_road_share", "Local road share", "fraction", "linear", 1.0),
-]
-_READINESS = [
-    ("public_dc_ports_per_100k", "Public DC charging", "log1p", 0.7, None),
-    ("population_share_in_counties_with_dc", "County charging coverage", "linear", 0.3, 1.0),
-]
-_OPPORTUNITY = [
-    ("population", "Resident population", "log1p", 0.3, None),
-    ("population_density_per_km2", "Population density", "log1p", 0.25, None),
-    ("zero_vehicle_household_share", "Zero-vehicle households", "linear", 0.3, 1.0),
-    ("transit_commute_share", "Transit commute share", "linear", 0.15, 1.0),
-]
-_UNITS_10 = {
-    "public_dc_ports_per_100k": "ports/100k residents",
-    "population_share_in_counties_with_dc": "fraction",
-    "population": "residents",
-    "population_density_per_km2": "residents/km²",
-    "zero_vehicle_household_share": "fraction",
-    "transit_commute_share": "fraction",
-}
-_UNITS_15 = {
-    "public_dc_ports_per_100k": "ports/100,000 persons",
-    "population_share_in_counties_with_dc": "fraction of CBSA population",
-    "population": "persons",
-    "population_density_per_km2": "persons/km2",
-    "zero_vehicle_household_share": "fraction of households",
-    "transit_commute_share": "fraction of workers 16+",
-}
-# Reported but never scored.
+# The two published registries, in their order; key, label, pillar, unit, transform, weight, maximum.
+TEN_FEATURES = (
+    FeatureSpec("annual_precipitation_mm", "Annual precipitation", "familiarity", "mm/year", "log1p", 0.2, None),
+    FeatureSpec("annual_snowfall_mm", "Annual snowfall", "familiarity", "mm/year", "log1p", 0.2, None),
+    FeatureSpec("hot_days_32c", "Days at or above 90°F", "familiarity", "days/year", "linear", 0.2, 366.0),
+    FeatureSpec("mean_commute_minutes", "Mean commute", "familiarity", "minutes", "linear", 0.4, None),
+    FeatureSpec("public_dc_ports_per_100k", "Public DC charging", "readiness", "ports/100k residents", "log1p", 0.7, None),
+    FeatureSpec("population_share_in_counties_with_dc", "County charging coverage", "readiness", "fraction", "linear", 0.3, 1.0),
+    FeatureSpec("population", "Resident population", "opportunity", "residents", "log1p", 0.3, None),
+    FeatureSpec("population_density_per_km2", "Population density", "opportunity", "residents/km²", "log1p", 0.25, None),
+    FeatureSpec("zero_vehicle_household_share", "Zero-vehicle households", "opportunity", "fraction", "linear", 0.3, 1.0),
+    FeatureSpec("transit_commute_share", "Transit commute share", "opportunity", "fraction", "linear", 0.15, 1.0),
+)
+FIFTEEN_FEATURES = (
+    FeatureSpec("annual_precipitation_mm", "Annual precipitation", "familiarity", "mm/year", "log1p", 0.1, None),
+    FeatureSpec("annual_snowfall_mm", "Annual snowfall", "familiarity", "mm/year", "log1p", 0.1, None),
+    FeatureSpec("hot_days_32c", "Days at or above 90°F", "familiarity", "days/year", "linear", 0.1, 366.0),
+    FeatureSpec("mean_commute_minutes", "Mean commute", "familiarity", "minutes", "linear", 0.2, None),
+    FeatureSpec("road_density_km_per_km2", "Road density", "familiarity", "km/km2", "log1p", 0.1, None),
+    FeatureSpec("intersection_density_per_km2", "Intersection density", "familiarity", "intersections/km2", "log1p", 0.1, None),
+    FeatureSpec("freeway_share", "Freeway share", "familiarity", "fraction", "linear", 0.1, 1.0),
+    FeatureSpec("arterial_share", "Arterial share", "familiarity", "fraction", "linear", 0.1, 1.0),
+    FeatureSpec("local_road_share", "Local road share", "familiarity", "fraction", "linear", 0.1, 1.0),
+    FeatureSpec("public_dc_ports_per_100k", "Public DC charging", "readiness", "ports/100,000 persons", "log1p", 0.7, None),
+    FeatureSpec("population_share_in_counties_with_dc", "County charging coverage", "readiness", "fraction of CBSA population", "linear", 0.3, 1.0),
+    FeatureSpec("population", "Resident population", "opportunity", "persons", "log1p", 0.3, None),
+    FeatureSpec("population_density_per_km2", "Population density", "opportunity", "persons/km2", "log1p", 0.25, None),
+    FeatureSpec("zero_vehicle_household_share", "Zero-vehicle households", "opportunity", "fraction of households", "linear", 0.3, 1.0),
+    FeatureSpec("transit_commute_share", "Transit commute share", "opportunity", "fraction of workers 16+", "linear", 0.15, 1.0),
+)
+# Reported but never scored, the default weights, and the shares that add up to one.
 UNSCORED_UNITS = {"average_aadt": "vehicles/day", "lane_miles_per_km2": "lane-miles/km2"}
 DEFAULT_WEIGHTS = {"familiarity": 0.4, "readiness": 0.2, "opportunity": 0.4}
 ROAD_SHARES = ("freeway_share", "arterial_share", "local_road_share")
 
-
-def _build(physical, commute_weight: float, other_weight: float, units) -> tuple[FeatureSpec, ...]:
-    specs = [
-        FeatureSpec(
-            key, label, "familiarity", unit, transform,
-            commute_weight if key == "mean_commute_minutes" else other_weight, maximum,
-        )
-        for key, label, unit, transform, maximum in physical
-    ]
-    for pillar, rows in (("readiness", _READINESS), ("opportunity", _OPPORTUNITY)):
-        specs += [
-            FeatureSpec(key, label, pillar, units[key], transform, weight, maximum)
-            for key, label, transform, weight, maximum in rows
-        ]
-    return tuple(specs)
-
-
-TEN_FEATURES = _build(_CLIMATE_AND_COMMUTE, 0.4, 0.2, _UNITS_10)
-FIFTEEN_FEATURES = _build(_CLIMATE_AND_COMMUTE + _ROADS, 0.2, 0.1, _UNITS_15)
-
 TRANSFORMS: dict[str, Callable[[Column], Column]] = {
     "linear": lambda value: value,
     "log1p": lambda value: F.log1p(value),

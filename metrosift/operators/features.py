@@ -99,7 +99,7 @@ def bounds_of(bounds: DataFrame, specs: Sequence[FeatureSpec]) -> dict[str, tupl
     if len(rows) != len(specs) or found.keys() != {s.key for s in specs}:
         raise CheckFailed("Registry and bounds must match")
     if any(lo > hi for lo, hi in found.values()):
-        raise CheckFailed("Invalid normalization bounds")
+        raise CheckFailed("A lower bound is above its upper bound")
     return found
 
 

@@ -207,7 +207,7 @@ def publish(df: DataFrame, path: str) -> str:
         if "PATH_ALREADY_EXISTS" not in str(error):
             raise
         if digest_of(spark.read.parquet(path)) != mine:
-            raise CheckFailed(f"Refusing to overwrite immutable release: {path}") from None
+            raise CheckFailed(f"A release is already stored at {path} and stays as it is") from None
     return mine
 
 
@@ -216,8 +216,8 @@ def publication_gate(parent: DataFrame, recorded_digest: str, ranked: DataFrame,
     """A correction may go out only from the audited parent, with its recorded ranking,
     and with every source hash known."""
     if digest_of(parent) != recorded_digest:
-        raise CheckFailed("Parent release does not match its recorded source audit")
+        raise CheckFailed("The audit was made for another parent release")
     if digest_of(ranked) != recorded_ranking:
-        raise CheckFailed("Parent ranking does not match its recorded source audit")
+        raise CheckFailed("The audit was made for another ranking of the parent")
     unknown = sources.select("raw_sha256").join(known_hashes.select("raw_sha256"), "raw_sha256", "left_anti")
-    require_none(unknown, "Release provenance does not resolve to recorded source hashes")
+    require_none(unknown, "Source hashes without a recorded file")

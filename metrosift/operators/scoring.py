@@ -52,7 +52,7 @@ def select_references(references: DataFrame, request: RankingRequest) -> DataFra
     ids = list(request.reference_ids)
     chosen = enabled.where(F.col("id").isin(ids))
     if not ids or len(set(ids)) != len(ids) or chosen.count() != len(ids):
-        raise CheckFailed("Select nonempty, unique, enabled reference IDs")
+        raise CheckFailed("The chosen references must exist, be enabled and be named once each")
     return chosen
 
 
@@ -170,7 +170,7 @@ def _reference_rows(chosen: DataFrame, wide: DataFrame, specs) -> tuple[DataFram
         else [r["reference_id"] for r in kept.where(~fx.is_complete(specs)).limit(5).collect()]
     )
     if not head:
-        raise CheckFailed("Select nonempty, unique, enabled reference IDs")
+        raise CheckFailed("The chosen references must exist, be enabled and be named once each")
     if incomplete:
         raise CheckFailed(f"Incomplete reference: {incomplete[:5]}")
     return kept, few

@@ -38,12 +38,12 @@ def _estimates(spark, folder):
         F.col("public_dc_ports_per_100k").alias("ports_per_100k"), F.col("population_share_in_counties_with_dc").alias("population_share_with_ports"))
 
 
-def _features(spark, folder):
+def _features(spark, folder, roads=None):
     e = _estimates(spark, folder)
     charging = e.select("metro", "ports_per_100k", "population_share_with_ports")
     climate = e.select("metro", *markets.CLIMATE_KEYS)
     base = e.drop("ports_per_100k", "population_share_with_ports", *markets.CLIMATE_KEYS)
-    return markets.market_features(base, charging, None, climate, {"acs": "a", "charging": "c", "roads": "r", "climate": "n"})
+    return markets.market_features(base, charging, roads, climate, {"acs": "a", "charging": "c", "roads": "r", "climate": "n"})
 
 
 
@@ -53,17 +53,18 @@ def _rows(features):
 
 
 def market_features(spark, folder):
-    """17 measurements per nation; the road source was not retrieved, so it is missing."""
-    return _rows(_features(spark, folder))
+    """17 measurements per nation from all four sources; two that no source reports are missing."""
+    return _rows(_features(spark, folder, _roads(spark, folder)))
 
 
 def refresh_features(spark, folder):
     """Charging rewritten with doubled rates, and no value where the nation number is even."""
+    features = _features(spark, folder, _roads(spark, folder))
     new = _estimates(spark, folder).select(
         F.col("metro").alias("entity_id"), (F.col("ports_per_100k") * 2).alias("ports_per_100k"),
         F.when(F.col("metro") % 2 == 1, F.col("population_share_with_ports")).alias("population_share_with_ports"))
     commute = new.select("entity_id", F.lit(30.0).alias("value"))
-    return _rows(markets.refresh(_features(spark, folder), commute, new))
+    return _rows(markets.refresh(features, commute, new))
 
 
 def ratio_verification(spark, folder):
@@ -97,8 +98,8 @@ def network_intersections(spark, folder):
     return out.select("node", big("degree").alias("degree"), r4("x").alias("x"), r4("y").alias("y"))
 
 
-def road_features(spark, folder):
-    """Line items as roads of the supplier's nation, with intersection density."""
+def _roads(spark, folder):
+    """Line items as roads of the supplier's nation."""
     p, q = F.col("l_partkey") + 1, F.col("l_suppkey") + SUPPLIER_BASE
     kind = F.element_at(F.array(*[F.lit(x) for x in ("freeway", "arterial", "local")]), (F.col("l_linenumber") % 3 + 1).cast("int"))
     home = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
@@ -106,9 +107,13 @@ def road_features(spark, folder):
         F.col("s_nationkey").alias("metro"), F.col("l_linenumber").alias("county"), kind.alias("road_class"), F.col("l_quantity").alias("length_km"),
         p.alias("from_node"), q.alias("to_node"), point_x(p).alias("from_x"), point_y(p).alias("from_y"), point_x(q).alias("to_x"), point_y(q).alias("to_y"))
     areas = table(spark, folder, "nation").select(F.col("n_nationkey").alias("metro"), F.lit(100.0).alias("land_area_km2"))
-    out = markets.road_features(edges, areas, 0.3)
-    return out.select("metro", big("intersections").alias("intersections"), r4("total_km").alias("total_km"), r4("freeway_share").alias("freeway_share"),
-                      r4("intersection_density_per_km2").alias("intersection_density_per_km2"))
+    return markets.road_features(edges, areas, 0.3)
+
+
+def road_features(spark, folder):
+    """Lengths, class shares, road and intersection density per nation."""
+    return _roads(spark, folder).select("metro", big("intersections").alias("intersections"), r4("total_km").alias("total_km"), *[
+        r4(c).alias(c) for c in markets.ROAD_KEYS])
 
 
 def reference_status(spark, folder):
@@ -125,11 +130,21 @@ QUERIES = {f.__name__: f for f in (
 
 _M = sc._MARKETS
 _KEYS = "', '".join(k for k in ("population", "population_density_per_km2", "mean_commute_minutes", "zero_vehicle_household_share", "transit_commute_share"))
-_MISSING_ROADS = "', '".join([*markets.ROAD_KEYS, "average_aadt", "lane_miles_per_km2"])
-_ALL = f"""{_M}, a AS (SELECT CAST(substring(entity_id, 6, 5) AS INT) entity_id, key, value FROM feat
-    UNION ALL SELECT n_nationkey, unnest(['{_MISSING_ROADS}']), NULL FROM nation),
+_ROADS = f"""e AS (SELECT s_nationkey m, l_partkey + 1 a, l_suppkey + {SUPPLIER_BASE} b, l_quantity q, l_linenumber % 3 c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    ends AS (SELECT m, node, CAST({sql_x('node')} AS DOUBLE) x, CAST({sql_y('node')} AS DOUBLE) y FROM (SELECT m, a node FROM e UNION ALL SELECT m, b FROM e) GROUP BY 1, 2 HAVING count(*) >= 3),
+    links AS (SELECT p.m, p.node a, q.node b FROM ends p JOIN ends q ON p.m = q.m AND abs(p.x - q.x) <= 0.3 AND abs(p.y - q.y) <= 0.3 AND pow(p.x - q.x, 2) + pow(p.y - q.y, 2) <= 0.09),
+    reach AS (SELECT m, a node, b FROM links UNION SELECT reach.m, reach.node, links.b FROM reach JOIN links ON links.a = reach.b AND links.m = reach.m),
+    i AS (SELECT m, count(DISTINCT c) k FROM (SELECT m, node, min(b) c FROM reach GROUP BY 1, 2) GROUP BY 1),
+    t AS (SELECT m, sum(q) q, sum(q) FILTER (c = 0) f, sum(q) FILTER (c = 1) ar, sum(q) FILTER (c = 2) lo FROM e GROUP BY 1),
+    roads AS MATERIALIZED (SELECT n_nationkey metro, coalesce(k, 0) intersections, coalesce(q, 0) total_km, CASE WHEN q > 0 THEN q / 100.0::DOUBLE END road_density_km_per_km2,
+        CASE WHEN q > 0 THEN coalesce(k, 0) / 100.0::DOUBLE END intersection_density_per_km2, coalesce(f, 0) / q freeway_share, coalesce(ar, 0) / q arterial_share, coalesce(lo, 0) / q local_road_share
+        FROM nation LEFT JOIN t ON t.m = n_nationkey LEFT JOIN i ON i.m = n_nationkey)"""
+_ROAD_KEYS = ", ".join(markets.ROAD_KEYS)
+_ALL = f"""{_M.replace("WITH ", "WITH RECURSIVE ", 1)}, {_ROADS}, a AS (SELECT CAST(substring(entity_id, 6, 5) AS INT) entity_id, key, value FROM feat
+    UNION ALL SELECT metro, key, value FROM (SELECT metro, {_ROAD_KEYS} FROM roads) UNPIVOT INCLUDE NULLS (value FOR key IN ({_ROAD_KEYS}))
+    UNION ALL SELECT n_nationkey, unnest(['average_aadt', 'lane_miles_per_km2']), NULL FROM nation),
     b AS (SELECT *, CASE WHEN value IS NULL THEN 'missing' WHEN key = 'population' THEN 'observed' WHEN key IN ('annual_precipitation_mm', 'annual_snowfall_mm', 'hot_days_32c') THEN 'proxy' ELSE 'derived' END quality,
-    CASE WHEN value IS NULL THEN '' WHEN key IN ('{_KEYS}') THEN 'a' WHEN key LIKE '%_dc%' THEN 'c' ELSE 'n' END cited FROM a)"""
+    CASE WHEN value IS NULL THEN '' WHEN key IN ('{_KEYS}') THEN 'a' WHEN key LIKE '%_dc%' THEN 'c' WHEN key IN ('{"', '".join(markets.ROAD_KEYS)}') THEN 'r' ELSE 'n' END cited FROM a)"""
 
 ORACLES = {
     "area_catalog": f"""WITH {_SHAPES}, points AS (SELECT c_custkey k, CAST({sql_x('c_custkey')} AS DOUBLE) x, CAST({sql_y('c_custkey')} AS DOUBLE) y, substring(c_mktsegment, 1, 2) st FROM customer),
@@ -148,13 +163,8 @@ ORACLES = {
         FROM r FULL JOIN t USING (k) WHERE polygon_id IS NULL OR metro IS NULL OR metro <> polygon_id OR k % 5 = 0""",
     "network_intersections": f"""WITH e AS (SELECT l_orderkey o, l_partkey + 1 node FROM lineitem UNION ALL SELECT l_orderkey, l_suppkey + {SUPPLIER_BASE} FROM lineitem)
         SELECT CAST(node AS VARCHAR) AS node, count(DISTINCT o) AS degree, round(CAST({sql_x('node')} AS DOUBLE), 4) + 0.0 AS x, round(CAST({sql_y('node')} AS DOUBLE), 4) + 0.0 AS y FROM e GROUP BY node HAVING count(DISTINCT o) >= 3""",
-    "road_features": f"""WITH RECURSIVE e AS (SELECT s_nationkey m, l_partkey + 1 a, l_suppkey + {SUPPLIER_BASE} b, l_quantity q, l_linenumber % 3 c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
-        n AS (SELECT m, node, CAST({sql_x('node')} AS DOUBLE) x, CAST({sql_y('node')} AS DOUBLE) y FROM (SELECT m, a node FROM e UNION ALL SELECT m, b FROM e) GROUP BY 1, 2 HAVING count(*) >= 3),
-        links AS (SELECT p.m, p.node a, q.node b FROM n p JOIN n q ON p.m = q.m AND abs(p.x - q.x) <= 0.3 AND abs(p.y - q.y) <= 0.3 AND pow(p.x - q.x, 2) + pow(p.y - q.y, 2) <= 0.09),
-        reach AS (SELECT m, a node, b FROM links UNION SELECT reach.m, reach.node, links.b FROM reach JOIN links ON links.a = reach.b AND links.m = reach.m),
-        i AS (SELECT m, count(DISTINCT c) k FROM (SELECT m, node, min(b) c FROM reach GROUP BY 1, 2) GROUP BY 1), t AS (SELECT m, sum(q) q, sum(q) FILTER (c = 0) f FROM e GROUP BY 1)
-        SELECT n_nationkey AS metro, coalesce(k, 0) AS intersections, round(coalesce(q, 0), 4) + 0.0 AS total_km, round(f / q, 4) + 0.0 AS freeway_share,
-        CASE WHEN q > 0 THEN round(coalesce(k, 0) / 100.0::DOUBLE, 4) + 0.0 END AS intersection_density_per_km2 FROM nation LEFT JOIN t ON t.m = n_nationkey LEFT JOIN i ON i.m = n_nationkey""",
+    "road_features": f"""WITH RECURSIVE {_ROADS} SELECT metro, intersections, round(total_km, 4) + 0.0 AS total_km,
+        {", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in markets.ROAD_KEYS)} FROM roads""",
     "reference_status": f"""{_M}, r AS (SELECT {sc._REF_COLUMNS}, 'commercial' category FROM wide WHERE n_nationkey = 10)
         SELECT reference_id AS id, entity_id, 'announced' AS category, true AS enabled, 'first' AS side FROM r UNION ALL SELECT reference_id, entity_id, 'commercial', true, 'second' FROM r""",
 }

@@ -108,7 +108,7 @@ def snap_to_edge(spark, folder):
     merged = segments.groupBy("ax", "ay", "bx", "by").agg(F.min(F.struct("edge_id", "seg", "start")).alias("m")).select(
         "ax", "ay", "bx", "by", "m.*")
     out = spatial.snap_to_segments(_customer_points(spark, folder), merged, 0.5)
-    return out.select("point_id", r4("distance").alias("distance"))
+    return out.select("point_id", "edge_id", "seg", *[r4(c).alias(c) for c in ("distance", "along", "snap_x", "snap_y")])
 
 
 def in_polygon_sample(spark, folder):
@@ -200,11 +200,14 @@ ORACLES = {
     "nearest_beyond": f"""WITH {_DEPOTS}, {_POINTS}, pairs AS (SELECT *, sqrt(pow(x - px, 2) + pow(y - py, 2)) d FROM depots CROSS JOIN points),
         best AS (SELECT * FROM pairs WHERE d >= 0.5 QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY d, point_id) = 1)
         SELECT place_id, point_id, round(d, 4) + 0.0 AS distance, round(px + (x - px) * least(1, 0.75 / d), 4) + 0.0 AS end_x, round(py + (y - py) * least(1, 0.75 / d), 4) + 0.0 AS end_y FROM best""",
-    "snap_to_edge": f"""WITH {_POINTS}, seg AS (SELECT DISTINCT CAST({sql_x('l_partkey')} AS DOUBLE) ax, CAST({sql_y('l_partkey')} AS DOUBLE) ay,
-        CAST(((l_suppkey * 31) % 201 - 100) / 100.0 AS DOUBLE) dx, CAST(((l_suppkey * 17) % 201 - 100) / 100.0 AS DOUBLE) dy FROM lineitem),
-        near AS (SELECT point_id, x, y, ax, ay, dx, dy, CASE WHEN dx * dx + dy * dy > 0 THEN least(1, greatest(0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) ELSE 0 END f
-        FROM points JOIN seg ON x BETWEEN ax - 1.5 AND ax + 1.5 AND y BETWEEN ay - 1.5 AND ay + 1.5)
-        SELECT point_id, round(min(sqrt(pow(x - ax - f * dx, 2) + pow(y - ay - f * dy, 2))), 4) + 0.0 AS distance FROM near GROUP BY 1 HAVING min(sqrt(pow(x - ax - f * dx, 2) + pow(y - ay - f * dy, 2))) <= 0.5""",
+    "snap_to_edge": f"""WITH {_POINTS}, line AS (SELECT l_orderkey e, l_linenumber s, CAST(l_quantity AS DOUBLE) q, CAST({sql_x('l_partkey')} AS DOUBLE) ax, CAST({sql_y('l_partkey')} AS DOUBLE) ay,
+        CAST(((l_suppkey * 31) % 201 - 100) / 100.0 AS DOUBLE) ox, CAST(((l_suppkey * 17) % 201 - 100) / 100.0 AS DOUBLE) oy FROM lineitem),
+        seg AS (SELECT ax, ay, ax + ox bx, ay + oy AS "by", min({{'e': e, 's': s, 'q': q}}) m FROM line GROUP BY ALL),
+        near AS (SELECT point_id, x, y, ax, ay, bx - ax dx, "by" - ay dy, m FROM points JOIN seg ON x BETWEEN ax - 1.5 AND ax + 1.5 AND y BETWEEN ay - 1.5 AND ay + 1.5),
+        part AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(1, greatest(0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) ELSE 0 END f FROM near),
+        far AS (SELECT *, sqrt(pow(x - (ax + dx * f), 2) + pow(y - (ay + dy * f), 2)) d FROM part)
+        SELECT point_id, m.e AS edge_id, m.s AS seg, round(d, 4) + 0.0 AS distance, round(m.q + f * sqrt(dx * dx + dy * dy), 4) + 0.0 AS along, round(ax + f * dx, 4) + 0.0 AS snap_x, round(ay + f * dy, 4) + 0.0 AS snap_y
+        FROM far WHERE d <= 0.5 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY round(d, 9), m.e, m.s) = 1""",
     "in_polygon_sample": f"""WITH u AS (SELECT s_suppkey k, i, CAST(('0x' || substring(md5('seed:' || s_suppkey || ':' || i || ':x'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE ux,
         CAST(('0x' || substring(md5('seed:' || s_suppkey || ':' || i || ':y'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE uy FROM supplier CROSS JOIN range(256) r(i)),
         kept AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) - 1 n FROM u WHERE NOT (ux >= 0.5 AND uy >= 0.5))

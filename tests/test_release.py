@@ -90,7 +90,7 @@ def test_publish_once(spark, tmp_path):
     path = str(tmp_path / "release")
     first = release.publish(df, path)
     assert release.publish(df.orderBy(F.desc("id")).repartition(3), path) == first
-    with pytest.raises(CheckFailed, match="immutable"):
+    with pytest.raises(CheckFailed, match="already stored"):
         release.publish(df.withColumn("id", F.col("id") + 1), path)
     assert release.digest_of(df) != release.digest_of(df.union(df.limit(1)))
 
@@ -100,11 +100,11 @@ def test_publication_gate(spark):
     hashes = spark.createDataFrame([("h1",), ("h2",)], "raw_sha256 string")
     ok = (df, release.digest_of(df), ranked, release.digest_of(ranked))
     release.publication_gate(*ok, hashes.limit(1), hashes)
-    with pytest.raises(CheckFailed, match="Parent release"):
+    with pytest.raises(CheckFailed, match="another parent"):
         release.publication_gate(df, "x", *ok[2:], hashes, hashes)
-    with pytest.raises(CheckFailed, match="Parent ranking"):
+    with pytest.raises(CheckFailed, match="another ranking"):
         release.publication_gate(*ok[:3], "x", hashes, hashes)
-    with pytest.raises(CheckFailed, match="source hashes"):
+    with pytest.raises(CheckFailed, match="Source hashes"):
         release.publication_gate(*ok, hashes.withColumn("raw_sha256", F.lit("h3")), hashes)
 
 

@@ -125,7 +125,7 @@ def test_reference_rules(spark):
     wide = small_market(spark, change=[(2, "population", None)])
     with pytest.raises(CheckFailed, match="Incomplete reference"):
         ranked_rows(spark, wide, references(spark, 2))
-    with pytest.raises(CheckFailed, match="enabled reference"):
+    with pytest.raises(CheckFailed, match="must exist"):
         ranked_rows(spark, wide, references(spark, 0).withColumn("enabled", F.lit(False)))
     with pytest.raises(CheckFailed, match="not both"):
         sc.RankingRequest(reference_ids=("a",), reference_categories=("commercial",))
