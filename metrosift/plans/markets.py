@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from metrosift.operators import audit, markets
 from metrosift.operators.joins import join_lookup
+from metrosift.operators.spatial import off_border
 from metrosift.plans import scoring as sc
-from metrosift.plans.common import big, point_x, point_y, r4, sql_x, sql_y, table
+from metrosift.plans.common import SQL_OFF_BORDER, big, board, point_x, point_y, r4, sql_x, sql_y, table
 from metrosift.plans.graph import SUPPLIER_BASE
 from metrosift.plans.spatial import _INSIDE, _SHAPES, _nation_shapes
 
@@ -89,12 +90,12 @@ def charging_verification(spark, folder):
 
 
 def network_intersections(spark, folder):
-    """Nodes by distinct incident orders: parts and suppliers as nodes of order edges."""
+    """Nodes off the border by distinct incident orders: parts and suppliers as nodes of order edges."""
     p, q = F.col("l_partkey") + 1, F.col("l_suppkey") + SUPPLIER_BASE
     edges = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("edge_id"), p.alias("from_node"), q.alias("to_node"), point_x(p).alias("from_x"), point_y(p).alias("from_y"),
         point_x(q).alias("to_x"), point_y(q).alias("to_y"))
-    out = markets.edge_nodes(edges).where("degree >= 3")
+    out = off_border(markets.edge_nodes(edges).where("degree >= 3"), board(spark), 2.0, "node")
     return out.select("node", big("degree").alias("degree"), r4("x").alias("x"), r4("y").alias("y"))
 
 
@@ -162,7 +163,8 @@ ORACLES = {
         SELECT k AS id, CASE WHEN polygon_id IS NULL THEN 'not qualifying' WHEN metro IS NULL THEN 'omitted' WHEN metro <> polygon_id THEN 'area' ELSE 'ports' END AS problem
         FROM r FULL JOIN t USING (k) WHERE polygon_id IS NULL OR metro IS NULL OR metro <> polygon_id OR k % 5 = 0""",
     "network_intersections": f"""WITH e AS (SELECT l_orderkey o, l_partkey + 1 node FROM lineitem UNION ALL SELECT l_orderkey, l_suppkey + {SUPPLIER_BASE} FROM lineitem)
-        SELECT CAST(node AS VARCHAR) AS node, count(DISTINCT o) AS degree, round(CAST({sql_x('node')} AS DOUBLE), 4) + 0.0 AS x, round(CAST({sql_y('node')} AS DOUBLE), 4) + 0.0 AS y FROM e GROUP BY node HAVING count(DISTINCT o) >= 3""",
+        SELECT CAST(node AS VARCHAR) AS node, degree, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM (SELECT node, count(DISTINCT o) degree, CAST({sql_x('node')} AS DOUBLE) x, CAST({sql_y('node')} AS DOUBLE) y
+        FROM e GROUP BY node) WHERE degree >= 3 AND {SQL_OFF_BORDER}""",
     "road_features": f"""WITH RECURSIVE {_ROADS} SELECT metro, intersections, round(total_km, 4) + 0.0 AS total_km,
         {", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in markets.ROAD_KEYS)} FROM roads""",
     "reference_status": f"""{_M}, r AS (SELECT {sc._REF_COLUMNS}, 'commercial' category FROM wide WHERE n_nationkey = 10)
