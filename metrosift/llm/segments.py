@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from metrosift.llm.common import mixed
 
 #: Bytes hashed at a time; a longer segment is taken whole.
-_CHUNK = 1 << 19
+_CHUNK = 1 << 16
 _FIELD = (1 << 31) - 1
 #: Two polynomials a hash: their bases and what each byte counts.
 _BASES = [int(b) % (_FIELD - 2) + 2 for b in mixed(np.arange(4), 10)]
