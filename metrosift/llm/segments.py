@@ -173,10 +173,14 @@ class KeyTable:
             numbers, at = numbers[left], (at[left] + 1) & (len(self.slots) - 1)
 
 
-def first_of_each(a: np.ndarray) -> np.ndarray:
-    """Places of the first row of each distinct value, in order of place."""
-    order = np.argsort(a, kind="stable")
-    new = np.concatenate(([True], a[order][1:] != a[order][:-1])) if len(a) else np.zeros(0, bool)
+def first_of_each(a: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Places of the first row of each distinct value (or of all the columns' values together), in order of place."""
+    keys = (*more, a)
+    order = np.lexsort(keys)
+    new = np.zeros(len(a), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
     return np.sort(order[new])
 
 

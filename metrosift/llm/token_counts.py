@@ -207,7 +207,7 @@ class Encoder:
         at = self.known.find(a, b)
         new = np.flatnonzero(at < 0)
         if len(new):
-            fresh = new[first_of_each(a[new])]
+            fresh = new[first_of_each(a[new], b[new])]  # one word alone names the first eight bytes only
             self.known.add(a[fresh], b[fresh])
             at[new] = self.known.find(a[new], b[new])
             raw = data.tobytes()
