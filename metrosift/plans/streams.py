@@ -18,19 +18,19 @@ def _source(spark, folder):
     return stream.read_events(spark, folder, schema, "events.parquet")
 
 
-def _hours(agg, label):
-    out = stream.drain(agg, label)
+def _hours(out):
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour_start"), "event_type", big("events").alias("events"), r4("value", 2).alias("value"))
 
 
 def stream_hourly(spark, folder):
-    """Hourly sums per event type, each once the watermark has closed its hour; state holds open hours only."""
-    return _hours(stream.hourly(_source(spark, folder), "ts", ["event_type"], "10 minutes"), "stream-hourly")
+    """Hourly sums per event type, the last open hours too, as they stand at the end; state holds open hours only."""
+    agg = stream.hourly(_source(spark, folder), "ts", ["event_type"], "10 minutes")
+    return _hours(stream.newest(agg, "stream-hourly", ["hour", "event_type"]))
 
 
 def stream_cutoff(spark, folder):
     """The same in append mode with a cut-off: only hours the watermark has closed."""
-    return _hours(stream.hourly(_source(spark, folder), "ts", ["event_type"], "10 minutes", CUTOFF), "stream-cutoff")
+    return _hours(stream.drain(stream.hourly(_source(spark, folder), "ts", ["event_type"], "10 minutes", CUTOFF), "stream-cutoff"))
 
 
 def stream_outcomes(spark, folder):
@@ -46,7 +46,8 @@ def stream_outcomes(spark, folder):
 
 
 def stream_segments(spark, folder):
-    out = stream.drain(keyed.closed_segments(_source(spark, folder)), "stream-segments")
+    """Every event that another of its user follows, however late, with the time between."""
+    out = stream.newest(keyed.segments_so_far(_source(spark, folder)), "stream-segments", ["user_id", "event_id", "start"])
     return out.select("user_id", "event_id", F.col("event_type").alias("state"), F.col("start").cast("timestamp_ntz").alias("start_ts"),
                       F.col("end").cast("timestamp_ntz").alias("end_ts"))
 
@@ -72,15 +73,15 @@ _HOURLY = "SELECT date_trunc('hour', ts) AS hour_start, event_type, count(*) AS
 _WATERMARK = "SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events"
 _CLOSED = f"time_bucket(INTERVAL 10 MINUTE, {{}}) + INTERVAL 10 MINUTE <= ({_WATERMARK})"
 ORACLES = {
-    "stream_hourly": f"{_HOURLY} GROUP BY 1, 2 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= ({_WATERMARK})",
+    "stream_hourly": f"{_HOURLY} GROUP BY 1, 2",
     "stream_cutoff": f"""{_HOURLY} WHERE ts < TIMESTAMP '{CUTOFF}' GROUP BY 1, 2 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR
         <= ({_WATERMARK} WHERE ts < TIMESTAMP '{CUTOFF}')""",
     "stream_outcomes": f"""WITH r AS (SELECT ts, event_type, ts + INTERVAL 10 MINUTE * CAST(floor(value) AS INTEGER) AS d FROM events WHERE ts < TIMESTAMP '{CUTOFF}'),
         o AS (SELECT *, event_type NOT IN ('error', 'view') AND d < TIMESTAMP '{CUTOFF}' AND d <= ts + INTERVAL 1 DAY AS done FROM r)
         SELECT date_trunc('hour', ts) AS hour_start, count(*) AS requests, count(*) FILTER (done) AS completed, count(*) FILTER (event_type = 'error') AS rejected,
         count(*) FILTER (event_type <> 'error' AND NOT done) AS unfinished, max(d) FILTER (done) AS last_dropoff FROM o GROUP BY 1""",
-    "stream_segments": f"""SELECT user_id, event_id, event_type AS state, ts AS start_ts, nxt AS end_ts FROM
-        (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) nxt FROM events) WHERE nxt <= ts + INTERVAL 30 DAY AND {_CLOSED.format("nxt")}""",
+    "stream_segments": """SELECT user_id, event_id, event_type AS state, ts AS start_ts, nxt AS end_ts FROM
+        (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) nxt FROM events) WHERE nxt IS NOT NULL""",
     "stream_attempts": f"SELECT user_id, event_id, accepted FROM ({CAPPED}) WHERE {_CLOSED.format('ts')}",
     "stream_conserved": """SELECT CASE event_type WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'unfinished' ELSE 'completed' END AS outcome, count(*) AS rides FROM events GROUP BY 1""",
 }

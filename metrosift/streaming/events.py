@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metrosift.operators.checks import CheckFailed
@@ -27,6 +27,26 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def newest(updates: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Run a stream of updates over everything available and give each key's rows of the last batch that has it.
+
+    So keys the watermark has not closed are there too, as they stand, and state need not
+    hold closed ones. A batch is a partition that is overwritten on a retry.
+    """
+    spark = updates.sparkSession
+    path = scratch_path(spark, label)
+    spark.createDataFrame([], updates.schema).write.parquet(f"{path}/_n=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_n={number}")
+
+    updates.writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True).option(
+        "checkpointLocation", f"{path}-checkpoint").start().awaitTermination()
+    told = spark.read.schema(updates.schema.add("_n", "long")).parquet(path)
+    last = told.withColumn("_last", F.max("_n").over(Window.partitionBy(*keys)))
+    return last.where("_n = _last").drop("_n", "_last")
+
+
 def hourly(events: DataFrame, time: str, by: list[str], delay: str, cutoff: str | None = None) -> DataFrame:
     """Hourly counts and value sums on event time, rows at or after the cut-off dropped.
 
