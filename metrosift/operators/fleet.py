@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrosift.operators.checks import require_none
 from metrosift.operators.ordered import add_neighbor, add_running_total, carry_last, exact_percentiles
-from metrosift.operators.spatial import box_join
+from metrosift.operators.spatial import box_join, in_cells, is_large, least_in_cells
 
 # The default operating assumptions.
 AVERAGE_SPEED_MPH = 20.0
@@ -230,6 +231,17 @@ def as_of(lookups: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _feasible(reach: float):
+    def measure(request, vehicle):
+        d = np.hypot(vehicle["x"] - request["ox"], vehicle["y"] - request["oy"])
+        trip = np.hypot(request["ox"] - request["dx"], request["oy"] - request["dy"]) + np.hypot(request["dx"], request["dy"])
+        spare = vehicle["range_miles"] - ROAD_DISTANCE_MULTIPLIER * (d + trip) - RESERVE_FRACTION * BATTERY_RANGE_MILES
+        slack = 1e-8 * (1 + np.abs(vehicle["range_miles"]) + d + trip)
+        return d, (d <= reach - slack) & (spare >= slack), (d <= reach + slack) & (spare >= -slack)
+
+    return measure
+
+
 def nearest_feasible(
     requests: DataFrame, vehicles: DataFrame, max_wait: float = MAX_PICKUP_WAIT_MINUTES
 ) -> DataFrame:
@@ -244,10 +256,17 @@ def nearest_feasible(
         "*", *[F.expr(f"o{a} {s} {reach!r}D").alias(f"{a}{i}") for a in ("x", "y") for i, s in ((0, "-"), (1, "+"))],
     )
     idle = vehicles.where("state = 'IDLE'")
-    pairs = box_join(idle, boxes, "vehicle_id")
     pickup = network_miles(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"))
     trip = network_miles(F.col("ox"), F.col("oy"), F.col("dx"), F.col("dy"))
     back = network_miles(F.col("dx"), F.col("dy"), F.lit(0.0), F.lit(0.0))
+    if is_large(requests):
+        # of vehicles alike at one spot only the lowest id can be chosen
+        spots = idle.where("x IS NOT NULL AND y IS NOT NULL AND range_miles IS NOT NULL").groupBy("x", "y", "range_miles").agg(
+            F.min_by("vehicle_id", F.struct("vehicle_id")).alias("vehicle_id"))
+        asked = requests.select("request_id", "ox", "oy", "dx", "dy").where("ox IS NOT NULL AND oy IS NOT NULL AND dx IS NOT NULL AND dy IS NOT NULL")
+        pairs = least_in_cells(in_cells(asked, "ox", "oy", reach * 1.001), in_cells(spots, "x", "y", reach * 1.001, around=True), _feasible(reach))
+    else:
+        pairs = box_join(idle, boxes, "vehicle_id")
     pairs = pairs.withColumn("pickup_miles", pickup).where(
         (travel_minutes(F.col("pickup_miles")) <= max_wait)
         & (F.col("range_miles") + 1e-9

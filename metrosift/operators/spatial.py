@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,12 @@ from metrosift.session import stage
 CELL = ["_level", "_cx", "_cy"]
 # A nearest search over more rows than this starts from small radii.
 ONE_PASS_ROWS = 20_000
-# Rows one search cell may hold when the first radius is chosen.
-CELL_ROWS = 5_000
+# Rows one search cell may hold when the first radius is chosen: a place meets nine cells, so pairs stay few.
+CELL_ROWS = 64
+# With more rows than this to be found, planar searches compare matrices of cells instead of joined pairs.
+MATRIX_ROWS = 20_000
+# Rows of one cell that one task searches for.
+MATRIX_LEFT = 20_000
 
 
 def _boxed(boxes: DataFrame) -> DataFrame:
@@ -123,6 +129,59 @@ def off_border(points: DataFrame, boundary: DataFrame, border: float, spread_by:
     return near.where(shapes.distance_to_border(x, y, F.col("shape")) > border).select(*points.columns)
 
 
+# ---- nearest by matrices of cells ------------------------------------------------
+
+def is_large(rows: DataFrame) -> bool:
+    return not fits(rows, MATRIX_ROWS)
+
+
+def in_cells(rows: DataFrame, x: str, y: str, side: float, around: bool = False) -> DataFrame:
+    """Rows with the grid cell (_cx, _cy) of their place, or, ``around`` it, with each of the nine next cells."""
+    for name, c in (("_cx", x), ("_cy", y)):
+        cell = F.floor(F.col(c) / side).cast("long")
+        rows = rows.withColumn(name, F.explode(F.sequence(cell - 1, cell + 1)) if around else cell)
+    return rows
+
+
+def least_in_cells(left: DataFrame, right: DataFrame, measure) -> DataFrame:
+    """Pairs (columns of both) of a left row and the rows of ``right`` in its cell that may be its nearest.
+
+    Both sides have _cx and _cy. ``measure`` takes two dictionaries of columns, as numpy
+    arrays that broadcast to a matrix of left by right rows, and gives the distances, which
+    pairs surely count and which perhaps do. What is no farther than the nearest sure one,
+    but for rounding, comes out, so the caller's own expressions decide. No pair leaves a
+    task but those; a crowded cell's left rows are spread over as many tasks as they need.
+    """
+    on = ["_cx", "_cy"]
+    cells = stage(left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / MATRIX_LEFT).cast("int").alias("_tasks")), "cells")
+    how = "inner" if fits(cells) else "left"  # rows of the right in cells that nobody searches stay where they are
+    cells = F.broadcast(cells if how == "inner" else cells.where("_tasks > 1"))
+    tasks = F.coalesce("_tasks", F.lit(1))
+    a = left.join(cells, on, how).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), tasks).cast("int")).drop("_tasks")
+    b = right.join(cells, on, how).withColumn("_salt", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("_tasks")
+    own, other = ([f for f in side.schema if f.name not in ("_cx", "_cy")] for side in (left, right))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (*own, *other))
+
+    def match(rows: pa.Table, near: pa.Table) -> pa.Table:
+        rows, near = rows.select([f.name for f in own]), near.select([f.name for f in other])
+        at, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if rows.num_rows and near.num_rows:
+            x, y = ({c: t[c].to_numpy() for c in t.column_names} for t in (rows, near))
+            step = max(1, (1 << 20) // near.num_rows)
+            for begin in range(0, rows.num_rows, step):
+                d, sure, perhaps = measure({c: v[begin:begin + step, None] for c, v in x.items()}, {c: v[None, :] for c, v in y.items()})
+                best = np.where(sure, d, np.inf).min(axis=1)
+                i, j = np.nonzero(perhaps & (d <= best[:, None] * (1 + 1e-9) + 1e-12))
+                at.append(begin + i)
+                of.append(j)
+        at, of = pa.array(np.concatenate(at)), pa.array(np.concatenate(of))
+        rows, near = rows.take(at), near.take(of)
+        return pa.table([*rows.columns, *near.columns], names=[*rows.column_names, *near.column_names])
+
+    keys = ["_cx", "_cy", "_salt"]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(match, kinds)
+
+
 # ---- nearest on the sphere -------------------------------------------------------
 
 def _bands(radius_km: float) -> float:
@@ -169,17 +228,15 @@ def _search_cells(places: DataFrame, radius_km: float, h: float) -> DataFrame:
     )
 
 
-def _radii(stations: DataFrame, radius_km: float) -> list[float]:
-    """Growing search radii whose first cells are counted to hold few stations."""
-    if fits(stations, ONE_PASS_ROWS):
-        return [radius_km]
+def _radii(stations: DataFrame, radius_km: float, rows: int) -> list[float]:
+    """Growing search radii whose first cells are counted to hold at most ``rows`` stations."""
     steps = [radius_km / 4**i for i in range(9)]
     cell = [F.struct(F.lit(i).alias("i"), F.floor(F.col("lat") / _bands(r)).alias("a"),
                      F.floor(F.col("lon") * F.cos(F.radians("lat")) / _bands(r)).alias("b"))
             for i, r in enumerate(steps)]
     filled = stations.select(F.explode(F.array(*cell)).alias("c")).groupBy("c").count()
     worst = {r["i"]: r["m"] for r in filled.groupBy(F.col("c.i").alias("i")).agg(F.max("count").alias("m")).collect()}
-    first = next((i for i in range(len(steps)) if worst[i] <= CELL_ROWS), len(steps) - 1)
+    first = next((i for i in range(len(steps)) if worst[i] <= rows), len(steps) - 1)
     return steps[first::-1]
 
 
@@ -197,8 +254,11 @@ def nearest_stations(
     group = [per] if per else []
     spot = Window.partitionBy("lat", "lon", *group).orderBy("station_id")
     distinct = stations.withColumn("_k", F.row_number().over(spot)).where(F.col("_k") <= k).drop("_k")
-    radii = _radii(distinct, radius_km)
-    kinds = distinct.select(per).distinct().count() if per and len(radii) > 1 else 1
+    radii, kinds = [radius_km], 1
+    if not fits(distinct, ONE_PASS_ROWS):
+        distinct = stage(distinct, "stations")
+        kinds = distinct.select(per).distinct().count() if per else 1
+        radii = _radii(distinct, radius_km, max(CELL_ROWS, 4 * k * kinds))
 
     found, open_places = [], places.select("place_id", "lat", "lon")
     for radius in radii:
@@ -207,6 +267,8 @@ def nearest_stations(
         left = _search_cells(open_places, radius, h)
         if fits(right):
             pairs = left.join(F.broadcast(right), ["_band", "_cell"])
+        elif radius != radii[0] and fits(left):
+            pairs = F.broadcast(left).join(right, ["_band", "_cell"])
         else:
             pairs = salted_join(left, right, ["_band", "_cell"], F.col("place_id"))
         distance = geo.great_circle_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
@@ -225,6 +287,8 @@ def nearest_stations(
         )
         found.append(top.join(full, "place_id", "left_semi"))
         open_places = stage(open_places.join(full, "place_id", "left_anti"), "open")
+        if open_places.isEmpty():
+            break
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -270,6 +334,15 @@ def radius_neighbors(places: DataFrame, points: DataFrame, low: float, high: flo
     )
 
 
+def _beyond(low: float, reach: float):
+    def measure(place, point):
+        d = np.hypot(point["x"] - place["place_x"], point["y"] - place["place_y"])
+        slack = 1e-9 * (1 + low + reach)
+        return d, (d >= low + slack) & (d <= reach - slack), (d >= low - slack) & (d <= reach + slack)
+
+    return measure
+
+
 def nearest_beyond(
     places: DataFrame, points: DataFrame, low: float, high: float, start: float | None = None
 ) -> DataFrame:
@@ -292,8 +365,16 @@ def nearest_beyond(
             for a in ("x", "y")
         ])
     reach, open_places, found = start or max(high, 1e-6), places, []
+    large = is_large(points)
+    if large:  # of points at one spot only the lowest id can be chosen
+        points = stage(points.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min_by("point_id", F.struct("point_id")).alias("point_id")), "spots")
     while True:
-        pairs = box_join(points, _around(open_places, F.lit(float(reach))), "point_id")
+        if large:
+            pairs = least_in_cells(in_cells(open_places.select("place_id", "place_x", "place_y").where("place_x IS NOT NULL AND place_y IS NOT NULL"),
+                                            "place_x", "place_y", reach * 1.001),
+                                   in_cells(points, "x", "y", reach * 1.001, around=True), _beyond(low, reach))
+        else:
+            pairs = box_join(points, _around(open_places, F.lit(float(reach))), "point_id")
         distance = F.hypot(F.col("x") - F.col("place_x"), F.col("y") - F.col("place_y"))
         best = (
             pairs.withColumn("d", distance).where((F.col("d") >= low) & (F.col("d") <= reach))
