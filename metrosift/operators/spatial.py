@@ -27,6 +27,8 @@ ONE_PASS_ROWS = 20_000
 CELL_ROWS = 64
 # With more rows than this to be found, planar searches compare matrices of cells instead of joined pairs.
 MATRIX_ROWS = 20_000
+# Cells of a side that a segment may touch to be filed under all of them.
+SEGMENT_CELLS = 8
 # Rows of one cell that one task searches for.
 MATRIX_LEFT = 20_000
 
@@ -401,18 +403,48 @@ def nearest_beyond(
     )
 
 
+def _to_segment(reach: float):
+    def measure(point, line):
+        run, rise = line["bx"] - line["ax"], line["by"] - line["ay"]
+        size = run * run + rise * rise
+        east, north = point["x"] - line["ax"], point["y"] - line["ay"]
+        along = east * (run / np.where(size > 0, size, 1.0))
+        along += north * (rise / np.where(size > 0, size, 1.0))
+        np.clip(along, 0.0, 1.0, out=along)
+        east -= along * run
+        north -= along * rise
+        d = np.sqrt(east * east + north * north)
+        slack = 1e-9 * (1 + reach)
+        return d, d <= reach - slack, d <= reach + slack
+
+    return measure
+
+
 def snap_to_segments(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
     """Nearest road segment of each point within ``reach``.
 
     ``segments``: edge_id, seg, ax, ay, bx, by, start (length along the edge before it).
     Gives distance, the snapped position and how far along the edge it lies.
     """
+    segments = stage(segments, "segments")
     boxes = segments.select(
         "*",
         *[F.expr(f"least(a{a}, b{a}) - {reach!r}D").alias(f"{a}0") for a in ("x", "y")],
         *[F.expr(f"greatest(a{a}, b{a}) + {reach!r}D").alias(f"{a}1") for a in ("x", "y")],
     )
-    pairs = box_join(points, boxes, "point_id")
+    if is_large(segments):
+        # short segments are filed under all cells their boxes touch, the few long ones by size as any box
+        side = 4.0 * reach
+        is_long = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > SEGMENT_CELLS * side
+        filed = boxes.where(~is_long)
+        for a in ("x", "y"):
+            low, high = (F.floor(F.col(f"{a}{i}") / side).cast("long") for i in (0, 1))
+            filed = filed.withColumn(f"_c{a}", F.explode(F.sequence(low, high)))
+        spots = points.select("point_id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+        pairs = least_in_cells(in_cells(spots, "x", "y", side), filed.drop("x0", "y0", "x1", "y1"), _to_segment(reach))
+        pairs = pairs.unionByName(box_join(spots, boxes.where(is_long), "point_id").select(pairs.columns))
+    else:
+        pairs = box_join(points, boxes, "point_id")
     near = geo.point_to_segment(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
     pairs = pairs.withColumn("_n", near).where(F.col("_n.distance") <= reach)
     best = pairs.groupBy("point_id").agg(F.min(F.struct(

@@ -62,3 +62,19 @@ def test_nearest_feasible_by_cells(spark, monkeypatch, few):
                                     and r + 1e-9 >= miles(x, y, a, b) + miles(a, b, c, d) + miles(c, d, 0, 0) + fleet.RESERVE_FRACTION * fleet.BATTERY_RANGE_MILES]
         want.append((k, min(fit)[1] if fit else None))
     assert sorted((r["request_id"], r["vehicle_id"]) for r in got.collect()) == sorted(want)
+
+
+def test_snapping_by_cells_equals_snapping_by_boxes(spark, monkeypatch):
+    rng = random.Random(8)
+    lines = [(i, 1, x, y, x + rng.uniform(-1, 1), y + rng.uniform(-1, 1), 2.0) for i, (x, y) in enumerate((rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(150))]
+    lines += [(900, 1, -40.0, 5.0, 60.0, 5.1, 0.0), (901, 2, 4.0, 4.0, 4.0, 4.0, 1.0), (902, 1, 3.0, 3.0, 3.0, 6.0, 1.0), (903, 1, 3.0, 6.0, 3.0, 3.0, 1.0), (904, 1, None, 3.0, 3.0, 3.0, 1.0)]
+    points = [(i, rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(200)] + [(500, -39.0, 5.2), (501, 4.0, 4.0), (502, 80.0, 80.0), (502, 3.2, 4.0), (503, None, 1.0), (504, 3.0, 4.5)]
+    segments = spark.createDataFrame(lines, "edge_id long, seg long, ax double, ay double, bx double, by double, start double")
+    table = spark.createDataFrame(points, "point_id long, x double, y double")
+    want = sorted(map(tuple, spatial.snap_to_segments(table, segments, 0.5).collect()))
+    monkeypatch.setattr(spatial, "MATRIX_ROWS", 0)
+    monkeypatch.setattr(spatial, "MATRIX_LEFT", 5)
+    joined, join = [], spatial.box_join
+    monkeypatch.setattr(spatial, "box_join", lambda points, boxes, by, **how: joined.append(boxes.count()) or join(points, boxes, by, **how))
+    assert sorted(map(tuple, spatial.snap_to_segments(table, segments, 0.5).collect())) == want and len(want) > 100
+    assert joined == [1]  # before: pairs of all points and boxes were rows of a join
