@@ -6,8 +6,13 @@ executor costs at most one round.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from metrosift.operators.joins import BROADCAST_ROWS, join_lookup, salted_join
 from metrosift.operators.spatial import off_border
@@ -16,6 +21,10 @@ from metrosift.session import stage
 MAX_ROUNDS = 60
 # Two grid cells with at most this many point pairs are compared point by point.
 PAIRS_PER_CELLS = 4096
+# Cells on a tile's side (as a power of two), and how far a cell reaches: its side is over tolerance/2, so only the two next ones matter.
+TILE_BITS, REACH = 5, 2
+# Spots that one task compares, about; spots of a tile beyond which its cells are counted, and of a cell that no tile compares.
+SPOTS_PER_TASK, CROWDED_TILE, CROWDED_CELL = 200_000, 32_768, 1024
 # Dead ends are peeled off again while there was more than one for so many ways left.
 PEEL_LEAST = 20
 
@@ -94,14 +103,14 @@ def largest_component(edges: DataFrame) -> DataFrame:
 def _cell_stats(points: DataFrame, side: float) -> DataFrame:
     return points.withColumn("cx", F.floor(F.col("x") / side).cast("long")).withColumn(
         "cy", F.floor(F.col("y") / side).cast("long")
-    ).groupBy("cx", "cy").agg(
+    ).groupBy("g", "cx", "cy").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("rep"),
         *[f(a).alias(f"{a}{i}") for a in ("x", "y") for i, f in ((0, F.min), (1, F.max))],
     )
 
 
 def close_cells(points: DataFrame, tolerance: float, side: float) -> DataFrame:
-    """(a, b): representative nodes of grid cells that hold points within ``tolerance``.
+    """(a, b): representative nodes of grid cells of one ``g`` that hold points within ``tolerance``.
 
     Cells are compared by their bounding boxes first. Boxes wholly within or wholly
     beyond the tolerance are settled at once; cells with few pairs compare points; only
@@ -109,23 +118,22 @@ def close_cells(points: DataFrame, tolerance: float, side: float) -> DataFrame:
     at stay near-linear even when one cell holds most of the points.
     """
     root = stage(_cell_stats(points, side), "cells")
-    reach = 2  # a cell's side is over tolerance/2, so only the two next cells can matter
     offsets = F.array(*[
         F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-        for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1) if (dx, dy) > (0, 0)
+        for dx in range(-REACH, REACH + 1) for dy in range(-REACH, REACH + 1) if (dx, dy) > (0, 0)
     ])
-    a = root.select("cx", "cy", F.col("rep").alias("ra"), F.explode(offsets).alias("o"))
+    a = root.select("g", "cx", "cy", F.col("rep").alias("ra"), F.explode(offsets).alias("o"))
     pairs = a.select(
-        F.col("cx").alias("ax"), F.col("cy").alias("ay"), "ra",
+        "g", F.col("cx").alias("ax"), F.col("cy").alias("ay"), "ra",
         (F.col("cx") + F.col("o.dx")).alias("bx"), (F.col("cy") + F.col("o.dy")).alias("by"),
-    ).join(root.select(F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("rep").alias("rb")), ["bx", "by"])
+    ).join(root.select("g", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("rep").alias("rb")), ["g", "bx", "by"])
     accepted = []
     while True:
         stats = _cell_stats(points, side)
         p, q = ({c: f"{c}_{s}" for c in ("n", "x0", "x1", "y0", "y1")} for s in ("a", "b"))
-        left = stats.select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), *[F.col(c).alias(v) for c, v in p.items()])
-        right = stats.select(F.col("cx").alias("bx"), F.col("cy").alias("by"), *[F.col(c).alias(v) for c, v in q.items()])
-        both = pairs.join(left, ["ax", "ay"]).join(right, ["bx", "by"])
+        left = stats.select("g", F.col("cx").alias("ax"), F.col("cy").alias("ay"), *[F.col(c).alias(v) for c, v in p.items()])
+        right = stats.select("g", F.col("cx").alias("bx"), F.col("cy").alias("by"), *[F.col(c).alias(v) for c, v in q.items()])
+        both = pairs.join(left, ["g", "ax", "ay"]).join(right, ["g", "bx", "by"])
         gap = [f"greatest(0D, {a}0_b - {a}1_a, {a}0_a - {a}1_b)" for a in ("x", "y")]
         far = [f"greatest({a}1_b - {a}0_a, {a}1_a - {a}0_b)" for a in ("x", "y")]
         both = both.withColumn("near", F.expr(f"hypot({gap[0]}, {gap[1]})")).withColumn(
@@ -135,11 +143,11 @@ def close_cells(points: DataFrame, tolerance: float, side: float) -> DataFrame:
         accepted.append(both.where(F.col("far") <= tolerance).select("ra", "rb"))
         open_pairs = both.where(F.col("far") > tolerance)
         few = open_pairs.where(F.col("n_a") * F.col("n_b") <= PAIRS_PER_CELLS)
-        placed = points.select("x", "y", F.floor(F.col("x") / side).cast("long").alias("cx"),
+        placed = points.select("g", "x", "y", F.floor(F.col("x") / side).cast("long").alias("cx"),
                                F.floor(F.col("y") / side).cast("long").alias("cy"))
-        one = placed.select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("x").alias("px"), F.col("y").alias("py"))
-        two = placed.select(F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-        compared = few.select("ax", "ay", "bx", "by", "ra", "rb").join(one, ["ax", "ay"]).join(two, ["bx", "by"]).where(
+        one = placed.select("g", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("x").alias("px"), F.col("y").alias("py"))
+        two = placed.select("g", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+        compared = few.select("g", "ax", "ay", "bx", "by", "ra", "rb").join(one, ["g", "ax", "ay"]).join(two, ["g", "bx", "by"]).where(
             F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2) <= tolerance**2
         )
         accepted.append(compared.select("ra", "rb"))
@@ -151,7 +159,7 @@ def close_cells(points: DataFrame, tolerance: float, side: float) -> DataFrame:
             done = done.unionByName(more)
         crowded = crowded.join(done.distinct(), ["ra", "rb"], "left_anti")
         step = F.sequence(F.lit(0), F.lit(3))
-        pairs = crowded.select("ax", "ay", "bx", "by", "ra", "rb")
+        pairs = crowded.select("g", "ax", "ay", "bx", "by", "ra", "rb")
         for c in ("ax", "ay", "bx", "by"):
             pairs = pairs.withColumn("_d", F.explode(step)).withColumn(c, F.col(c) * 4 + F.col("_d")).drop("_d")
         side = side / 4
@@ -161,24 +169,193 @@ def close_cells(points: DataFrame, tolerance: float, side: float) -> DataFrame:
     return out.distinct().select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
-def proximity_clusters(points: DataFrame, tolerance: float) -> DataFrame:
+def _ranks(nodes: pa.Array) -> np.ndarray:
+    """Each value's place in Spark's order of values, null last."""
+    keys = [nodes.is_null()]
+
+    def add(values: pa.Array) -> None:
+        if pa.types.is_struct(values.type):
+            for field in values.flatten():
+                add(field)
+        else:
+            keys.extend([pc.is_valid(values), values])
+
+    add(nodes)
+    names = [str(i) for i in range(len(keys))]
+    order = pc.sort_indices(pa.table(keys, names), sort_keys=[(n, "ascending") for n in names]).to_numpy()
+    ranks = np.empty(len(order), np.int64)
+    ranks[order] = np.arange(len(order))
+    return ranks
+
+
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for rows with the same keys."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), np.int64)
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after linking a and b: the least number of each component."""
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return label
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _linked_cells(x: np.ndarray, y: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float) -> np.ndarray:
+    """Labels of cells after linking the pairs (a, b) that hold points within ``tolerance``.
+
+    Points are sorted by cell. Pairs of cells that are connected already are left out, so
+    crowded neighbors cost a look at a few of their points.
+    """
+    ends = np.append(starts[1:], len(x))
+    label, n = np.arange(len(starts)), ends - starts
+    for most in (16, None):
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+        step_a, step_b = (np.ones(len(c), np.int64) if most is None else -(-n[c] // most) for c in (a, b))
+        na, nb = -(-n[a] // step_a), -(-n[b] // step_b)
+        order = np.argsort(na * nb, kind="stable")
+        size = np.cumsum((na * nb)[order])
+        at = 0
+        while at < len(order):
+            until = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 21), "right")))
+            some = order[at:until]
+            some, at = some[label[a[some]] != label[b[some]]], until
+            for part in np.split(some, range(1, len(some))) if len(some) and (na * nb)[some].max() > 1 << 21 else [some]:
+                width, count = nb[part], (na * nb)[part]
+                if not len(part):
+                    continue
+                # a pair of large cells is compared in slices
+                for begin in range(0, int(count.max()) if len(part) == 1 else 1, 1 << 22):
+                    own = np.repeat(np.arange(len(part)), count) if len(part) > 1 else np.zeros(min(1 << 22, int(count[0]) - begin), np.int64)
+                    place = np.arange(len(own)) - (np.cumsum(count) - count)[own] + begin
+                    p = starts[a[part]][own] + place // width[own] * step_a[part][own]
+                    q = starts[b[part]][own] + place % width[own] * step_b[part][own]
+                    near = part[own[(x[p] - x[q]) ** 2 + (y[p] - y[q]) ** 2 <= tolerance**2]]
+                    label = _merged(label, a[near], b[near])
+                    if len(near) and len(part) == 1:
+                        break
+    return label
+
+
+def _tile_clusters(tolerance: float, schema: pa.Schema):
+    """Clusters of cells within each tile and its rim, as (g, cx, cy, rep, label, own, linked, open)."""
+    across = (1 << TILE_BITS) + 2 * REACH
+
+    def cluster(rows: pa.Table) -> pa.Table:
+        nodes = rows["node"].combine_chunks()
+        tx, ty, cx, cy, x, y, near = (rows[c].to_numpy() for c in ("tx", "ty", "cx", "cy", "x", "y", "near"))
+        tile = _numbered(rows["g"].combine_chunks().dictionary_encode().indices.to_numpy(), tx, ty)
+        lx, ly = cx - (tx << TILE_BITS) + REACH, cy - (ty << TILE_BITS) + REACH
+        code, rank = (tile * across + lx) * across + ly, _ranks(nodes)
+        order = np.lexsort((rank, code))  # a cell's first point is its least node
+        starts = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
+        first = order[starts]
+        codes, lx, ly, x, y = code[first], lx[first], ly[first], x[order], y[order]
+        low, high = ([f.reduceat(c, starts) for c in (x, y)] for f in (np.minimum, np.maximum))
+        inner = [(c >= REACH) & (c < across - REACH) for c in (lx, ly)]
+        own = inner[0] & inner[1]
+        a, b = [], []
+        for dx in range(REACH + 1):
+            for dy in range(-REACH, REACH + 1):
+                if (dx, dy) <= (0, 0):
+                    continue
+                one = np.flatnonzero((lx + dx < across) & (ly + dy >= 0) & (ly + dy < across))
+                two = np.minimum(np.searchsorted(codes, codes[one] + dx * across + dy), len(codes) - 1)
+                there = (codes[two] == codes[one] + dx * across + dy) & (own[one] | own[two])
+                one, two = one[there], two[there]
+                gap = [np.maximum(0.0, np.maximum(low[i][two] - high[i][one], low[i][one] - high[i][two])) for i in (0, 1)]
+                close = ~(np.hypot(*gap) > tolerance * (1 + 1e-9))
+                a.append(one[close])
+                b.append(two[close])
+        label = _linked_cells(x, y, starts, np.concatenate(a), np.concatenate(b), tolerance)
+        least = np.full(len(starts), len(order))
+        np.minimum.at(least, label, rank[first])
+        place = np.empty(len(order), np.int64)
+        place[rank] = np.arange(len(order))
+        # cells that another tile sees as well, or that lie beside a crowded one
+        linked = near[first] | ~own | ~np.logical_and(*[(c >= 2 * REACH) & (c < across - 2 * REACH) for c in (lx, ly)])
+        open_, kept = (np.bincount(label, c, minlength=len(starts))[label] > 0 for c in (linked, own))
+        told = np.flatnonzero(own | (linked & kept))
+        at = pa.array(first[told])
+        return pa.table([rows["g"].take(at), rows["cx"].take(at), rows["cy"].take(at), nodes.take(at), nodes.take(pa.array(place[least[label[told]]])),
+                         pa.array(own[told]), pa.array(linked[told]), pa.array(open_[told])], schema=schema)
+
+    return cluster
+
+
+def cell_clusters(spots: DataFrame, tolerance: float, side: float) -> DataFrame:
+    """(g, cx, cy, cluster): the lowest node of the cluster that each grid cell of ``spots`` (node, g, x, y) belongs to.
+
+    Tiles of 32 x 32 cells, with a rim of the next two, are clustered each within a task; many tiles share one. Only
+    cells that two tiles see are linked across tiles. Crowded cells stay out of tiles: ``close_cells`` compares them
+    with the cells around.
+    """
+    keys = ["g", "cx", "cy"]
+    placed = spots.select("*", *[F.floor(F.col(c) / side).cast("long").alias(f"c{c}") for c in ("x", "y")])
+    tile = [F.shiftright(f"c{c}", TILE_BITS).alias(f"t{c}") for c in ("x", "y")]
+    full = stage(placed.groupBy("g", *tile).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED_TILE), "crowded-tiles")
+    crowded = None
+    if not full.isEmpty():
+        counted = join_lookup(placed.select(*keys, *tile), full.select("g", "tx", "ty"), ["g", "tx", "ty"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        crowded = stage(counted.where(F.col("n") > CROWDED_CELL).select(*keys), "crowded-cells")
+        crowded = None if crowded.isEmpty() else crowded
+    near = placed.withColumn("near", F.lit(False))
+    if crowded is not None:
+        step = F.sequence(F.lit(-REACH), F.lit(REACH))
+        around = crowded.select("g", "cx", "cy", F.explode(step).alias("dx")).select("*", F.explode(step).alias("dy")).select(
+            "g", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"),
+            ((F.col("dx") == 0) & (F.col("dy") == 0)).alias("crowded")).groupBy(*keys).agg(F.bool_or("crowded").alias("crowded"))
+        near = stage(join_lookup(placed, stage(around, "around"), keys, "left"), "near-crowded")
+        beside = near.where("crowded IS NOT NULL")
+        near = near.where("crowded IS NULL OR NOT crowded").withColumn("near", F.col("crowded").isNotNull()).drop("crowded")
+    of = {f.name: f.dataType for f in spots.schema}
+    out = T.StructType([T.StructField("g", of["g"]), T.StructField("cx", T.LongType()), T.StructField("cy", T.LongType()),
+                        T.StructField("rep", of["node"]), T.StructField("label", of["node"]),
+                        *[T.StructField(c, T.BooleanType()) for c in ("own", "linked", "open")]])
+    rows = near.select("*", *[F.sequence(F.shiftright(F.col(c) - REACH, TILE_BITS), F.shiftright(F.col(c) + REACH, TILE_BITS)).alias(f"_{c}")
+                              for c in ("cx", "cy")]).select(*near.columns, F.explode("_cx").alias("tx"), "_cy").select(
+        *near.columns, "tx", F.explode("_cy").alias("ty"))
+    tasks = max(1, -(-spots.count() // SPOTS_PER_TASK))
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64("g", "tx", "ty"), F.lit(tasks)))
+    found = stage(dealt.groupBy("task").applyInArrow(_tile_clusters(tolerance, to_arrow_schema(out)), out), "tile-clusters")
+    links = found.where("linked").select(F.col("rep").alias("a"), F.col("label").alias("b"))
+    cells = found.where("own").select(*keys, "label", "open")
+    if crowded is not None:
+        alone = stage(beside.where("crowded").groupBy(*keys).agg(F.min("node").alias("label")), "crowded")
+        links = links.unionByName(close_cells(beside.select("node", "g", "x", "y"), tolerance, side)).unionByName(
+            alone.select(F.col("label").alias("a"), F.col("label").alias("b")))
+        cells = cells.unionByName(alone.withColumn("open", F.lit(True)))
+    known = stage(components(links), "components").select(F.col("node").alias("label"), F.col("component").alias("cluster"))
+    return cells.where("NOT open").select(*keys, F.col("label").alias("cluster")).unionByName(
+        join_lookup(cells.where("open"), known, ["label"]).select(*keys, "cluster"))
+
+
+def proximity_clusters(points: DataFrame, tolerance: float, by: str | None = None) -> DataFrame:
     """(node, cluster): single-link clusters of points (node, x, y) within ``tolerance``.
 
-    Points in one cell of side tolerance/sqrt(2) are within reach of each other, so a
-    cell is linked through one representative instead of through its pairs, and copies
-    of one location collapse before anything is compared.
+    With ``by``, only points of one value of that column are linked; nodes of different
+    values must differ. Points in one cell of side tolerance/sqrt(2) are within reach of
+    each other, so a cell has one cluster, and copies of one location collapse before
+    anything is compared.
     """
     side = tolerance / 2**0.5 * (1 - 1e-12)
-    points = stage(points.select("node", "x", "y"), "points")
-    spots = stage(points.groupBy("x", "y").agg(F.min("node").alias("node")), "spots")
+    points = stage(points.select("node", (F.col(by) if by else F.lit(0)).alias("g"), "x", "y").where(
+        "g IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL"), "points")
+    spots = stage(points.groupBy("g", "x", "y").agg(F.min("node").alias("node")), "spots")
     cell = [F.floor(F.col(c) / side).cast("long").alias(f"c{c}") for c in ("x", "y")]
-    all_points = points.select("node", *cell)
-    reps = all_points.groupBy("cx", "cy").agg(F.min("node").alias("rep"))
-    members = join_lookup(all_points, reps, ["cx", "cy"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    labels = components(close_cells(spots, tolerance, side).unionByName(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"))))
-    named = join_lookup(members, labels.select(F.col("node").alias("b"), F.col("component").alias("cluster")), ["b"])
+    labels = stage(cell_clusters(spots, tolerance, side), "cell-clusters")
     # The lowest node of the cluster is the lowest of its cells' lowest nodes.
-    return named.select(F.col("a").alias("node"), "cluster")
+    return join_lookup(points.select("node", "g", *cell), labels, ["g", "cx", "cy"]).select("node", "cluster")
 
 
 def junctions(nodes: DataFrame, tolerance: float, boundary: DataFrame | None = None,

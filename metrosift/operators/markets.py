@@ -56,25 +56,18 @@ def road_features(edges: DataFrame, areas: DataFrame, tolerance: float = 20.0) -
     """Class shares, road density and intersection density per metro.
 
     ``edges``: metro, county, road_class, length_km and endpoint columns as in
-    ``node_degrees``. Nodes of one metro within ``tolerance`` are one intersection;
-    metros are kept apart by clustering each on its own stretch of the x axis.
+    ``node_degrees``. Nodes of one metro within ``tolerance`` are one intersection.
     """
     lengths = edges.select("metro", "road_class", "length_km")
     shares = census.road_shares(lengths, areas)
-    # One clustering for all metros: the gap between stretches is wider than the tolerance.
-    span = edges.agg(F.min(F.least("from_x", "to_x")).alias("lo"), F.max(F.greatest("from_x", "to_x")).alias("hi")).first()
-    width = (span["hi"] - span["lo"] if span["lo"] is not None else 0.0) + 4 * tolerance
-    numbered = edges.select("metro", "county", F.struct("metro", "from_node").alias("f"), F.struct("metro", "to_node").alias("t"),
-                            *[c for c in edges.columns if c[-2:] in ("_x", "_y")])
-    ends = numbered.select("metro", "county", F.explode(F.array(*[
-        F.struct(F.col(f"{a}.{b}_node").alias("node"), F.col(f"{b}_x").alias("x"), F.col(f"{b}_y").alias("y"))
-        for a, b in (("f", "from"), ("t", "to"))])).alias("e")).select("metro", "county", "e.*").where(
+    ends = edges.select("metro", "county", F.explode(F.array(*[
+        F.struct(F.col(f"{b}_node").alias("node"), F.col(f"{b}_x").alias("x"), F.col(f"{b}_y").alias("y"))
+        for b in ("from", "to")])).alias("e")).select("metro", "county", "e.*").where(
         "node > 0 AND x IS NOT NULL AND y IS NOT NULL")
     nodes = ends.groupBy("metro", "county", "node").agg(F.count(F.lit(1)).alias("d"), F.avg("x").alias("x"), F.avg("y").alias("y")).groupBy(
         "metro", "node").agg(F.sum("d").alias("degree"), F.min(F.struct("county", "x", "y")).alias("p")).where("degree >= 3")
-    shifted = nodes.select(F.struct("metro", "node").alias("node"), (F.col("p.x") + F.col("metro") * F.lit(width)).alias("x"),
-                           F.col("p.y").alias("y"))
-    clusters = graph.proximity_clusters(shifted, tolerance).groupBy(F.col("node.metro").alias("metro"), "cluster").agg(
+    placed = nodes.select(F.struct("metro", "node").alias("node"), "metro", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    clusters = graph.proximity_clusters(placed, tolerance, by="metro").groupBy(F.col("node.metro").alias("metro"), "cluster").agg(
         F.lit(1).alias("one")).groupBy("metro").agg(F.sum("one").alias("intersections"))
     out = shares.join(areas, "metro").join(clusters, "metro", "left").fillna(0, ["intersections"])
     usable = (F.col("total_km") > 0) & (F.col("land_area_km2") > 0)

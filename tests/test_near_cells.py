@@ -4,8 +4,9 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from metrosift.operators import fleet, spatial
+from metrosift.operators import fleet, graph, spatial
 
 
 def test_first_radius_holds_few_stations(spark, monkeypatch):
@@ -78,3 +79,47 @@ def test_snapping_by_cells_equals_snapping_by_boxes(spark, monkeypatch):
     monkeypatch.setattr(spatial, "box_join", lambda points, boxes, by, **how: joined.append(boxes.count()) or join(points, boxes, by, **how))
     assert sorted(map(tuple, spatial.snap_to_segments(table, segments, 0.5).collect())) == want and len(want) > 100
     assert joined == [1]  # before: pairs of all points and boxes were rows of a join
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_clusters_across_tiles_equal_brute_force(spark, monkeypatch, crowded):
+    """Chains over many tiles are one cluster; groups are kept apart; crowded cells are linked with those around."""
+    if crowded:
+        monkeypatch.setattr(graph, "CROWDED_TILE", 20)
+        monkeypatch.setattr(graph, "CROWDED_CELL", 3)
+    monkeypatch.setattr(graph, "SPOTS_PER_TASK", 40)
+    rng = random.Random(5)
+    spots = [(0.9 * i - 60, 0.3 * (i % 2)) for i in range(90)] + [(rng.uniform(-25, 25), rng.uniform(-25, 25)) for _ in range(160)]
+    spots += [(rng.uniform(8, 9), rng.uniform(8, 9)) for _ in range(30)] + [(5.0, 5.0)] * 4
+    rows = [(g, f"{g}{i:04d}" if i % 7 else f"{g}a{9999 - i}", x, y) for g in "pq" for i, (x, y) in enumerate(spots) if (g, i % 5) != ("q", 0)]
+    rows += [(None, "none", 1.0, 1.0), ("p", "nowhere", None, 1.0)]
+    df = spark.createDataFrame(rows, "metro string, node string, x double, y double").withColumn(
+        "node", F.struct("metro", F.substring("node", 2, 9).alias("id")))
+    got = {tuple(r["node"]): tuple(r["cluster"]) for r in graph.proximity_clusters(df, 1.0, by="metro").collect()}
+    want = {}
+    for g in "pq":
+        own = [((g, n[1:]), x, y) for m, n, x, y in rows if m == g and x is not None]
+        label = {n: n for n, _, _ in own}
+
+        def top(n):
+            while label[n] != n:
+                n = label[n]
+            return n
+
+        for i, (a, ax, ay) in enumerate(own):
+            for b, bx, by in own[:i]:
+                if (ax - bx) ** 2 + (ay - by) ** 2 <= 1.0:
+                    low, high = sorted((top(a), top(b)))
+                    label[high] = low
+        want |= {n: top(n) for n in label}
+    assert got == want
+
+
+def test_clustering_links_few_cells_across_tiles(spark, monkeypatch):
+    """Neighboring cells within a tile leave their task as one cluster, not as pairs."""
+    asked, real = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda links: asked.append(links.count()) or real(links))
+    side = [(i, j) for i in range(60) for j in range(60)]
+    points = spark.createDataFrame([(n, 0.5 * i, 0.5 * j) for n, (i, j) in enumerate(side)], "node long, x double, y double")
+    assert {r["cluster"] for r in graph.proximity_clusters(points, 1.0).collect()} == {0}
+    assert sum(asked) < len(side)
