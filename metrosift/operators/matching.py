@@ -23,8 +23,9 @@ from metrosift.session import stage
 REFERENCES_IN_PLAN = 512
 # Vectors at least this long are compared as Arrow batches instead of expressions.
 WIDE_VECTOR = 16
-# Vectors of a block, about; blocks grow where there would be more than MAX_BLOCKS, whose boxes every task holds.
-BLOCK_VECTORS = 1024
+# Vectors of a block, about; blocks grow where there would be more than MAX_BLOCKS, whose boxes every task holds. Rows
+# are sent to each block they visit, so large blocks spare vectors without structure, which visit all.
+BLOCK_VECTORS = 4096
 MAX_BLOCKS = 16_384
 # Vectors the tree's splits are taken from, at most about; blocks, boxes and matches cover all.
 SPLIT_SAMPLE = 65_536
@@ -191,28 +192,61 @@ def box_distances(x: np.ndarray, low: np.ndarray, high: np.ndarray, weights: Seq
     return np.sqrt(total)
 
 
+def _may_be_near(x: np.ndarray, y: np.ndarray, limits: np.ndarray, weights: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place): every pair that can be within the row's limit and among its ``k`` + 1 nearest.
+
+    Squared distances come from one matrix product; pairs within its rounding error stay.
+    """
+    scale = np.sqrt(np.array(weights, dtype=float))
+    with np.errstate(invalid="ignore", over="ignore"):
+        a, b = x * scale, y * scale
+        square_a, square_b = (a * a).sum(1), (b * b).sum(1)
+        slack = 8 * np.finfo(float).eps * (len(weights) + 8) * (square_a + (square_b.max() if len(b) else 0.0))
+        squares = square_b[None, :] - 2 * (a @ b.T) + square_a[:, None]
+        edge = limits * limits * (1 + 1e-12) + slack
+        loose = np.flatnonzero((squares <= edge[:, None]).sum(1) > 4 * (k + 1)) if len(b) > k + 1 else np.array([], int)
+        if len(loose):
+            edge[loose] = np.fmin(edge[loose], np.partition(squares[loose], k, axis=1)[:, k] + 2 * slack[loose])
+        return np.nonzero(~(squares > edge[:, None]))
+
+
 def _visit(weights: Sequence[float], k: int):
-    """Best ``k`` of one block for each row that visits it."""
+    """Best ``k`` of one block for each row that visits it, if no farther than the row's limit."""
     schema = pa.schema([("entity_id", pa.string()), ("distance", pa.float64()), ("reference_id", pa.string()), ("other", pa.string())])
+    dims = len(weights)
 
     def visit(rows: pa.Table, block: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if rows.num_rows and block.num_rows:
-            members = [[(m["r"], m["e"]) for m in group] for group in block["m"].to_pylist()]
-            y = _matrix(block["v"].combine_chunks(), len(weights))
-            entities, limits = rows["entity_id"].to_pylist(), rows["limit"].to_numpy()
-            x = _matrix(rows["v"].combine_chunks(), len(weights))
-            step = max(1, (1 << 20) // len(y))
-            for begin in range(0, len(x), step):
-                d = distances(x[begin:begin + step], y, weights)
-                for i, near in enumerate(d):
-                    entity, found = entities[begin + i], []
-                    edge = min(limits[begin + i], np.partition(near, 2 * k)[2 * k] if len(near) > 2 * k else np.inf)
-                    for j in np.flatnonzero(near <= edge):
+            groups = block["m"].combine_chunks()
+            y = _matrix(block["v"].combine_chunks(), dims)
+            step = max(1, (1 << 21) // len(y))
+            for r in range(rows.num_rows):
+                entities = rows["ids"][r].values
+                x, limits = (np.frombuffer(rows[c][r].as_py(), float) for c in ("x", "limits"))
+                x = x.reshape(-1, dims)
+                for begin in range(0, len(x), step):
+                    row, at = _may_be_near(x[begin:begin + step], y, limits[begin:begin + step], weights, k)
+                    row = row + begin
+                    total = np.zeros(len(row))
+                    for i, w in enumerate(weights):  # the sums of ``distances``
+                        gap = x[row, i] - y[at, i]
+                        total = total + float(w) * gap * gap if i else float(w) * gap * gap
+                    near = np.sqrt(total)
+                    kept = np.flatnonzero(near <= limits[row])
+                    if not len(kept):
+                        continue
+                    order = kept[np.lexsort((near[kept], row[kept]))]
+                    names = entities.take(pa.array(row[order])).to_pylist()
+                    members, found, last = groups.take(pa.array(at[order])).to_pylist(), [], -1
+                    for own, name, distance, group in zip(row[order].tolist(), names, near[order].tolist(), members):
+                        if own != last:
+                            out += sorted(found, key=lambda f: f[1:])[:k]
+                            found, last = [], own
                         # at most one vector has no member left for the row's own entity
-                        other = next((m for m in members[j] if m[1] != entity), None)
+                        other = next(((m["r"], m["e"]) for m in group if m["e"] != name), None)
                         if other:
-                            found.append((entity, float(near[j]), *other))
+                            found.append((name, distance, *other))
                     out += sorted(found, key=lambda f: f[1:])[:k]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else
                         [pa.array([], f.type) for f in schema], schema=schema)
@@ -247,23 +281,29 @@ def tree_matches(candidates: DataFrame, groups: DataFrame, weights: Sequence[flo
     boxes = spark.sparkContext.broadcast((numbers, low, high))
 
     def visits(step: int):
-        schema = pa.schema([("entity_id", pa.string()), ("v", pa.list_(pa.float64())), ("limit", pa.float64()), ("block", pa.int64())])
+        schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.string())), ("x", pa.binary()), ("limits", pa.binary())])
 
         def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, a, b = boxes.value
             for batch in batches:
-                for begin in range(0, batch.num_rows, max(1, (1 << 20) // len(own))):
-                    part = batch.slice(begin, max(1, (1 << 20) // len(own)))
-                    limit, seen = part.column(2).to_numpy(), part.column(3).to_numpy()
-                    least = box_distances(_matrix(part.column(1), dims), a, b, weights)
-                    order = np.argsort(least, axis=1, kind="stable")
-                    place = np.empty_like(order)
-                    np.put_along_axis(place, order, np.arange(len(own))[None, :].repeat(len(order), 0), 1)
-                    go = (place >= seen[:, None]) & (place < seen[:, None] + step) & (least <= limit[:, None])
-                    row, block = np.nonzero(go)
-                    yield pa.RecordBatch.from_arrays([
-                        part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(limit[row]), pa.array(own[block])],
-                        schema=schema)
+                some = max(1, min(VISITS_PER_TASK // 4, (1 << 23) // len(own)))
+                for begin in range(0, batch.num_rows, some):
+                    part = batch.slice(begin, some)
+                    x, limit, seen = _matrix(part.column(1), dims), part.column(2).to_numpy(), part.column(3).to_numpy()
+                    go = np.empty((len(x), len(own)), bool)
+                    for at in range(0, len(x), max(1, (1 << 20) // len(own))):
+                        rows = slice(at, at + max(1, (1 << 20) // len(own)))
+                        least = box_distances(x[rows], a, b, weights)
+                        order = np.argsort(least, axis=1, kind="stable")
+                        place = np.empty_like(order)
+                        np.put_along_axis(place, order, np.arange(len(own))[None, :].repeat(len(order), 0), 1)
+                        go[rows] = (place >= seen[rows, None]) & (place < seen[rows, None] + step) & (least <= limit[rows, None])
+                    for j in np.flatnonzero(go.any(0)):
+                        row = np.flatnonzero(go[:, j])
+                        ids = part.column(0).take(pa.array(row))
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([own[j]], pa.int64()), pa.array([len(row)], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.string())),
+                            pa.array([x[row].tobytes()], pa.binary()), pa.array([limit[row].tobytes()], pa.binary())], schema=schema)
 
         return plan
 
@@ -275,19 +315,19 @@ def tree_matches(candidates: DataFrame, groups: DataFrame, weights: Sequence[flo
     done, step = [], 1
     while True:
         asked = stage(state.select("entity_id", "v", "limit", "seen").mapInArrow(
-            visits(step), "entity_id string, v array<double>, limit double, block long"), "visits")
-        heat = asked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn(
+            visits(step), "block long, n long, ids array<string>, x binary, limits binary"), "visits")
+        heat = asked.groupBy("block").agg(F.sum("n").alias("n")).withColumn(
             "salts", F.ceil(F.col("n") / VISITS_PER_TASK).cast("int"))
         heat = F.broadcast(stage(heat, "heat"))  # a row for each block
         if heat.isEmpty():
             done.append(state)
             break
-        left = asked.join(heat, "block").withColumn("salt", F.pmod(F.xxhash64("entity_id"), F.col("salts")).cast("int"))
+        left = asked.drop("n").join(heat, "block").withColumn("salt", F.pmod(F.xxhash64("ids"), F.col("salts")).cast("int"))
         right = blocks.join(heat, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        near = left.select("block", "salt", "entity_id", "v", "limit").groupBy("block", "salt").cogroup(
+        near = left.select("block", "salt", "ids", "x", "limits").groupBy("block", "salt").cogroup(
             right.select("block", "salt", "v", "m").groupBy("block", "salt")).applyInArrow(
             _visit(weights, k), "entity_id string, distance double, reference_id string, other string")
-        counted = asked.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n"))
+        counted = asked.select(F.explode("ids").alias("entity_id")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n"))
         met = near.groupBy("entity_id").agg(F.collect_list(F.struct("distance", "reference_id", "other")).alias("_met"))
         merged = state.join(counted, "entity_id", "left").join(met, "entity_id", "left")
         best = F.slice(F.array_sort(F.concat("best", F.coalesce("_met", F.expr("cast(array() AS array<struct<distance: double, reference_id: string, other: string>>)")))), 1, k)

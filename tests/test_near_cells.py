@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from metrosift.operators import fleet, graph, spatial
+from metrosift.operators import fleet, graph, matching, spatial
 
 
 def test_first_radius_holds_few_stations(spark, monkeypatch):
@@ -123,3 +125,24 @@ def test_clustering_links_few_cells_across_tiles(spark, monkeypatch):
     points = spark.createDataFrame([(n, 0.5 * i, 0.5 * j) for n, (i, j) in enumerate(side)], "node long, x double, y double")
     assert {r["cluster"] for r in graph.proximity_clusters(points, 1.0).collect()} == {0}
     assert sum(asked) < len(side)
+
+
+def test_rows_visit_blocks_packed_and_only_near_ones_are_measured():
+    """A block gets its visitors as matrices; one product tells which few pairs are summed as ``distances`` does."""
+    rng = np.random.default_rng(3)
+    x, y, weights = rng.normal(size=(50, 32)), rng.normal(size=(400, 32)), [1 / 32] * 32
+    y[7] = x[4]
+    exact = matching.distances(x, y, weights)
+    row, at = matching._may_be_near(x, y, np.full(50, np.inf), weights, 3)
+    assert len(row) < 50 * 8
+    told = set(zip(row.tolist(), at.tolist()))
+    assert all((i, j) in told for i in range(50) for j in np.argsort(exact[i])[:4].tolist())
+    limits = np.sort(exact, axis=1)[:, 1]  # a limit is kept in the last bit
+    row, at = matching._may_be_near(x, y, limits, weights, 3)
+    told = set(zip(row.tolist(), at.tolist()))
+    assert all((i, j) in told for i, j in np.argwhere(exact <= limits[:, None]).tolist())
+    visitors = pa.table([pa.array([[f"e{i}" for i in range(50)]]), pa.array([x.tobytes()]), pa.array([limits.tobytes()])], ["ids", "x", "limits"])
+    block = pa.table([pa.array(y.tolist()), pa.array([[{"r": f"r{j:03d}", "e": f"f{j}"}] for j in range(400)])], ["v", "m"])
+    out = matching._visit(weights, 3)(visitors, block).to_pylist()
+    assert [(r["entity_id"], r["distance"], r["reference_id"]) for r in out] == [
+        (f"e{i}", exact[i, j], f"r{j:03d}") for i in range(50) for j in np.argsort(exact[i])[:2].tolist()]
