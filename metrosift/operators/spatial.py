@@ -31,6 +31,8 @@ MATRIX_ROWS = 20_000
 SEGMENT_CELLS = 8
 # Rows of one cell that one task searches for.
 MATRIX_LEFT = 20_000
+# Pairs that one task compares where all that are near come out.
+MATRIX_PAIRS = 4_000_000
 
 
 def _boxed(boxes: DataFrame) -> DataFrame:
@@ -145,8 +147,9 @@ def in_cells(rows: DataFrame, x: str, y: str, side: float, around: bool = False)
     return rows
 
 
-def least_in_cells(left: DataFrame, right: DataFrame, measure) -> DataFrame:
+def least_in_cells(left: DataFrame, right: DataFrame, measure, every: bool = False) -> DataFrame:
     """Pairs (columns of both) of a left row and the rows of ``right`` in its cell that may be its nearest.
+    With ``every``, all pairs that perhaps count come out.
 
     Both sides have _cx and _cy. ``measure`` takes two dictionaries of columns, as numpy
     arrays that broadcast to a matrix of left by right rows, and gives the distances, which
@@ -155,7 +158,13 @@ def least_in_cells(left: DataFrame, right: DataFrame, measure) -> DataFrame:
     task but those; a crowded cell's left rows are spread over as many tasks as they need.
     """
     on = ["_cx", "_cy"]
-    cells = stage(left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / MATRIX_LEFT).cast("int").alias("_tasks")), "cells")
+    rows_of = F.count(F.lit(1))
+    if every:  # a task gives out what it finds at once, so its pairs are bounded too
+        counts = left.groupBy(*on).agg(rows_of.alias("_l")).join(right.groupBy(*on).agg(rows_of.alias("_r")), on)
+        cells = counts.select(*on, F.ceil(F.greatest(F.col("_l") / MATRIX_LEFT, F.col("_l") * F.col("_r") / MATRIX_PAIRS)).cast("int").alias("_tasks"))
+    else:
+        cells = left.groupBy(*on).agg(F.ceil(rows_of / MATRIX_LEFT).cast("int").alias("_tasks"))
+    cells = stage(cells, "cells")
     how = "inner" if fits(cells) else "left"  # rows of the right in cells that nobody searches stay where they are
     cells = F.broadcast(cells if how == "inner" else cells.where("_tasks > 1"))
     tasks = F.coalesce("_tasks", F.lit(1))
@@ -172,8 +181,10 @@ def least_in_cells(left: DataFrame, right: DataFrame, measure) -> DataFrame:
             step = max(1, (1 << 20) // near.num_rows)
             for begin in range(0, rows.num_rows, step):
                 d, sure, perhaps = measure({c: v[begin:begin + step, None] for c, v in x.items()}, {c: v[None, :] for c, v in y.items()})
-                best = np.where(sure, d, np.inf).min(axis=1)
-                i, j = np.nonzero(perhaps & (d <= best[:, None] * (1 + 1e-9) + 1e-12))
+                if not every:
+                    best = np.where(sure, d, np.inf).min(axis=1)
+                    perhaps = perhaps & (d <= best[:, None] * (1 + 1e-9) + 1e-12)
+                i, j = np.nonzero(perhaps)
                 at.append(begin + i)
                 of.append(j)
         at, of = pa.array(np.concatenate(at)), pa.array(np.concatenate(of))
@@ -324,14 +335,25 @@ def radius_neighbors(places: DataFrame, points: DataFrame, low: float, high: flo
     """(place_id, point_id, distance, share): points at low <= distance <= high.
 
     ``places``: place_id, place_x, place_y. ``points``: point_id, x, y, weight. ``share``
-    is the point's part of the weight found around its place.
+    is the point's part of the weight found around its place. Pairs are met twice, once
+    for the weight around each place, which the places then bring along, so no pair is
+    shuffled or sorted.
     """
-    pairs = box_join(points, _around(places, F.lit(float(high))), "point_id")
-    pairs = pairs.withColumn(
-        "distance", F.hypot(F.col("x") - F.col("place_x"), F.col("y") - F.col("place_y"))
-    ).where((F.col("distance") >= low) & (F.col("distance") <= high))
-    totals = pairs.groupBy("place_id").agg(F.sum("weight").alias("_total"))
-    return join_lookup(pairs, totals, ["place_id"]).select(
+    large = is_large(points)
+
+    def pairs(around: DataFrame) -> DataFrame:
+        if large:
+            near = least_in_cells(in_cells(around.where("place_x IS NOT NULL AND place_y IS NOT NULL"), "place_x", "place_y", high * 1.001),
+                                  in_cells(points.where("x IS NOT NULL AND y IS NOT NULL"), "x", "y", high * 1.001, around=True),
+                                  _beyond(low, high), every=True)
+        else:
+            near = box_join(points, _around(around, F.lit(float(high))), "point_id")
+        return near.withColumn(
+            "distance", F.hypot(F.col("x") - F.col("place_x"), F.col("y") - F.col("place_y"))
+        ).where((F.col("distance") >= low) & (F.col("distance") <= high))
+
+    totals = stage(pairs(places).groupBy("place_id").agg(F.sum("weight").alias("_total")), "totals")
+    return pairs(join_lookup(places, totals, ["place_id"])).select(
         "place_id", "point_id", "distance", (F.col("weight") / F.col("_total")).alias("share")
     )
 

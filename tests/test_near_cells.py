@@ -146,3 +146,25 @@ def test_rows_visit_blocks_packed_and_only_near_ones_are_measured():
     out = matching._visit(weights, 3)(visitors, block).to_pylist()
     assert [(r["entity_id"], r["distance"], r["reference_id"]) for r in out] == [
         (f"e{i}", exact[i, j], f"r{j:03d}") for i in range(50) for j in np.argsort(exact[i])[:2].tolist()]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_radius_neighbors_joins_totals_to_places_not_to_pairs(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(spatial, "MATRIX_ROWS", 0)
+        monkeypatch.setattr(spatial, "MATRIX_PAIRS", 200)
+    rng = random.Random(8)
+    points = [(i, rng.uniform(0, 9), rng.uniform(0, 9), i % 9 + 1) for i in range(300)] + [(7, 3.0, 4.0, 5), (None, 3.0, 4.0, 2), (901, 3.0, None, 2), (902, 3.0, 4.0, None)]
+    places = [(i, rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(40)] + [(5, 3.0, 4.5), (5, 3.0, 4.5), (None, 3.0, 4.0), (77, 90.0, 90.0), (78, None, 1.0)]
+    joined, join = [], spatial.join_lookup
+    monkeypatch.setattr(spatial, "join_lookup", lambda big, *more: joined.append(big.count()) or join(big, *more))
+    got = spatial.radius_neighbors(spark.createDataFrame(places, "place_id long, place_x double, place_y double"),
+                                   spark.createDataFrame(points, "point_id long, x double, y double, weight long"), 0.5, 2.0).collect()
+    near = [(k, p, ((x - a) ** 2 + (y - b) ** 2) ** 0.5, w) for k, a, b in places if k is not None and a is not None
+            for p, x, y, w in points if y is not None]
+    near = [n for n in near if 0.5 <= n[2] <= 2.0]
+    total = {k: sum(n[3] or 0 for n in near if n[0] == k) for k in {n[0] for n in near}}
+    want = [(k, -1 if p is None else p, round(d, 9), -1 if w is None else round(w / total[k], 12)) for k, p, d, w in near]
+    assert sorted((r["place_id"], -1 if r["point_id"] is None else r["point_id"], round(r["distance"], 9),
+                   -1 if r["share"] is None else round(r["share"], 12)) for r in got) == sorted(want)
+    assert joined == [len(places)]  # before: all pairs
