@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -315,6 +316,55 @@ def test_seating_follows_the_restaurant():
     assert tables[1] < tables[2] < tables[3] < 50
 
 
+def test_contexts_are_the_words_before():
+    ids, before, text = pitman_yor.token_pairs(pa.array(["a b A", None, "b a"]))
+    assert text.tolist() == [0, 0, 0, 0, 1, 2, 2, 2]
+    assert before.tolist() == [pitman_yor._START, *ids[:3], pitman_yor._START, pitman_yor._START, *ids[5:7]]
+    many, _, _ = pitman_yor.token_pairs(pa.array([" ".join(f"w{i}" for i in range(3000))]))
+    _, before, _ = pitman_yor.token_pairs(pa.array([" ".join(f"w{i} x" for i in range(3000))]))
+    assert len(set(before.tolist()) - {int(many[0])}) == 3001  # before: 32 classes
+
+
+def test_tables_are_drawn_by_their_exact_distribution():
+    rng, d = np.random.default_rng(1), 0.4
+    ways = [[0.0] * 7 for _ in range(7)]
+    ways[1][1] = 1.0
+    for c in range(1, 6):
+        for t in range(1, c + 2):
+            ways[c + 1][t] = ways[c][t - 1] + (c - d * t) * ways[c][t]
+    odds = np.array([ways[6][t] * math.prod(0.7 + d * k for k in range(t)) for t in range(1, 7)])
+    drawn = pitman_yor.draw_tables(np.full(40_000, 6), d, lambda rows, k: 0.7 + d * k + 0.0 * rows, rng)
+    share = np.bincount(drawn.astype(int), minlength=7)[1:] / 40_000
+    assert np.abs(share - odds / odds.sum()).max() < 0.01
+    some = pitman_yor.draw_tables(np.array([0, 1, 2, 5000]), d, lambda rows, k: 0.7 + d * k + 0.0 * rows, rng)
+    assert some[:2].tolist() == [0, 1] and some[2] <= 2 and 1 < some[3] < 500
+
+
+def test_language_model_learns_word_pairs(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    follows = rng.permutation(300)  # each word has one that mostly follows, far more than 32 classes tell
+    docs = []
+    for i in range(240):
+        at, text = int(rng.integers(300)), []
+        for _ in range(80):
+            text.append(words[at])
+            at = int(follows[at]) if rng.random() < 0.9 else int(rng.integers(300))
+        docs.append((i, " ".join(text)))
+    ends = [(1000 + i, f"w7 {w}") for i, w in enumerate(words)] + [(2000, "w7"), (2001, "w7 unseen")]
+    table = spark.createDataFrame(docs + ends, "doc_id long, text string")
+    held = (F.col("doc_id") >= 1000) | (F.col("doc_id") % 10 == 0)
+    scores = []
+    for bucket_bytes in (1 << 30, 60_000):
+        got = {r.doc_id: r for r in pitman_yor.score_texts(table, held, part_bytes=60_000, bucket_bytes=bucket_bytes).collect()}
+        out = [got[i] for i in range(0, 240, 10)]
+        scores.append(sum(r.score for r in out) / sum(r.n_tokens for r in out))
+        assert scores[-1] > sum(r.base_score for r in out) / sum(r.n_tokens for r in out) + 1.0
+        best = max(range(300), key=lambda i: got[1000 + i].score)
+        assert best == follows[7]
+    assert abs(scores[0] - scores[1]) < 0.02  # totals are exact, whatever the buckets
+
+
 def test_edits_and_sketches(odd, none):
     rows = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
     want = collections.Counter()
