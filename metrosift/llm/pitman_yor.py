@@ -216,13 +216,6 @@ class Bucket:
         return np.array([self.count.sum(), (self.per_word > 0).sum(), (self.count == 1).sum(), (self.count == 2).sum(),
                          (m == 1).sum(), (m == 2).sum(), m.sum(), parent.sum()], np.float64)
 
-    def probability(self, state: dict, totals: Totals) -> np.ndarray:
-        """Of each word in the parent restaurant, at the seating that ``totals`` are of."""
-        base = np.where(self.per_word > 0, totals.base, 1 - UNSEEN_MASS)
-        d = state["discount"]
-        return (self.ordered(state["tables"]) - d * state["parent"] + (PARENT_STRENGTH + d * totals.tables) * base) / (
-            PARENT_STRENGTH + totals.customers)
-
     def sweep(self, tables: np.ndarray, parent: np.ndarray, in_context: np.ndarray, totals: Totals, rng: np.random.Generator):
         """New tables of all pairs and, of each word, of the parent; ``in_context``: all tables of each context.
 
@@ -266,7 +259,7 @@ _ASKED = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("words", pa.b
                     ("contexts", pa.binary()), ("at", pa.binary()), ("counts", pa.binary())])
 _SENT = pa.schema([("bucket", pa.int64()), ("source", pa.int64()), ("names", pa.binary()), ("data", pa.binary()), ("totals", pa.binary())])
 _TOLD = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("pairs", pa.binary()), ("sums", pa.binary()), ("counts", pa.binary()),
-                   ("parent", pa.binary()), ("tables", pa.binary()), ("totals", pa.binary())])
+                   ("ordered", pa.binary()), ("parent", pa.binary()), ("tables", pa.binary()), ("totals", pa.binary())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 #: The row that carries a bucket's own state.
@@ -326,7 +319,7 @@ def _open(buckets: int):
         """Every word has one table in each of its contexts, and one in the parent."""
         own = Bucket(rows)
         tables, parent = (own.count > 0).astype(np.int64), (own.per_word > 0).astype(np.int64)
-        return _send(own, {"tables": tables, "parent": parent, "sum": np.zeros(len(tables), np.int64), "discount": 0.5, "kept": [], "rooms": []}, buckets, True)
+        return _send(own, {"tables": tables, "parent": parent, "sum": np.zeros(len(tables), np.int64), "discount": 0.5, "kept": [], "sums": [], "rooms": []}, buckets, True)
 
     return start
 
@@ -361,7 +354,8 @@ def _received(rows: pa.Table, sent: pa.Table) -> tuple[Bucket, dict, dict, Total
         state[c][own.several] = several
     state["parent"] = _read_numbers(state["parent"]).astype(np.int64)
     if len(state["kept"]) < len(state["rooms"]):  # the last sweep's seating is a sample
-        state["kept"] = [*state["kept"], _packed(own.probability(state, totals).astype(np.float32).tobytes())]
+        state["kept"] = [*state["kept"], (_numbers(own.ordered(state["tables"])), _numbers(state["parent"]))]
+        state["sums"] = [*state["sums"], np.array([state["discount"], totals.customers, totals.tables])]
     return own, got, state, totals
 
 
@@ -384,16 +378,17 @@ def _answer(rows: pa.Table, sent: pa.Table) -> pa.Table:
     at, rooms = np.searchsorted(_read_rising(state["owned"]), own.words & _CONTEXT), [_read_numbers(x) for x in state["rooms"]]
     owned = np.isin(own.words & _CONTEXT, _read_rising(state["owned"]))
     rooms = [np.where(owned, np.append(x, 0)[at], 0).astype(np.int64) for x in rooms]
-    parent = np.array([np.frombuffer(_unpacked(x), np.float32) for x in state["kept"]])
+    ordered, parent = ([_read_numbers(x) for x in xs] for xs in zip(*state["kept"]))
     mine = [own.at[e - n:e] for e, n in zip(own.part_ends, own.part_sizes)]
     return pa.table([
         pa.array(own.parts, pa.int64()), pa.array([own.bucket] * len(own.parts), pa.int64()),
         pa.array([_numbers(own.count[a]) for a in mine], pa.binary()),
         pa.array([_numbers(state["sum"][a]) for a in mine], pa.binary()),
         pa.array([_numbers(own.per_word[w]) for w in own.part_words], pa.binary()),
-        pa.array([_packed(parent[:, w].tobytes()) for w in own.part_words], pa.binary()),
+        pa.array([_numbers(np.concatenate([x[w] for x in ordered])) for w in own.part_words], pa.binary()),
+        pa.array([_numbers(np.concatenate([x[w] for x in parent])) for w in own.part_words], pa.binary()),
         pa.array([_numbers(np.concatenate([x[w] for x in rooms])) for w in own.part_words], pa.binary()),
-        pa.array([got[_OWN]["totals"]] * len(own.parts), pa.binary())], schema=_TOLD)
+        pa.array([got[_OWN]["totals"] + np.concatenate(state["sums"]).tobytes()] * len(own.parts), pa.binary())], schema=_TOLD)
 
 
 def _score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -402,16 +397,19 @@ def _score(left: pa.Table, right: pa.Table) -> pa.Table:
         return _SCORED.empty_table()
     named, pairs, of_token, text = _distinct_pairs(_texts(left))
     told = sorted(right.to_pylist(), key=lambda r: r["bucket"])
-    totals, kept = Totals(np.frombuffer(told[0]["totals"], np.float64)), SWEEPS - BURN_IN
-    parent = np.concatenate([np.frombuffer(_unpacked(r["parent"]), np.float32).reshape(kept, -1) for r in told], axis=1).astype(np.float64)
-    room = np.concatenate([_read_numbers(r["tables"]).reshape(kept, -1).astype(np.float64) for r in told], axis=1)
+    kept, sent = SWEEPS - BURN_IN, np.frombuffer(told[0]["totals"], np.float64)
+    totals = Totals(sent[:-3 * kept])
+    ordered, parent, room = (np.concatenate([_read_numbers(r[c]).reshape(kept, -1).astype(np.float64) for r in told], axis=1)
+                             for c in ("ordered", "parent", "tables"))
     of_pair, sums, counts = (np.concatenate([_read_numbers(r[c]).astype(np.float64) for r in told]) for c in ("pairs", "sums", "counts"))
     in_context = of_pair - totals.discount * sums / kept
     w, u = np.divmod(pairs, len(named))
     customers = np.where(named == _START, counts[named == _END], counts)  # a word is followed as often as it occurs
     p = in_context
-    for p0, tables in zip(parent, room):  # probabilities are averaged over the samples
-        p += (STRENGTH + totals.discount * tables[u]) * p0[w] / kept
+    base = np.where(counts > 0, totals.base, 1 - UNSEEN_MASS)
+    for m, s, tables, (d0, all_m, all_s) in zip(ordered, parent, room, sent[-3 * kept:].reshape(kept, 3)):
+        p0 = (m - d0 * s + (PARENT_STRENGTH + d0 * all_s) * base) / (PARENT_STRENGTH + all_m)
+        p += (STRENGTH + totals.discount * tables[u]) * p0[w] / kept  # probabilities are averaged over the samples
     p /= STRENGTH + customers[u]
     plain = np.log10((counts + 0.1) / (totals.tokens + 0.1 * (totals.types + 1)))
 
