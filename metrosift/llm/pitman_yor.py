@@ -148,14 +148,15 @@ def _unpacked(data: bytes) -> bytes:
 
 
 def _numbers(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes as hold the largest, then compressed."""
+    """Whole numbers in as few bytes as hold the largest, the bytes of equal weight together, then compressed."""
     most = int(values.max()) if len(values) else 0
     kind = next(k for k in range(4) if most < 1 << (8 << k))
-    return bytes([kind]) + _packed(values.astype(_WHOLE[kind]).tobytes())
+    return bytes([kind]) + _packed(values.astype(_WHOLE[kind]).view(np.uint8).reshape(-1, 1 << kind).T.tobytes())
 
 
 def _read_numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(_unpacked(data[1:]), _WHOLE[data[0]])
+    planes = np.frombuffer(_unpacked(data[1:]), np.uint8).reshape(1 << data[0], -1)
+    return np.ascontiguousarray(planes.T).view(_WHOLE[data[0]]).ravel()
 
 
 def _rising(keys: np.ndarray) -> bytes:
