@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import oracle
-from metrosift.llm import topk_search, url_filter
+from metrosift.llm import simhash, topk_search, url_filter
 from metrosift.llm.queries import ORACLES, QUERIES
 from odd_rows import none, odd  # noqa: F401
 
@@ -104,6 +104,45 @@ def test_one_row_of_each_group_stays(spark):
         (0, text("d")), (1, text("a")), (2, text("b")), (3, text("c", " x")), (7, text("e", " z"))]
 
 
+def test_near_copies_meet_in_chains_on_rings(spark, monkeypatch):
+    import numpy as np
+
+    rings, links = [], simhash.wide_links
+    monkeypatch.setattr(simhash, "wide_links", lambda fps, ring, *more: rings.append(ring) or links(fps, ring, *more))
+    docs = spark.createDataFrame([(1, "a b", "en", "a", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 1  # the stage's own ring
+    ring, own = rings[0], np.random.default_rng(6)
+    edges = np.concatenate([64 * w + np.array([64 * i // 6 for i in range(6)]) for w in range(6)])
+    size = np.diff(np.append(edges, 384))
+
+    def labels(bits):
+        packed = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little")
+        df = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(packed)], "node long, fp binary")
+        found = links(df, ring, 500).collect()
+        return simhash._joined(np.arange(len(bits)), np.array([r.a for r in found], int), np.array([r.b for r in found], int))
+
+    # one bit in each segment but one: pigeonring's rule finds every such pair
+    first = own.integers(0, 2, (2000, 384))
+    second, free = first.copy(), own.integers(0, 36, len(first))
+    for i, kept in enumerate(free):
+        at = (edges + own.integers(0, size))[np.arange(36) != kept]
+        second[i, at] ^= 1
+    both = labels(np.concatenate((first, second)))
+    assert (both == np.tile(np.arange(len(first)), 2)).all()
+    # farther copies: linked as the chains of all rings say, up to 96 bits
+    start = own.integers(0, 2, (300, 384))
+    copies = start ^ (own.random(start.shape) < own.uniform(0.1, 0.3, (300, 1)))
+    per = np.add.reduceat(start ^ copies, edges, axis=1)
+    near = np.zeros(300, bool)
+    for step in (1, 5, 7, 11):
+        for i in range(36):
+            chain = np.cumsum(per[:, (i + step * np.arange(6)) % 36], axis=1)
+            near |= (chain[:, 0] == 0) & (chain[:, 1] <= 1) & (chain[:, 2:] <= np.arange(3, 7) * 96 // 36).all(1)
+    near &= per.sum(1) <= 96
+    assert 30 < near.sum() < 270
+    assert (labels(np.concatenate((start, copies))) == np.concatenate((np.arange(300), np.where(near, np.arange(300), np.arange(300, 600))))).all()
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
