@@ -27,10 +27,12 @@ ONE_PASS_ROWS = 20_000
 CELL_ROWS = 64
 # With more rows than this to be found, planar searches compare matrices of cells instead of joined pairs.
 MATRIX_ROWS = 20_000
-# Cells of a side that a segment may touch to be filed under all of them.
+# Cells of a side that a segment may reach over to be filed under its middle.
 SEGMENT_CELLS = 8
 # Rows of one cell that one task searches for.
 MATRIX_LEFT = 20_000
+# Points of a grid cell that segments are drawn on, segments that a task holds, and pairs it looks at together.
+SNAP_POINTS, SNAP_SEGMENTS, SNAP_PAIRS = 2, 400_000, 1 << 15
 # Pairs that one task compares where all that are near come out.
 MATRIX_PAIRS = 4_000_000
 
@@ -442,6 +444,126 @@ def _to_segment(reach: float):
     return measure
 
 
+def _crossed(line: dict, wide: float, x0: float, y0: float, g: float, nx: int, ny: int):
+    """(segment, cell): every cell of a grid that a segment comes within ``wide`` of, a part of the segments at a time."""
+    def span(low, high, start, most):
+        return (np.clip(np.floor((c - start) / g), -1, most).astype(np.int64) for c in (low - wide, high + wide))
+
+    def spread(begin, end, most):
+        begin, end = np.maximum(begin, 0), np.minimum(end, most - 1)
+        n = np.maximum(end - begin + 1, 0)
+        own = np.repeat(np.arange(len(n)), n)
+        return own, np.arange(len(own)) - (np.cumsum(n) - n)[own] + begin[own]
+
+    ax, ay, run, rise = line["ax"], line["ay"], line["bx"] - line["ax"], line["by"] - line["ay"]
+    low, high = span(np.minimum(ax, line["bx"]), np.maximum(ax, line["bx"]), x0, nx)
+    sums = np.cumsum(high - low + 1)
+    begin = 0
+    while begin < len(ax):
+        end = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + SNAP_PAIRS, "right")))
+        own, column = spread(low[begin:end], high[begin:end], nx)
+        own += begin
+        # where the segment runs between the column's sides; one that hardly leaves a column counts as a whole
+        slope = np.abs(run[own]) > 0.01 * g
+        safe = np.where(slope, run[own], 1.0)
+        t = [np.where(slope, np.clip((x0 + (column + k) * g + (2 * k - 1) * wide - ax[own]) / safe, 0.0, 1.0), float(k)) for k in (0, 1)]
+        y = [ay[own] + rise[own] * v for v in t]
+        at, row = spread(*span(np.minimum(*y), np.maximum(*y), y0, ny), ny)
+        yield own[at], column[at] * ny + row
+        begin = end
+
+
+def _close_pairs(x: np.ndarray, y: np.ndarray, line: dict, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(point, segment): pairs that may be a point's nearest within ``reach``.
+
+    Segments are drawn on a grid whose cells hold few points, dilated by a radius, and meet the points of those
+    cells. Points without a segment that near go on with twice the radius and cells.
+    """
+    measure, pairs = _to_segment(reach), [(np.zeros(0, np.int64),) * 2]
+    left = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+    real = np.flatnonzero(np.isfinite(line["ax"] + line["ay"] + line["bx"] + line["by"]))
+    line = {c: v[real] for c, v in line.items()}
+    if not len(left) or not len(real):
+        return pairs[0]
+    sides = [max(np.ptp(c[left]), 1e-9) for c in (x, y)]
+    size = 1 + max(np.abs(c).max() for c in (x[left], y[left], *line.values()))
+    r = max(np.sqrt(SNAP_POINTS * sides[0] * sides[1] / len(left)) / 2, np.sqrt(sides[0] * sides[1]) / 2048, max(sides) / 2**20, reach / 256)
+    while True:
+        r = min(r, reach)
+        g, wide, x0, y0 = 2 * r, r * (1 + 1e-6) + 1e-9 * size, x[left].min(), y[left].min()
+        cx, cy = (np.floor((c[left] - o) / g).astype(np.int64) for c, o in ((x, x0), (y, y0)))
+        nx, ny = int(cx.max()) + 1, int(cy.max()) + 1
+        code = cx * ny + cy
+        held = np.bincount(code, minlength=nx * ny)
+        starts, places = np.cumsum(held) - held, left[np.argsort(code, kind="stable")]
+        best, found = np.full(len(x), np.inf), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for of, cell in _crossed(line, wide, x0, y0, g, nx, ny):
+            some = held[cell] > 0
+            of, cell = of[some], cell[some]
+            sums, begin = np.cumsum(held[cell]), 0
+            while begin < len(cell):
+                end = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + SNAP_PAIRS, "right")))
+                n = held[cell[begin:end]]
+                own = np.repeat(np.arange(begin, end), n)
+                point = places[np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + starts[cell[own]]]
+                segment = of[own]
+                d, sure, perhaps = measure({"x": x[point], "y": y[point]}, {c: v[segment] for c, v in line.items()})
+                np.minimum.at(best, point[sure], d[sure])
+                kept = perhaps & (d <= best[point] * (1 + 1e-9) + 1e-12)
+                found.append((point[kept], segment[kept], d[kept]))
+                begin = end
+        point, segment, d = (np.concatenate(c) for c in zip(*found))
+        done = np.full(len(x), r >= reach) | (best <= r * (1 - 1e-6))
+        kept = done[point] & (d <= best[point] * (1 + 1e-9) + 1e-12)
+        pairs.append((point[kept], real[segment[kept]]))
+        left = left[~done[left]]
+        if not len(left):
+            return tuple(np.concatenate(c) for c in zip(*pairs))
+        r = 2 * r
+
+
+def _near_segments(spots: DataFrame, segments: DataFrame, reach: float, side: float) -> DataFrame:
+    """Pairs of a point (point_id, x, y) and a segment that may be its nearest within ``reach``, by tiles.
+
+    A segment is filed once, under its middle, among tiles of its size's level; points go to the tiles whose segments
+    may be near. A tile's points and segments are cut to what a task holds.
+    """
+    size = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    keys = ["_level", "_cx", "_cy"]
+    filed = segments.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(size / side))).cast("int")).where("_level IS NOT NULL")
+    sides = filed.groupBy("_level").agg(F.max(size).alias("size")).collect()  # a row for each level: at most log2(SEGMENT_CELLS) + 1
+    for a in ("x", "y"):
+        filed = filed.withColumn(f"_c{a}", F.floor((F.col(f"a{a}") + F.col(f"b{a}")) / 2 / (side * F.pow(F.lit(2.0), F.col("_level")))).cast("long"))
+    levels = F.array(*[F.struct(F.lit(r["_level"]).cast("int").alias("_level"), F.lit(side * 2.0 ** r["_level"]).alias("s"),
+                                F.lit((reach + r["size"] / 2) * (1 + 1e-9)).alias("w")) for r in sides])
+    asked = spots.withColumn("_l", F.explode(levels) if sides else F.lit(None).cast("struct<_level: int, s: double, w: double>"))
+    for a in ("x", "y"):
+        low, high = (F.floor((F.col(a) + sign * (F.col("_l.w") + 1e-9 * F.abs(F.col(a)))) / F.col("_l.s")).cast("long") for sign in (-1, 1))
+        asked = asked.withColumn(f"_c{a}", F.explode(F.sequence(low, high)))
+    asked = asked.select("point_id", "x", "y", "_l._level", "_cx", "_cy")
+    rows = F.count(F.lit(1))
+    counts = asked.groupBy(*keys).agg(F.ceil(rows / MATRIX_LEFT).cast("int").alias("_p")).join(
+        filed.groupBy(*keys).agg(F.ceil(rows / SNAP_SEGMENTS).cast("int").alias("_s")), keys)
+    counts = stage(counts, "tiles")
+    asked = join_lookup(asked, counts, keys).withColumn("_a", F.pmod(F.xxhash64("point_id", "x", "y"), F.col("_p")).cast("int")).withColumn(
+        "_b", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_p", "_s")
+    filed = join_lookup(filed, counts, keys).withColumn("_b", F.pmod(F.xxhash64(*segments.columns), F.col("_s")).cast("int")).withColumn(
+        "_a", F.explode(F.sequence(F.lit(0), F.col("_p") - 1))).drop("_p", "_s")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (*spots.schema, *segments.schema))
+
+    def match(points: pa.Table, lines: pa.Table) -> pa.Table:
+        points, lines = points.select(spot_names), lines.select(line_names)
+        at, of = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if points.num_rows and lines.num_rows:
+            at, of = _close_pairs(points["x"].to_numpy(), points["y"].to_numpy(), {c: lines[c].to_numpy() for c in ("ax", "ay", "bx", "by")}, reach)
+        points, lines = points.take(pa.array(at)), lines.take(pa.array(of))
+        return pa.table([*points.columns, *lines.columns], names=[*points.column_names, *lines.column_names])
+
+    spot_names, line_names = spots.columns, segments.columns
+    on = [*keys, "_a", "_b"]
+    return asked.groupBy(*on).cogroup(filed.groupBy(*on)).applyInArrow(match, kinds)
+
+
 def snap_to_segments(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
     """Nearest road segment of each point within ``reach``.
 
@@ -455,15 +577,11 @@ def snap_to_segments(points: DataFrame, segments: DataFrame, reach: float) -> Da
         *[F.expr(f"greatest(a{a}, b{a}) + {reach!r}D").alias(f"{a}1") for a in ("x", "y")],
     )
     if is_large(segments):
-        # short segments are filed under all cells their boxes touch, the few long ones by size as any box
+        # short segments meet points within tiles, the few long ones by size as any box
         side = 4.0 * reach
         is_long = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > SEGMENT_CELLS * side
-        filed = boxes.where(~is_long)
-        for a in ("x", "y"):
-            low, high = (F.floor(F.col(f"{a}{i}") / side).cast("long") for i in (0, 1))
-            filed = filed.withColumn(f"_c{a}", F.explode(F.sequence(low, high)))
         spots = points.select("point_id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
-        pairs = least_in_cells(in_cells(spots, "x", "y", side), filed.drop("x0", "y0", "x1", "y1"), _to_segment(reach))
+        pairs = _near_segments(spots, boxes.where(~is_long).select(segments.columns), reach, side)
         pairs = pairs.unionByName(box_join(spots, boxes.where(is_long), "point_id").select(pairs.columns))
     else:
         pairs = box_join(points, boxes, "point_id")

@@ -168,3 +168,44 @@ def test_radius_neighbors_joins_totals_to_places_not_to_pairs(spark, monkeypatch
     assert sorted((r["place_id"], -1 if r["point_id"] is None else r["point_id"], round(r["distance"], 9),
                    -1 if r["share"] is None else round(r["share"], 12)) for r in got) == sorted(want)
     assert joined == [len(places)]  # before: all pairs
+
+
+def test_snapping_compares_few_pairs_of_a_crowded_tile(monkeypatch):
+    """Within a tile pairs grow with the points, not with the product of points and segments."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(spatial, "SNAP_PAIRS", 5000)
+    compared, real = [], spatial._to_segment
+
+    def counted(reach):
+        measure = real(reach)
+        return lambda point, line: compared.append(len(point["x"])) or measure(point, line)
+
+    monkeypatch.setattr(spatial, "_to_segment", counted)
+    x, y = rng.uniform(0, 2, (2, 1500))
+    line = dict(zip(("ax", "ay"), rng.uniform(0, 2, (2, 4000))))
+    line |= {"bx": line["ax"] + rng.uniform(-1, 1, 4000), "by": line["ay"] + rng.uniform(-1, 1, 4000)}
+    x[:3], y[:3], line["ax"][7], line["bx"][8] = (5.0, np.nan, 2.4), (5.0, 1.0, 2.4), np.nan, line["ax"][8]
+    point, segment = spatial._close_pairs(x, y, line, 0.5)
+    assert sum(compared) < 1500 * 4000 / 8  # before: all of them
+    with np.errstate(invalid="ignore"):
+        d, sure, perhaps = real(0.5)({"x": x[:, None], "y": y[:, None]}, {c: v[None, :] for c, v in line.items()})
+        best = np.where(sure, d, np.inf).min(axis=1)
+        want = np.argwhere(perhaps & (d <= best[:, None] * (1 + 1e-9) + 1e-12))
+    assert sorted(zip(point.tolist(), segment.tolist())) == sorted(map(tuple, want.tolist()))
+
+
+def test_snapping_files_a_segment_once(spark, monkeypatch):
+    """Points go to the tiles, and crowded tiles are cut on both sides."""
+    rng = random.Random(11)
+    monkeypatch.setattr(spatial, "MATRIX_LEFT", 9)
+    monkeypatch.setattr(spatial, "SNAP_SEGMENTS", 6)
+    lines = [(i, 1, x, y, x + rng.uniform(-s, s), y + rng.uniform(-s, s), 2.0) for i in range(200) for s in [rng.choice([0.2, 1, 3, 9])]
+             for x, y in [(rng.uniform(-9, 9), rng.uniform(-9, 9))]] + [(300, 1, None, 1.0, 1.0, 1.0, 2.0), (301, 2, 4.0, 4.0, 4.0, 4.0, 1.0)]
+    points = [(i, rng.uniform(-9, 9), rng.uniform(-9, 9)) for i in range(150)] + [(500, 4.0, 4.0), (500, 4.0, 4.0), (None, 1.0, 1.0)]
+    segments = spark.createDataFrame(lines, "edge_id long, seg long, ax double, ay double, bx double, by double, start double")
+    table = spark.createDataFrame(points, "point_id long, x double, y double")
+    want = sorted(map(repr, spatial.snap_to_segments(table, segments, 0.5).collect()))
+    monkeypatch.setattr(spatial, "MATRIX_ROWS", 0)
+    assert sorted(map(repr, spatial.snap_to_segments(table, segments, 0.5).collect())) == want and len(want) > 100
+    near = spatial._near_segments(table, segments, 0.5, 2.0).groupBy("point_id", "x", "y", "edge_id").count()
+    assert near.where("count > 1 AND point_id <> 500").isEmpty()
