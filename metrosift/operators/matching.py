@@ -25,12 +25,13 @@ REFERENCES_IN_PLAN = 512
 WIDE_VECTOR = 16
 # Vectors of a block, about; blocks grow where there would be more than MAX_BLOCKS, whose boxes every task holds. Rows
 # are sent to each block they visit, so large blocks spare vectors without structure, which visit all.
-BLOCK_VECTORS = 4096
+BLOCK_VECTORS = 16_384
 MAX_BLOCKS = 16_384
 # Vectors the tree's splits are taken from, at most about; blocks, boxes and matches cover all.
 SPLIT_SAMPLE = 65_536
-# Rows that meet a block in one task; more are spread over tasks.
+# Rows that meet a block in one task; more are spread over tasks. Rows that travel to a block as one matrix.
 VISITS_PER_TASK = 50_000
+PACKED_ROWS = 256
 _SHAPE = "array<struct<v: array<double>, m: array<struct<r: string, e: string>>>>"
 MATCH = "array<struct<reference_id: string, entity_id: string, distance: double, similarity: double>>"
 
@@ -281,64 +282,70 @@ def tree_matches(candidates: DataFrame, groups: DataFrame, weights: Sequence[flo
     boxes = spark.sparkContext.broadcast((numbers, low, high))
 
     def visits(step: int):
-        schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.string())), ("x", pa.binary()), ("limits", pa.binary())])
-
-        def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @F.pandas_udf("array<long>")
+        def plan(vectors: pd.Series, limits: pd.Series, seen: pd.Series) -> pd.Series:
             own, a, b = boxes.value
-            for batch in batches:
-                some = max(1, min(VISITS_PER_TASK // 4, (1 << 23) // len(own)))
-                for begin in range(0, batch.num_rows, some):
-                    part = batch.slice(begin, some)
-                    x, limit, seen = _matrix(part.column(1), dims), part.column(2).to_numpy(), part.column(3).to_numpy()
-                    go = np.empty((len(x), len(own)), bool)
-                    for at in range(0, len(x), max(1, (1 << 20) // len(own))):
-                        rows = slice(at, at + max(1, (1 << 20) // len(own)))
-                        least = box_distances(x[rows], a, b, weights)
-                        order = np.argsort(least, axis=1, kind="stable")
-                        place = np.empty_like(order)
-                        np.put_along_axis(place, order, np.arange(len(own))[None, :].repeat(len(order), 0), 1)
-                        go[rows] = (place >= seen[rows, None]) & (place < seen[rows, None] + step) & (least <= limit[rows, None])
-                    for j in np.flatnonzero(go.any(0)):
-                        row = np.flatnonzero(go[:, j])
-                        ids = part.column(0).take(pa.array(row))
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([own[j]], pa.int64()), pa.array([len(row)], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.string())),
-                            pa.array([x[row].tobytes()], pa.binary()), pa.array([limit[row].tobytes()], pa.binary())], schema=schema)
+            out = []
+            some = max(1, (1 << 20) // max(1, len(own)))
+            for begin in range(0, len(vectors), some):
+                rows = slice(begin, begin + some)
+                least = box_distances(np.stack([np.asarray(v, dtype=float) for v in vectors.iloc[rows]]), a, b, weights)
+                order = np.argsort(least, axis=1, kind="stable")
+                place = np.empty_like(order)
+                np.put_along_axis(place, order, np.arange(len(own))[None, :].repeat(len(order), 0), 1)
+                first = seen.to_numpy()[rows, None]
+                go = (place >= first) & (place < first + step) & (least <= limits.to_numpy()[rows, None])
+                out += [own[g] for g in go]
+            return pd.Series(out, dtype=object)
 
         return plan
 
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.string())), ("x", pa.binary()), ("limits", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Visitors of one block as small matrices, so that no row of a shuffle is large."""
+        for batch in batches:
+            ids, go = batch.column(0), batch.column(3)
+            x, limits, block = _matrix(batch.column(1), dims), batch.column(2).to_numpy(), go.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), go.value_lengths().to_numpy())
+            order = np.argsort(block, kind="stable")
+            edges = np.append(np.flatnonzero(np.append(True, np.diff(block[order]) != 0)), len(order)) if len(order) else [0]
+            for begin, end in zip(edges[:-1], edges[1:]):
+                for at in range(begin, end, PACKED_ROWS):
+                    some = row[order[at:min(at + PACKED_ROWS, end)]]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([block[order[begin]]], pa.int64()), pa.array([ids.take(pa.array(some)).to_pylist()], pa.list_(pa.string())),
+                        pa.array([x[some].tobytes()], pa.binary()), pa.array([limits[some].tobytes()], pa.binary())], schema=schema)
+
     complete = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
-    state = stage(candidates.where(complete).select(
+    state = candidates.where(complete).select(
         F.col("entity_id").cast("string").alias("entity_id"), F.col("v").cast("array<double>").alias("v"), F.lit(float("inf")).alias("limit"),
         F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("visited"),
-        F.expr("cast(array() AS array<struct<distance: double, reference_id: string, other: string>>)").alias("best")), "match-state")
-    done, step = [], 1
+        F.expr("cast(array() AS array<struct<distance: double, reference_id: string, other: string>>)").alias("best"))
+    names, done, step = state.columns, [], 1
     while True:
-        asked = stage(state.select("entity_id", "v", "limit", "seen").mapInArrow(
-            visits(step), "block long, n long, ids array<string>, x binary, limits binary"), "visits")
-        heat = asked.groupBy("block").agg(F.sum("n").alias("n")).withColumn(
-            "salts", F.ceil(F.col("n") / VISITS_PER_TASK).cast("int"))
+        # a row that has no block near enough has none further out either
+        state = stage(state.withColumn("go", visits(step)("v", "limit", "seen")), "match-state")
+        done.append(state.where("size(go) = 0").select(names))
+        going = state.where("size(go) > 0")
+        heat = going.select(F.explode("go").alias("block")).groupBy("block").agg(
+            F.ceil(F.count(F.lit(1)) / VISITS_PER_TASK).cast("int").alias("salts"))
         heat = F.broadcast(stage(heat, "heat"))  # a row for each block
         if heat.isEmpty():
-            done.append(state)
             break
-        left = asked.drop("n").join(heat, "block").withColumn("salt", F.pmod(F.xxhash64("ids"), F.col("salts")).cast("int"))
+        asked = going.select("entity_id", "v", "limit", "go").mapInArrow(pack, "block long, ids array<string>, x binary, limits binary")
+        left = asked.join(heat, "block").withColumn("salt", F.pmod(F.xxhash64("ids"), F.col("salts")).cast("int"))
         right = blocks.join(heat, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         near = left.select("block", "salt", "ids", "x", "limits").groupBy("block", "salt").cogroup(
             right.select("block", "salt", "v", "m").groupBy("block", "salt")).applyInArrow(
             _visit(weights, k), "entity_id string, distance double, reference_id string, other string")
-        counted = asked.select(F.explode("ids").alias("entity_id")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n"))
         met = near.groupBy("entity_id").agg(F.collect_list(F.struct("distance", "reference_id", "other")).alias("_met"))
-        merged = state.join(counted, "entity_id", "left").join(met, "entity_id", "left")
         best = F.slice(F.array_sort(F.concat("best", F.coalesce("_met", F.expr("cast(array() AS array<struct<distance: double, reference_id: string, other: string>>)")))), 1, k)
-        after = stage(merged.select("entity_id", "v", (F.col("seen") + step).alias("seen"), (F.col("visited") + F.coalesce("_n", F.lit(0))).alias("visited"),
-                                    best.alias("best"), F.col("_n").isNotNull().alias("open")), "match-state")
         limit = F.when(F.size("best") >= k, F.element_at("best", k)["distance"]).otherwise(F.lit(float("inf")))
-        names = ["entity_id", "v", "limit", "seen", "visited", "best"]
-        after = after.withColumn("limit", limit)
-        # a row that had no block near enough has none further out either
-        done.append(after.where("not open").select(names))
-        state, step = after.where("open").select(names), step * 4
+        state = going.join(met, "entity_id", "left").select(
+            "entity_id", "v", (F.col("seen") + step).alias("seen"), (F.col("visited") + F.size("go")).alias("visited"),
+            best.alias("best")).withColumn("limit", limit).select(names)
+        step *= 4
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -209,3 +209,33 @@ def test_snapping_files_a_segment_once(spark, monkeypatch):
     assert sorted(map(repr, spatial.snap_to_segments(table, segments, 0.5).collect())) == want and len(want) > 100
     near = spatial._near_segments(table, segments, 0.5, 2.0).groupBy("point_id", "x", "y", "edge_id").count()
     assert near.where("count > 1 AND point_id <> 500").isEmpty()
+
+
+def test_visitors_of_a_block_travel_in_small_rows(spark, monkeypatch):
+    """No stored table holds packed visitors, and no row of the shuffle more than a few."""
+    monkeypatch.setattr(matching, "BLOCK_VECTORS", 40)
+    monkeypatch.setattr(matching, "PACKED_ROWS", 5)
+    rng = random.Random(12)
+    table = spark.createDataFrame([(f"e{i:03d}", [rng.random() for _ in range(16)]) for i in range(200)] + [("none", None)], "entity_id string, v array<double>")
+    groups = matching.group_references(table.where("v IS NOT NULL").select(F.col("entity_id").alias("reference_id"), "entity_id", "v"), F.col("v"))
+    stored, stage, visit = [], matching.stage, matching._visit
+    monkeypatch.setattr(matching, "stage", lambda df, *label: stored.append(df.dtypes) or stage(df, *label))
+    held = spark.sparkContext.accumulator(0)
+
+    def visited(weights, k):
+        real = visit(weights, k)
+
+        def most(rows, block):
+            held.add(max([0, *(len(r) > 5 for r in rows["ids"].to_pylist())]))
+            return real(rows, block)
+
+        return most
+
+    monkeypatch.setattr(matching, "_visit", visited)
+    found = {r["entity_id"]: r for r in matching.tree_matches(table, groups, [1 / 16] * 16).collect()}
+    assert len(found) == 200 and held.value == 0
+    assert not any(kind == "binary" for columns in stored for _, kind in columns)  # before: up to 10,000 visitors in one stored row
+    rows = {r["entity_id"]: np.array(r["v"]) for r in table.where("v IS NOT NULL").collect()}
+    for name in ("e000", "e077"):
+        d = sorted((float(np.sqrt(((rows[name] - v) ** 2 / 16).sum())), e) for e, v in rows.items() if e != name)[:3]
+        assert [m["reference_id"] for m in found[name]["matches"]] == [e for _, e in d]
