@@ -36,3 +36,24 @@ def test_trees_of_any_shape(spark):
     edges = [(rng.randrange(max(0, i - 6), i), i, rng.randrange(1, 9)) for i in range(1, 150)] + [(5, 140, 3)]
     found = graph.shortest_paths(spark.createDataFrame(edges, "a long, b long, length long"), spark.createDataFrame([(0,), (77,)], "source long"))
     assert set(rows(found, "source", "node", "cost")) == {(s, n, c) for s in (0, 77) for n, c in brute(edges, s).items()}
+
+
+def test_a_graph_without_chains_is_written_once(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = list({tuple(sorted(rng.sample(range(60), 2))) for _ in range(500)})
+    edges = [(a, b, rng.randrange(1, 9)) for a, b in edges]
+    assert min(sum(n in e[:2] for e in edges) for n in range(60)) > 2
+    twice = edges + [(b, a, n + 1) for a, b, n in edges[:50]] + [(3, 3, 1), (None, 4, 1), (4, None, 1)]
+    whole, stage = [], graph.stage
+
+    def counted(df, *label):
+        out = stage(df, *label)
+        if out.count() >= len(edges):
+            whole.append(label)
+        return out
+
+    monkeypatch.setattr(graph, "stage", counted)
+    table = spark.createDataFrame(twice, "a long, b long, length long")
+    found = graph.shortest_paths(table, spark.createDataFrame([(0,), (31,)], "source long"))
+    assert set(rows(found, "source", "node", "cost")) == {(s, n, c) for s in (0, 31) for n, c in brute(edges, s).items()}
+    assert len(whole) == 1  # before: five
